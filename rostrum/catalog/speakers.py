@@ -124,7 +124,7 @@ def _(t):
 
 
 @register("talk_index_ranking", "WIN-2", "PRJ-8", oracle=f"""
-    SELECT object_id, view_count, year, CAST(FLOOR(duration_seconds / 60) AS BIGINT) AS duration_minutes,
+    SELECT object_id, view_count, year, CASE WHEN duration_seconds <> 0 THEN CAST(FLOOR(duration_seconds / 60) AS BIGINT) END AS duration_minutes,
            CASE WHEN view_count <> 0 AND year <> 0
                 THEN ROUND(view_count / CAST(GREATEST(1, 2024 - year) AS DOUBLE), 6) END AS popularity_score
     FROM {{v_talk}}""")

@@ -154,16 +154,23 @@ def extract_record(method: Column | str, confidence: Column | float, **fields: C
     return F.struct(*columns, method.alias("extraction_method"), confidence.cast("double").alias("confidence"))
 
 
-def merge_extracts(records: Sequence[Column], distinct_methods: bool = True, positive_only: bool = True) -> Column:
-    """Merge extracts of one page: the surest is the base, the others fill its empty text and lists.
-
-    ``is_online`` is never empty, so it always comes from the base. NULL records are skipped.
+def merge_extracts(
+    df: DataFrame, records: Sequence[str], out: str, distinct_methods: bool = True, positive_only: bool = True
+) -> DataFrame:
+    """Merge the extract columns ``records`` into the column ``out``.
+
+    The surest record is the base, the others fill its empty text and lists. ``is_online`` is never
+    empty, so it always comes from the base. NULL records are skipped. The ranked list is a column of
+    its own, so it is built once per row and not once per field.
     """
-    listed = F.filter(F.array(*records), lambda r: r.isNotNull() & ((r["confidence"] > 0) if positive_only else F.lit(True)))
+    listed = F.filter(
+        F.array(*[F.col(r) for r in records]),
+        lambda r: r.isNotNull() & ((r["confidence"] > 0) if positive_only else F.lit(True)),
+    )
     ranked = F.array_sort(
         F.transform(listed, lambda r, i: F.struct((-r["confidence"]).alias("c"), i.alias("i"), r.alias("r")))
     )
-    ordered = F.transform(ranked, lambda e: e["r"])
+    ordered = F.col("__ordered")
     base = F.get(ordered, F.lit(0))
     columns = []
     for name, kind in EXTRACT_FIELDS.items():
@@ -179,9 +186,11 @@ def merge_extracts(records: Sequence[Column], distinct_methods: bool = True, pos
     methods = F.filter(F.transform(ordered, lambda r: r["extraction_method"]), lambda m: m != "")
     methods = F.array_distinct(methods) if distinct_methods else methods
     method = F.when(F.size(ordered) > 0, F.array_join(methods, "+")).otherwise(F.lit("none"))
-    return F.struct(
+    merged = F.struct(
         *columns, method.alias("extraction_method"), F.coalesce(base["confidence"], F.lit(0.0)).alias("confidence")
     )
+    staged = df.withColumn("__ordered", F.transform(ranked, lambda e: e["r"]))
+    return staged.withColumn(out, merged).drop("__ordered")
 
 
 # ---- graph nodes --------------------------------------------------------------------------------
@@ -205,6 +214,3 @@ def speaker_node_conferences(nodes: DataFrame) -> DataFrame:
     rows = nodes.select("slug", "seq", F.posexplode("conferences").alias("pos", "conference"))
     return rows.groupBy("slug", "conference").agg(F.min(F.struct("seq", "pos")).alias("first")).select("slug", "conference", "first.*")
 
-
-def slug_of(column: str) -> Column:
-    return slugify(F.col(column))

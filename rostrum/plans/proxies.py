@@ -86,6 +86,64 @@ VIEWS = {
                'https://www.youtube.com/watch?v=' || SUBSTRING(MD5(CAST(id % 1500 AS STRING)), 1, 11) ||
                  CASE WHEN id % 2 = 0 THEN '&t=10' ELSE '' END AS url
         FROM {v_person}""",
+    # place texts of every shape the location rules know
+    "v_place": """
+        SELECT id, CASE id % 12
+                 WHEN 0 THEN 'Chicago ' || CAST(size AS STRING) || ', Illinois, USA'
+                 WHEN 1 THEN 'San Jose, CA'
+                 WHEN 2 THEN 'Berlin' || CAST(size % 5 AS STRING) || ', Germany'
+                 WHEN 3 THEN CASE size % 4 WHEN 0 THEN 'Online' WHEN 1 THEN 'worldwide' WHEN 2 THEN 'Virtual' ELSE ' remote ' END
+                 WHEN 4 THEN CASE size % 5 WHEN 0 THEN 'UK' WHEN 1 THEN 'Japan' WHEN 2 THEN 'Czechia' WHEN 3 THEN 'Korea' ELSE 'Brazil' END
+                 WHEN 5 THEN person || ', ' || CASE size % 6 WHEN 0 THEN 'Holland' WHEN 1 THEN 'England' WHEN 2 THEN 'Poland'
+                      WHEN 3 THEN 'Kenya' WHEN 4 THEN 'Peru' ELSE 'Nowhere' END
+                 WHEN 6 THEN 'Austin, texas'
+                 WHEN 7 THEN 'Toronto , Ontario,  Canada'
+                 WHEN 8 THEN 'Hall ' || CAST(size AS STRING) || ', Lyon, Rhone, France'
+                 WHEN 9 THEN 'Portland, or, United States'
+                 WHEN 10 THEN person ELSE '' END AS place,
+               CASE id % 7
+                 WHEN 0 THEN 'Paris' || CAST(size AS STRING) || ' (France)'
+                 WHEN 1 THEN 'Austin, TX (USA) & Online'
+                 WHEN 2 THEN 'Online' WHEN 3 THEN 'Lisbon & Online' WHEN 4 THEN person || ', (Spain)'
+                 WHEN 5 THEN 'Rome &amp; Online' ELSE '' END AS city_country,
+               CASE WHEN size % 3 = 0 THEN 'Texas' WHEN size % 3 = 1 THEN '' END AS state,
+               CASE size % 7 WHEN 0 THEN 'US' WHEN 1 THEN ' Scotland ' WHEN 2 THEN 'Italy' WHEN 3 THEN 'Chile'
+                    WHEN 4 THEN 'Atlantis' WHEN 5 THEN '' END AS country,
+               CASE WHEN size % 11 = 0 THEN 'Given' END AS region
+        FROM {v_person}""",
+    # one timestamp written in many ways
+    "v_when": """
+        SELECT o_orderkey AS id, d, CASE o_orderkey % 8
+                 WHEN 0 THEN d || 'T10:20:30Z' WHEN 1 THEN d || 'T01:02:03+02:00' WHEN 2 THEN d || 'T01:02:03.250+00:00'
+                 WHEN 3 THEN d || 'T23:59:59' WHEN 4 THEN d WHEN 5 THEN d || ' 12:30' WHEN 6 THEN 'TBA' ELSE 'soon' END AS iso,
+               CASE o_orderkey % 6 WHEN 0 THEN d || ' 23:59:59' WHEN 1 THEN ' ' || d || ' 23:59 ' WHEN 2 THEN d
+                 WHEN 3 THEN 'tba' WHEN 4 THEN d || 'x' END AS deadline,
+               CASE o_orderkey % 9
+                 WHEN 0 THEN mon || ' ' || dd || ', ' || yy WHEN 1 THEN SUBSTRING(mon, 1, 3) || ' ' || dd || ', ' || yy
+                 WHEN 2 THEN dd || ' ' || mon || ' ' || yy WHEN 3 THEN dd || ' ' || SUBSTRING(mon, 1, 3) || ' ' || yy
+                 WHEN 4 THEN mm || '/' || dd || '/' || yy WHEN 5 THEN dd || '/' || mm || '/' || yy
+                 WHEN 6 THEN yy || '/' || mm || '/' || dd WHEN 7 THEN d || ' and later' ELSE mon || ' ' || dd || ' ' || yy END AS loose,
+               days, days * 86400 + o_orderkey % 86400 AS epoch
+        FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS d,
+                     SUBSTRING(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 4) AS yy,
+                     SUBSTRING(CAST(CAST(o_orderdate AS DATE) AS STRING), 6, 2) AS mm,
+                     SUBSTRING(CAST(CAST(o_orderdate AS DATE) AS STRING), 9, 2) AS dd,
+                     CASE MONTH(o_orderdate) WHEN 1 THEN 'January' WHEN 2 THEN 'February' WHEN 3 THEN 'March'
+                       WHEN 4 THEN 'April' WHEN 5 THEN 'May' WHEN 6 THEN 'June' WHEN 7 THEN 'July' WHEN 8 THEN 'August'
+                       WHEN 9 THEN 'September' WHEN 10 THEN 'October' WHEN 11 THEN 'November' ELSE 'December' END AS mon,
+                     CAST({days:o_orderdate} AS BIGINT) AS days
+              FROM {orders})""",
+    # document texts with call-like sentences around them
+    "v_note": """
+        SELECT doc_id, CASE doc_id % 4
+                 WHEN 0 THEN text || ' Submission deadline: January 15, 2026. The conference starts on 2026-03-0' ||
+                      CAST(1 + doc_id % 9 AS STRING) || ' and ends 5 March 2026.'
+                 WHEN 1 THEN 'Call closes 02/1' || CAST(doc_id % 10 AS STRING) || '/2025 for all. ' || text ||
+                      ' Topics include: Rust, data lakes and streaming, API design. Location: Lisbon, Portugal'
+                 WHEN 2 THEN 'Papers due 2025-13-40 or 3 Feb 2025; event date 2025-06-01 through 2025-06-0' ||
+                      CAST(1 + doc_id % 9 AS STRING) || ' held at New York, United States. ' || text
+                 ELSE text END AS note
+        FROM {documents}""",
 }
 
 
@@ -96,10 +154,13 @@ def _json_field(engine: str, column: str, key: str) -> str:
 
 
 def render(text: str, engine: str, sf_dir: str | None = None) -> str:
-    """Fill ``{table}``, ``{view}`` and ``{json:column:key}`` marks for ``engine`` ('spark' or 'duckdb')."""
+    """Fill ``{table}``, ``{view}`` and ``{json:column:key}`` or ``{days:column}`` marks for ``engine`` ('spark' or 'duckdb')."""
 
     def replace(match: re.Match) -> str:
         name = match.group(1)
+        if name.startswith("days:"):
+            column = name.removeprefix("days:")
+            return f"unix_date(CAST({column} AS DATE))" if engine == "spark" else f"FLOOR(epoch({column}) / 86400)"
         if name.startswith("json:"):
             _, column, key = name.split(":")
             return _json_field(engine, column, key)
@@ -109,4 +170,4 @@ def render(text: str, engine: str, sf_dir: str | None = None) -> str:
             return f"parquet.`{sf_dir}/{name}.parquet`" if engine == "spark" else name
         raise KeyError(name)
 
-    return re.sub(r"\{([a-z_]+(?::[a-z_]+:[a-z_]+)?)\}", replace, text)
+    return re.sub(r"\{([a-z_]+(?::[a-z_]+){0,2})\}", replace, text)
