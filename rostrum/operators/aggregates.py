@@ -315,6 +315,11 @@ def audit_coverage(cfps: DataFrame) -> DataFrame:
     )
 
 
+def _facet_entries(name: str, values: Column) -> Column:
+    known = F.filter(values, lambda v: v.isNotNull() & (v != ""))
+    return F.transform(known, lambda v: F.struct(F.lit(name).alias("attribute"), v.alias("value")))
+
+
 def facet_counts(
     df: DataFrame, attributes: Mapping[str, Column], k: int, refinements: Mapping[str, Sequence[str]] | None = None
 ) -> DataFrame:
@@ -331,10 +336,7 @@ def facet_counts(
     }
     pairs = []
     for name, values in attributes.items():
-        entries = F.transform(
-            F.filter(values, lambda v: v.isNotNull() & (v != "")),
-            lambda v, name=name: F.struct(F.lit(name).alias("attribute"), v.alias("value")),
-        )
+        entries = _facet_entries(name, values)
         others = F.lit(True)
         for other, ok in meets.items():
             if other != name:

@@ -154,6 +154,10 @@ def extract_record(method: Column | str, confidence: Column | float, **fields: C
     return F.struct(*columns, method.alias("extraction_method"), confidence.cast("double").alias("confidence"))
 
 
+def _field(records: Column, name: str) -> Column:
+    return F.transform(records, lambda r: r[name])
+
+
 def merge_extracts(
     df: DataFrame, records: Sequence[str], out: str, distinct_methods: bool = True, positive_only: bool = True
 ) -> DataFrame:
@@ -177,10 +181,10 @@ def merge_extracts(
         if kind == "boolean":
             value = F.coalesce(base[name], F.lit(False))
         elif kind.startswith("array"):
-            full = F.filter(F.transform(ordered, lambda r, name=name: r[name]), lambda v: F.size(v) > 0)
+            full = F.filter(_field(ordered, name), lambda v: F.size(v) > 0)
             value = F.coalesce(F.get(full, F.lit(0)), F.array().cast(kind))
         else:
-            full = F.filter(F.transform(ordered, lambda r, name=name: r[name]), lambda v: v != "")
+            full = F.filter(_field(ordered, name), lambda v: v != "")
             value = F.coalesce(F.get(full, F.lit(0)), base[name])
         columns.append(value.alias(name))
     methods = F.filter(F.transform(ordered, lambda r: r["extraction_method"]), lambda m: m != "")

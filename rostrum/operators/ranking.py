@@ -155,6 +155,10 @@ SEARCHABLE = {
 }
 
 
+def _any_starts(tokens: Column, prefix: str) -> Column:
+    return F.exists(tokens, lambda t: t.startswith(prefix))
+
+
 def keyword_search(df: DataFrame, query: str, index: str, k: int = 4, key: str = "object_id") -> DataFrame:
     """Rows in which every query word occurs (the last one as a prefix), best attribute first.
 
@@ -174,11 +178,7 @@ def keyword_search(df: DataFrame, query: str, index: str, k: int = 4, key: str =
         for rank, group in reversed(list(enumerate(g for g in groups if g))):
             hit = F.lit(False)
             for column in group:
-                if word is words[-1]:
-                    found = F.exists(tokens(column), lambda t, w=word: t.startswith(w))
-                else:
-                    found = F.array_contains(tokens(column), word)
-                hit = hit | found
+                hit = hit | (_any_starts(tokens(column), word) if word is words[-1] else F.array_contains(tokens(column), word))
             place = F.when(hit, F.lit(rank)).otherwise(place)
         positions.append(place)
     listed = F.array(*positions)
