@@ -199,7 +199,7 @@ def _(t):
 def _(t):
     """The stream over event files in time order gives the finished windows of the batch."""
     source, sink = new_path(t.spark, "events"), new_path(t.spark, "trending")
-    t.view("v_event").select("event_id", "ts", "user_token", "object_id", "event_type").orderBy("ts").coalesce(1).write.parquet(source)
+    t.view("v_event").select("event_id", "ts", "user_token", "object_id", "event_type").orderBy("ts").write.parquet(source)
     T.write_trending(T.event_stream(t.spark, source), sink, new_path(t.spark, "stream")).awaitTermination()
     rows = t.spark.read.schema("window_start TIMESTAMP, object_id STRING, events BIGINT, conversions BIGINT").parquet(sink)
     return rows.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "object_id", "events", "conversions")

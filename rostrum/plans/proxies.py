@@ -144,6 +144,33 @@ VIEWS = {
                       CAST(1 + doc_id % 9 AS STRING) || ' held at New York, United States. ' || text
                  ELSE text END AS note
         FROM {documents}""",
+    # conferences named after parts, and posts and repositories about them
+    "v_conf": """
+        SELECT MIN(p_partkey) AS conf_id, p_name || ' 2024' AS conf_name FROM {part} GROUP BY p_name""",
+    "v_subject": """
+        SELECT o.l_orderkey AS post_id, o.qty, p.p_name AS thing, p.p_brand AS brand, LOWER(p.p_type) AS kind, c.conf_id, c.conf_name
+        FROM (SELECT l_orderkey, MIN(l_partkey) AS pk, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty FROM {lineitem} GROUP BY l_orderkey) o
+        JOIN {part} p ON p.p_partkey = o.pk JOIN {v_conf} c ON c.conf_name = p.p_name || ' 2024'""",
+    "v_post": """
+        SELECT post_id, conf_id, conf_name, qty AS points, post_id % 13 AS num_comments,
+               CASE post_id % 9 WHEN 0 THEN 'Show HN: ' || thing || ' tool' WHEN 1 THEN 'Talks from ' || UPPER(thing) || ' 2023 Online'
+                 WHEN 2 THEN REPLACE(thing, ' ', '-') || ' schedule ' || brand WHEN 3 THEN REPLACE(thing, ' ', '') || 's Notes by SpeakerTeam'
+                 WHEN 4 THEN 'Weekly digest: ' || thing WHEN 5 THEN 'I built something in Rust' WHEN 6 THEN 'All ' || thing || 's are Great'
+                 WHEN 7 THEN 'Drama about nothing' ELSE 'Old' || thing || ' Recap' END AS title,
+               CASE post_id % 6 WHEN 0 THEN 'Kpop' WHEN 1 THEN 'programming' WHEN 2 THEN 'Rust' WHEN 3 THEN brand ELSE 'music' END AS subreddit,
+               CASE post_id % 5 WHEN 0 THEN 'News' WHEN 1 THEN kind END AS flair,
+               CASE WHEN post_id % 4 = 0 THEN 'We went to ' || thing || ' and it was a very good time for everyone there' WHEN post_id % 4 = 1 THEN 'short' END AS selftext,
+               'user' || CAST(post_id % 37 AS STRING) AS author, 'https://p.example/' || CAST(post_id % 5000 AS STRING) AS url, brand, kind
+        FROM {v_subject}""",
+    "v_repo": """
+        SELECT post_id, conf_id, conf_name, qty * (post_id % 11) AS stars,
+               CASE post_id % 8 WHEN 0 THEN REPLACE(thing, ' ', '-') || '-website' WHEN 1 THEN SPLIT_PART(thing, ' ', 1) || '-demo' WHEN 2 THEN 'awesome-' || kind
+                 WHEN 3 THEN SPLIT_PART(thing, ' ', 2) || '-2025' WHEN 4 THEN 'interview-prep' WHEN 5 THEN 'misc' WHEN 6 THEN SPLIT_PART(thing, ' ', 2) ELSE kind END AS name,
+               CASE WHEN post_id % 3 = 0 THEN REPLACE(thing, ' ', '') || 'Org' ELSE 'dev' || CAST(post_id % 7 AS STRING) END AS owner,
+               CASE post_id % 5 WHEN 0 THEN 'The official ' || thing || ' site' WHEN 1 THEN 'Slides about ' || thing WHEN 2 THEN 'An Awesome list' WHEN 3 THEN '' END AS description,
+               CASE post_id % 4 WHEN 0 THEN 'Rust' WHEN 1 THEN 'Go' WHEN 2 THEN brand END AS language,
+               CASE WHEN post_id % 7 = 0 THEN REPLACE(thing, ' ', '-') ELSE kind END AS topic
+        FROM {v_subject}""",
 }
 
 
