@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rostrum import lookups as L
-from rostrum.functions.text import contains_any, extract, literal_map, py, strip
+from rostrum.functions.text import contains_any, extract, let, literal_map, py, strip
 
 MONTHS = "January February March April May June July August September October November December".split()
 MONTH_NUMBER = {
@@ -62,27 +62,32 @@ def epoch_day(epoch: Column) -> Column:
 
 def parse_any_date(text: Column) -> Column:
     """Free-form date to ``YYYY-MM-DD``: a leading ISO day wins, month/day is tried before day/month."""
-    value = F.regexp_replace(strip(text), r"\s+", " ")
+    return let(F.regexp_replace(strip(text), r"\s+", " "), _any_date)
+
+
+def _any_date(value: Column) -> Column:
+    """Rule of ``parse_any_date`` over a one-line text.
+
+    The separators tell the three shapes apart: words, slashes with the year last or first.
+    """
+    words, slashes = F.split(F.replace(value, F.lit(","), F.lit("")), " "), F.split(value, "/")
     month = literal_map(MONTH_NUMBER)
 
     def day(year: Column, month_number: Column, day_number: Column) -> Column:
-        parts = F.concat_ws("-", year, F.lpad(month_number, 2, "0"), F.lpad(day_number, 2, "0"))
-        known = year.isNotNull() & month_number.isNotNull() & day_number.isNotNull()
-        return F.when(known, parts.try_cast("date")).cast("string")
-
-    def part(pattern: str, group: int) -> Column:
-        return extract(value, pattern, group)
-
-    us, eu = r"^([A-Za-z]+) (\d{1,2}), (\d{4})$", r"^(\d{1,2}) ([A-Za-z]+) (\d{4})$"
-    slash, ymd = r"^(\d{1,2})/(\d{1,2})/(\d{4})$", r"^(\d{4})/(\d{1,2})/(\d{1,2})$"
-    return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(value, 1, 10)).otherwise(
-        F.coalesce(
-            day(part(us, 3), F.try_element_at(month, F.lower(part(us, 1))), part(us, 2)),
-            day(part(eu, 3), F.try_element_at(month, F.lower(part(eu, 2))), part(eu, 1)),
-            day(part(slash, 3), part(slash, 1), part(slash, 2)),
-            day(part(slash, 3), part(slash, 2), part(slash, 1)),
-            day(part(ymd, 1), part(ymd, 2), part(ymd, 3)),
-        )
+        return F.concat_ws("-", year, month_number, day_number).try_cast("date").cast("string")
+
+    def word(i: int) -> Column:
+        return F.get(words, F.lit(i))
+
+    def part(i: int) -> Column:
+        return F.get(slashes, F.lit(i))
+
+    return (
+        F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(value, 1, 10))
+        .when(value.rlike(r"^[A-Za-z]+ \d{1,2}, \d{4}$"), day(word(2), F.try_element_at(month, F.lower(word(0))), word(1)))
+        .when(value.rlike(r"^\d{1,2} [A-Za-z]+ \d{4}$"), day(word(2), F.try_element_at(month, F.lower(word(1))), word(0)))
+        .when(value.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.coalesce(day(part(2), part(0), part(1)), day(part(2), part(1), part(0))))
+        .when(value.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), day(part(0), part(1), part(2)))
     )
 
 

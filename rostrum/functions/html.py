@@ -10,11 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rostrum import lookups as L
-from rostrum.functions.text import collapse, contains_any, extract, matches, py, strip
+from rostrum.functions.text import collapse, strip
 
 
 def decode_entities(text: Column) -> Column:
-    for entity, char in L.HTML_ENTITIES.items():
+    """Decode the common named entities."""
+    for entity, char in L.TEXT_ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text
 
@@ -30,7 +31,10 @@ def strip_html(html: Column) -> Column:
     """Readable text: scripts and styles dropped, tags to blanks, five entities decoded at the end."""
     text = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", "")
     text = F.regexp_replace(text, r"(?is)<style[^>]*>.*?</style>", "")
-    return decode_entities(collapse(F.regexp_replace(text, "<[^>]+>", " ")))
+    text = collapse(F.regexp_replace(text, "<[^>]+>", " "))
+    for entity, char in L.HTML_ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
 
 
 def is_spa_shell(html: Column) -> Column:
@@ -66,6 +70,13 @@ def all_inner_text(html: Column, tag: str, attributes: str = "[^>]*") -> Column:
     return F.transform(parts, lambda p: strip(decode_entities(F.regexp_replace(p, "<[^>]*>", ""))))
 
 
+def paragraphs(html: Column) -> Column:
+    """Texts of all paragraphs; one that is not closed ends at the next one or with its container."""
+    pattern = r"(?is)<p\b[^>]*>(.*?)(?=</p\s*>|<p\b|</(?:article|aside|blockquote|body|div|html|li|main|section|td)\b|$)"
+    parts = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
+    return F.transform(parts, lambda p: strip(decode_entities(F.regexp_replace(p, "<[^>]*>", ""))))
+
+
 def classed_text(html: Column, class_words: str, tags: str = r"[a-z][a-z0-9]*") -> Column:
     """Texts of all elements whose class attribute holds one of ``class_words`` (a regex)."""
     pattern = rf"""(?is)<({tags})\b[^>]*\bclass\s*=\s*["'][^"']*(?:{class_words})[^"']*["'][^>]*>(.*?)</\1\s*>"""
@@ -90,9 +101,3 @@ def meta_content(html: Column, name: str) -> Column:
     tags = F.filter(meta_tags(html), lambda t: attribute(t, "name") == name)
     return F.when(F.size(tags) > 0, strip(attribute(F.get(tags, F.lit(0)), "content")))
 
-
-__all__ = [
-    "all_inner_text", "attribute", "classed_text", "contains_any", "decode_entities", "drop_elements",
-    "extract", "inner_text", "is_spa_shell", "matches", "meta_content", "meta_tags", "py", "strip_html",
-    "visible_text",
-]

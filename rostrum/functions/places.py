@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rostrum import lookups as L
-from rostrum.functions.text import blank_to_null, collapse, contains_any, extract, literal_map, matches, or_else, strip
+from rostrum.functions.text import blank_to_null, collapse, contains_any, extract, let, literal_map, matches, or_else, strip
 
 FIELDS = ("city", "state", "country", "region", "continent", "raw")
 _CONTINENT = {c: continent for continent, names in L.CONTINENT_COUNTRIES.items() for c in names}
@@ -57,6 +57,10 @@ def _with_region(city: Column, state: Column, country: Column, raw: Column) -> C
 
 def parse_location(text: Column) -> Column:
     """Free text such as ``Chicago, Illinois, USA`` to a location."""
+    return let(F.coalesce(text, F.lit("")), lambda value: F.when(text.isNull(), location()).otherwise(_parse(value)))
+
+
+def _parse(text: Column) -> Column:
     raw = strip(text)
     parts = F.transform(F.split(raw, ","), strip)
     n = F.size(parts)

@@ -39,6 +39,14 @@ def literal_map(mapping: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it.
+
+    Long rules over a computed text would otherwise repeat its whole expression at each mention.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Trim all white space, not only blanks."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -254,6 +254,11 @@ MOJIBAKE = {
     "\xe2\x80\x94": "--", "\xc3\xa9": "e", "\xc3\xa0": "a", "\xc3\xb1": "n",
 }
 HTML_ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'"}
+TEXT_ENTITIES = {  # decoded where text nodes are read; the ampersand comes last
+    "&nbsp;": "\u00a0", "&apos;": "'", "&#39;": "'", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&copy;": "©",
+    "&reg;": "®", "&middot;": "·", "&bull;": "•", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…",
+    "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&eacute;": "é", "&euro;": "€", "&amp;": "&",
+}
 SPA_MARKERS = [
     r"""<div\s+id=["'](?:root|app|__next|__nuxt)["']""", r"<script[^>]*(?:react|vue|angular|svelte)",
     r"window\.__INITIAL_STATE__", r"data-reactroot", r"ng-app", r"data-v-[a-f0-9]+",

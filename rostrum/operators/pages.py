@@ -17,14 +17,10 @@ from rostrum.functions import html as H
 from rostrum.functions.arrays import topics_from_text
 from rostrum.functions.places import near_location
 from rostrum.functions.text import blank_to_null, clean_search_text, contains_any, extract, matches, or_else, strip
-from rostrum.operators.dedup import EXTRACT_TYPE, extract_record, merge_extracts
+from rostrum.operators.dedup import extract_record, merge_extracts
 from rostrum.operators.projections import extracted_to_cfp
 
 
-def _no_record() -> Column:
-    return F.lit(None).cast(EXTRACT_TYPE)
-
-
 def _strings() -> Column:
     return F.array().cast("array<string>")
 
@@ -123,12 +119,12 @@ def structured(pages: DataFrame, out: str = "structured") -> DataFrame:
 
 
 # ---- platforms ----------------------------------------------------------------------------------
-def _first_date(text: Column, patterns: list[str]) -> Column:
-    """Date of the first pattern that matches at all."""
+def _first_text(text: Column, patterns: list[str]) -> Column:
+    """Date text of the first pattern that matches at all."""
     rule = F.when(F.lit(False), F.lit(None).cast("string"))
     for pattern in patterns:
         rule = rule.when(matches(text, pattern), extract(text, pattern))
-    return D.parse_any_date(rule)
+    return rule
 
 
 def _cut(text: Column, n: int) -> Column:
@@ -143,57 +139,64 @@ def _short_tags(html: Column, words: str) -> Column:
 def platform(pages: DataFrame, out: str = "platform") -> DataFrame:
     """Add the extract by the rules of the platform the link belongs to.
 
-    NULL on other sites or without a name. Pages of other sites skip all of it: the rules sit behind
-    the test of the link.
+    NULL on other sites or without a name. Each field is a choice by site, so pages of other sites
+    skip all rules, and every date text is parsed in one place.
     """
-    html, text = F.col("html"), F.col("__flat")
+    html, text, site = F.col("html"), F.col("__flat"), F.col("__site")
+
+    def by_site(**rules: Column) -> Column:
+        chosen = F.when(F.lit(False), F.lit(None).cast("string"))
+        for name, rule in rules.items():
+            chosen = chosen.when(site == name, rule)
+        return chosen
+
+    def first(words: str, tags: str) -> Column:
+        return F.get(H.classed_text(html, words, tags), F.lit(0))
+
     h1 = H.inner_text(html, "h1")
-    online = matches(text, L.ONLINE_PATTERN)
-    about = F.get(H.classed_text(html, "description|about", "div"), F.lit(0))
-    sessionize = extract_record(
-        "sessionize", L.PLATFORM_CONFIDENCE["sessionize"], name=h1, description=_cut(about, 500),
-        cfp_end_date=_first_date(text, L.PLATFORM_DEADLINES["sessionize"]),
-        event_start_date=D.parse_any_date(extract(text, L.SESSIONIZE_EVENT_DATES, 1)),
-        event_end_date=D.parse_any_date(extract(text, L.SESSIONIZE_EVENT_DATES, 2)),
-        location_raw=_cut(_text_node_parent(html), 100), is_online=online, topics=_short_tags(html, "tag|category|topic"),
-    )
-    section = F.coalesce(
-        F.get(H.classed_text(html, "description|about", "section"), F.lit(0)),
-        F.get(H.classed_text(html, "description|about|content", "div"), F.lit(0)),
-    )
-    papercall = extract_record(
-        "papercall", L.PLATFORM_CONFIDENCE["papercall"], name=h1, description=_cut(section, 500),
-        cfp_end_date=_first_date(text, L.PLATFORM_DEADLINES["papercall"]),
-        event_start_date=D.parse_any_date(extract(text, L.PAPERCALL_EVENT_DATE)),
-        location_raw=strip(extract(text, L.PAPERCALL_LOCATION)), is_online=online, topics=_short_tags(html, "tag|topic|track"),
-    )
+    any_tag = r"[a-z][a-z0-9]*"
     main = or_else(
         F.regexp_extract(html, r"(?is)<main\b[^>]*>(.*?)</main\s*>", 1), F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1)
     )
-    lead = F.substring(F.array_join(F.slice(H.all_inner_text(main, "p"), 1, 2), " "), 1, 500)
-    pretalx = extract_record(
-        "pretalx", L.PLATFORM_CONFIDENCE["pretalx"], name=h1, description=blank_to_null(lead),
-        cfp_end_date=_first_date(text, L.PLATFORM_DEADLINES["pretalx"]), is_online=online,
-    )
-    dated = F.get(H.classed_text(html, "date-info|event-date"), F.lit(0))
-    eventbrite = extract_record(
-        "eventbrite", L.PLATFORM_CONFIDENCE["eventbrite"], name=F.get(H.classed_text(html, "event-title", "h1"), F.lit(0)),
-        description=_cut(F.get(H.classed_text(html, "structured-content|description", "div"), F.lit(0)), 500),
-        event_start_date=D.parse_any_date(extract(dated, L.EVENTBRITE_DATE)),
-        location_raw=_cut(F.get(H.classed_text(html, "location-info|venue"), F.lit(0)), 100),
-    )
+    section = F.coalesce(first("description|about", "section"), first("description|about|content", "div"))
+    raw = {
+        "__name": by_site(sessionize=h1, papercall=h1, pretalx=h1, eventbrite=first("event-title", "h1")),
+        "__about": by_site(
+            sessionize=_cut(first("description|about", "div"), 500), papercall=_cut(section, 500),
+            pretalx=blank_to_null(F.substring(F.array_join(F.slice(H.paragraphs(main), 1, 2), " "), 1, 500)),
+            eventbrite=_cut(first("structured-content|description", "div"), 500),
+        ),
+        "__end": by_site(**{name: _first_text(text, patterns) for name, patterns in L.PLATFORM_DEADLINES.items() if patterns}),
+        "__start_day": by_site(
+            sessionize=extract(text, L.SESSIONIZE_EVENT_DATES, 1), papercall=extract(text, L.PAPERCALL_EVENT_DATE),
+            eventbrite=extract(first("date-info|event-date", any_tag), L.EVENTBRITE_DATE),
+        ),
+        "__end_day": by_site(sessionize=extract(text, L.SESSIONIZE_EVENT_DATES, 2)),
+        "__where": by_site(
+            sessionize=_cut(_text_node_parent(html), 100), papercall=strip(extract(text, L.PAPERCALL_LOCATION)),
+            eventbrite=_cut(first("location-info|venue", any_tag), 100),
+        ),
+        "__online": site.isin("sessionize", "papercall", "pretalx") & matches(text, L.ONLINE_PATTERN),
+        "__tags": F.when(site == "sessionize", _short_tags(html, "tag|category|topic")).when(
+            site == "papercall", _short_tags(html, "tag|topic|track")
+        ).otherwise(_strings()),
+    }
     lowered = F.lower("page_url")
-    site = F.when(F.lit(False), F.lit(None).cast("string"))
+    which = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, part in L.PLATFORM_URL_PART.items():
-        site = site.when(F.contains(lowered, F.lit(part)), F.lit(name))
-    rule = F.when(F.lit(False), _no_record())
-    for name, record in (("sessionize", sessionize), ("papercall", papercall), ("pretalx", pretalx), ("eventbrite", eventbrite)):
-        rule = rule.when(F.col("__site") == name, record)
-    staged = pages.withColumn("__site", site)
-    staged = staged.withColumn("__flat", F.when(F.col("__site").isNotNull(), H.visible_text(html, separator="")))
-    staged = staged.withColumn("__platform", rule)
-    named = F.when(blank_to_null(F.col("__platform.name")).isNotNull(), F.col("__platform"))
-    return staged.withColumn(out, named).drop("__site", "__flat", "__platform")
+        which = which.when(F.contains(lowered, F.lit(part)), F.lit(name))
+    sure = F.when(F.lit(False), F.lit(0.0))
+    for name, confidence in L.PLATFORM_CONFIDENCE.items():
+        sure = sure.when(site == name, F.lit(confidence))
+    record = extract_record(
+        site, sure, name=F.col("__name"), description=F.col("__about"), cfp_end_date=D.parse_any_date(F.col("__end")),
+        event_start_date=D.parse_any_date(F.col("__start_day")), event_end_date=D.parse_any_date(F.col("__end_day")),
+        location_raw=F.col("__where"), is_online=F.coalesce("__online", F.lit(False)), topics=F.col("__tags"),
+    )
+    staged = pages.withColumn("__site", which)
+    staged = staged.withColumn("__flat", F.when(site.isNotNull(), H.visible_text(html, separator=""))).withColumns(raw)
+    named = F.when(blank_to_null(F.col("__name")).isNotNull(), record)
+    return staged.withColumn(out, named).drop("__site", "__flat", *raw)
 
 
 def _text_node_parent(html: Column) -> Column:
@@ -235,7 +238,7 @@ def heuristics(pages: DataFrame, out: str = "heuristic") -> DataFrame:
         return F.when(flag, F.lit(0.2)).otherwise(F.lit(0.0))
 
     name = F.coalesce(H.inner_text(body, "h1"), H.inner_text(body, "title"))
-    paragraphs = F.filter(H.all_inner_text(body, "p"), lambda p: F.length(p) > 100)
+    paragraphs = F.filter(H.paragraphs(body), lambda p: F.length(p) > 100)
     base = F.when(contains_any(F.lower(text), L.CFP_PHRASES), F.lit(0.4)).otherwise(F.lit(0.1))
     sure = F.least(base + bonus(near.isNotNull()) + bonus(deadline.isNotNull()), F.lit(1.0))
     record = extract_record(

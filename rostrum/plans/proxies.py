@@ -171,6 +171,25 @@ VIEWS = {
                CASE post_id % 4 WHEN 0 THEN 'Rust' WHEN 1 THEN 'Go' WHEN 2 THEN brand END AS language,
                CASE WHEN post_id % 7 = 0 THEN REPLACE(thing, ' ', '-') ELSE kind END AS topic
         FROM {v_subject}""",
+    # the pages with structured data and call wording added
+    "v_page": """
+        SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'https://sessionize.com/ev' WHEN 1 THEN 'https://www.papercall.io/ev' WHEN 2 THEN 'https://pretalx.com/ev'
+                 WHEN 3 THEN 'https://www.eventbrite.com/e/' ELSE 'https://Ev.example/' END || CAST(page_id AS STRING) AS page_url,
+               REPLACE(REPLACE(REPLACE(html, '</head>', CASE page_id % 4
+                   WHEN 0 THEN '<script type="application/ld+json">{"@type": "Thing", "name": "no"}</script><script type="application/ld+json">{"@context": "x", "@type": "Event", "name": "Ev ' ||
+                     CAST(page_id AS STRING) || '", "startDate": "2026-05-01T09:00", "endDate": "May 3, 2026", "location": {"@type": "Place", "name": "Hall", "address": {"addressLocality": "Lyon", "addressCountry": "France"}}, "keywords": "rust, data"}</script>'
+                   WHEN 1 THEN '<script type="application/ld+json">[{"@type": ["Thing", "Festival"], "name": "Fest ' || CAST(page_id AS STRING) || '", "location": {"@type": "VirtualLocation", "name": "Net"}, "keywords": ["k1", "k2"]}]</script>'
+                   WHEN 2 THEN '<script type="application/ld+json">{"@type": "SocialEvent", "description": "Meet", "location": "Online via web", "url": "https://s.example/"}</script>'
+                   ELSE '<script type="application/ld+json">{broken</script>' END ||
+                 CASE WHEN page_id % 3 = 0 THEN '<meta property="og:title" content="Og ' || CAST(page_id AS STRING) || '"><meta property="og:event:start_time" content="2026-06-0' || CAST(1 + page_id % 9 AS STRING) ||
+                     'T10:00"/><meta content="About &amp; more" property="og:description">' ELSE '' END ||
+                 CASE WHEN page_id % 5 = 0 THEN '<meta name="description" content=" A page "><meta name="keywords" content="x, y ,z">' ELSE '' END || '</head>'),
+                 '</article>', CASE page_id % 6 WHEN 0 THEN '<p>Call for papers. Submissions close: March 5, 2026. Event: May 1, 2026 - May 3, 2026</p>'
+                   WHEN 1 THEN '<p>Call for speakers, CFP closes April 2, 2026. Event date: June 7 2026</p><p>Location: Lyon, France</p>'
+                   WHEN 2 THEN '<p>Submit a talk, deadline: 2026-04-30. The conference starts 2026-09-01 and ends 2026-09-03</p>'
+                   WHEN 3 THEN '<div class="date-info">On July 4, 2026</div><div class="venue">Big Hall</div>' ELSE '' END || '</article>'),
+                 '<article>', '<article><h1 class="event-title">Title ' || CAST(page_id AS STRING) || '</h1><div class="description">Come to number ' || CAST(page_id AS STRING) || '</div><span class="tag">rust</span><span class="topic-tag">data</span>') AS html
+        FROM {pages}""",
 }
 
 
