@@ -14,7 +14,7 @@ from rostrum.operators import speaker_calls as C
 from rostrum.operators import state as S
 from rostrum.plans import jobs
 from rostrum.plans.proxies import AS_OF
-from rostrum.plans.storage import new_path
+from rostrum.plans.storage import new_path, staged
 from rostrum.streaming import crawl
 
 
@@ -101,15 +101,14 @@ CALL_ID = "substr(sha256(CASE page_id % 7 WHEN 0 THEN 'https://sessionize.com/ev
 
 
 @register("extracted_calls", "PG-6", "PRJ-6", "DUP-5", oracle=f"""
-    SELECT {CALL_ID} AS object_id, CASE page_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN CASE WHEN page_id % 4 < 2 AND FALSE THEN 1 ELSE 0 END
-             ELSE CASE page_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END END AS name_kind,
+    SELECT {CALL_ID} AS object_id, CASE WHEN page_id % 7 < 3 THEN 0 WHEN page_id % 4 < 3 THEN page_id % 4 + 1 WHEN page_id % 7 = 3 OR page_id % 6 < 3 THEN 0 ELSE 3 END AS name_kind,
            CASE page_id % 6 WHEN 0 THEN CAST(epoch(TIMESTAMP '2026-03-05') AS BIGINT) WHEN 1 THEN CAST(epoch(TIMESTAMP '2026-04-02') AS BIGINT) WHEN 2 THEN CAST(epoch(TIMESTAMP '2026-04-30') AS BIGINT) END AS cfp_end_date
-    FROM {{pages}} WHERE page_id % 7 < 4 OR page_id % 4 < 3 OR page_id % 3 = 0 OR TRUE""")
+    FROM {{pages}}""")
 def _(t):
     calls, _ = P.extract_cfps(t.view("v_page").select("page_url", "html"))
     name = F.col("name")
     kind = F.when(name.startswith("Title "), 0).when(name.rlike(r"^Ev \d"), 1).when(name.startswith("Fest "), 2).otherwise(3)
-    return calls.select("object_id", kind.alias("name_kind"), "cfp_end_date")
+    return calls.select("object_id", kind.cast("bigint").alias("name_kind"), "cfp_end_date")
 
 
 @register("extraction_outcomes", "PG-6", "ST-3", oracle="""
@@ -127,7 +126,7 @@ def _(t):
 
 
 @register("relevant_lines", "PG-18", oracle=f"""
-    WITH x AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(COALESCE(NULLIF(regexp_extract(h, '(?is)<article[^>]*>(.*?)</article>', 1), ''), h),
+    WITH x AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(regexp_replace(COALESCE(NULLIF(regexp_extract(h, '(?is)<article[^>]*>(.*?)</article>', 1), ''), h),
                  '<[^>]*>', '\n', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&', 'g') AS txt
                FROM (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<nav[^>]*>.*?</nav>|<footer[^>]*>.*?</footer>', '', 'g') AS h FROM {{v_page}})),
     l AS (SELECT page_id, i, line FROM (SELECT page_id, UNNEST(s) AS line, generate_subscripts(s, 1) AS i FROM (
@@ -159,7 +158,7 @@ CALL_TEXT = """
              UNNEST(CASE id % 5 WHEN 0 THEN ['10 minutes'] WHEN 1 THEN [NULL, '3 hours'] WHEN 2 THEN ['45 min'] WHEN 3 THEN ['30 min'] ELSE CAST([] AS VARCHAR[]) END) AS duration FROM ({CALL_TEXT}))
     UNION ALL SELECT id, 'Session', '10 min' FROM ({CALL_TEXT}) WHERE id % 5 = 0 UNION ALL SELECT id, 'Session', '45 min' FROM ({CALL_TEXT}) WHERE id % 5 = 2""")
 def _(t):
-    rows = t.sql(CALL_TEXT).withColumn("placed", C.session_formats(F.col("text")))
+    rows = staged(t.sql(CALL_TEXT), placed=C.session_formats(F.col("text")))
     return rows.select("id", F.inline(C.one_per_name(F.col("placed"))))
 
 
@@ -188,7 +187,7 @@ def _(t):
 
 
 CLEAN = """trim(regexp_replace(
-      CASE id % 4 WHEN 0 THEN CASE WHEN id % 3 = 2 THEN ' ' ELSE ' ' END WHEN 1 THEN ' ' ELSE '' END ||
+      CASE id % 4 WHEN 0 THEN 'ev' || CAST(id AS VARCHAR) || '.example/x ' WHEN 1 THEN 'a.example ' ELSE '' END ||
       CASE id % 5 WHEN 0 THEN 'Lightning talks: 10 minutes. ' WHEN 1 THEN 'Workshop: 3 hours and a keynote. ' WHEN 2 THEN 'We run 45 min talks. ' WHEN 3 THEN 'all sessions are 30 minutes long. ' ELSE '' END ||
       CASE id % 7 WHEN 0 THEN 'We expect over 1200 attendees. ' WHEN 1 THEN '2,500+ developers joined. ' WHEN 2 THEN 'capacity of 350. ' ELSE '' END ||
       CASE id % 6 WHEN 0 THEN 'travel covered and 2 hotel nights. ' WHEN 1 THEN 'we are not covering any travel but accommodation covered. ' WHEN 2 THEN 'up to $800 for travel, free admission. '
@@ -203,7 +202,7 @@ CLEAN = """trim(regexp_replace(
     FROM (SELECT id, {CLEAN} AS clean_text FROM {{v_person}})""")
 def _(t):
     text = F.col("text")
-    rows = t.sql(CALL_TEXT).withColumns({"clean_text": C.clean_call_text(text), "b": C.speaker_benefits(text), "m": C.call_metadata(text)})
+    rows = staged(t.sql(CALL_TEXT), clean_text=C.clean_call_text(text), b=C.speaker_benefits(text), m=C.call_metadata(text))
     return rows.select("id", "clean_text", C.event_format(F.col("m.location_raw"), F.col("clean_text"), F.col("b")).alias("event_format"))
 
 
@@ -267,7 +266,7 @@ def checked(t: Tables) -> DataFrame:
 
 
 ISSUES = """SELECT id, list_filter([
-      CASE WHEN id % 4 = 0 AND id % 6 <> 0 THEN 'MISSED_DURATION: found "' || CAST(size AS VARCHAR) || ' minute" but no formats extracted' END,
+      CASE WHEN id % 4 = 0 AND id % 6 <> 0 THEN 'MISSED_DURATION: found "' || CAST(size AS VARCHAR) || ' min" but no formats extracted' END,
       CASE WHEN id % 3 = 0 AND id % 2 <> 0 THEN 'MISSED_TRAVEL: travel benefit pattern in text but not extracted' END,
       CASE WHEN id % 3 = 2 AND id % 7 <> 0 THEN 'MISSED_FREE_TICKET: free ticket pattern in text but ticket not True' END,
       CASE WHEN id % 5 = 0 AND id % 10 <> 0 THEN 'MISSED_ATTENDANCE: found "300 people" but not extracted' END], lambda x: x IS NOT NULL) AS issues, id % 6 = 0 AS f, id % 2 = 0 OR id % 7 = 0 AS b, id % 10 = 0 AS a, id % 11 <> 0 AS h
@@ -321,11 +320,11 @@ def _(t):
     return S.extract_plan(t.sql(STORE), AS_OF, 700).select("url", "phase")
 
 
-OUTCOME = f"""SELECT 'https://u.example/' || CAST(seq AS STRING) || '/' AS url, seq % 2 = 0 AS ok, CAST({AS_OF} AS DOUBLE) AS attempted_at, CASE WHEN seq % 3 = 0 THEN 'browser' ELSE '' END AS fetch_method,
+OUTCOME = f"""SELECT 'https://u.example/' || CAST(seq AS STRING) || '/' AS url, seq % 2 = 0 AS ok, CAST({AS_OF} + 60 AS DOUBLE) AS attempted_at, CASE WHEN seq % 3 = 0 THEN 'browser' ELSE '' END AS fetch_method,
     seq % 5 = 0 AS is_spa, CAST(CASE WHEN seq % 7 = 0 THEN 500 END AS INT) AS http_status, CASE seq % 3 WHEN 0 THEN 'timeout' WHEN 1 THEN 'low_confidence' END AS error_reason, seq % 11 = 0 AS is_retry
     FROM {{v_cfp}} WHERE seq % 4 <> 0"""
 APPLIED = f"""SELECT s.url, CASE WHEN ok THEN TRUE ELSE extracted END AS extracted, CASE WHEN ok THEN FALSE WHEN NOT ok THEN TRUE ELSE extraction_failed END AS extraction_failed,
-    CASE WHEN o.url IS NOT NULL THEN CAST({AS_OF} AS DOUBLE) ELSE last_attempt END AS last_attempt, CASE WHEN ok AND o.fetch_method <> '' THEN o.fetch_method ELSE s.fetch_method END AS fetch_method,
+    CASE WHEN o.url IS NOT NULL THEN CAST({AS_OF} + 60 AS DOUBLE) ELSE last_attempt END AS last_attempt, CASE WHEN ok AND o.fetch_method <> '' THEN o.fetch_method ELSE s.fetch_method END AS fetch_method,
     CASE WHEN ok THEN o.is_spa ELSE s.is_spa END AS is_spa, CASE WHEN NOT ok AND o.http_status IS NOT NULL THEN o.http_status ELSE s.http_status END AS http_status,
     CASE WHEN NOT ok AND o.error_reason IS NOT NULL THEN o.error_reason ELSE s.error_reason END AS error_reason,
     CAST(retry_count + CASE WHEN NOT ok AND is_retry THEN 1 ELSE 0 END AS INT) AS retry_count,
@@ -390,7 +389,7 @@ def _(t):
     return after.select("url", "extracted", "extraction_failed")
 
 
-@register("streamed_url_store", "STR-2", "DUP-4", "ST-3", oracle=APPLIED.replace(f"FROM ({STORE}) s", f"FROM ({STORE}) s") + " UNION ALL SELECT 'https://new.example/' || CAST(seq AS VARCHAR), FALSE, FALSE, NULL, NULL, FALSE, NULL, NULL, 0, FALSE FROM {v_cfp} WHERE seq % 50 = 0")
+@register("streamed_url_store", "STR-2", "DUP-4", "ST-3", oracle=APPLIED + " UNION ALL SELECT 'https://new.example/' || CAST(seq AS VARCHAR), FALSE, FALSE, NULL, NULL, FALSE, NULL, NULL, 0, FALSE FROM {v_cfp} WHERE seq % 50 = 0")
 def _(t):
     """Links, then outcomes, streamed into a stored table; the outcome files are streamed twice."""
     table = new_path(t.spark, "store")

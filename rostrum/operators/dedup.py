@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rostrum import lookups as L
 from rostrum.functions.text import blank_to_null, or_else, slugify, url_key
 from rostrum.plans.skew import first_per_key
-from rostrum.plans.storage import cut_lineage
+from rostrum.plans.storage import cut_lineage, staged
 
 
 def with_dedup_keys(cfps: DataFrame, order: Sequence[str] = ("source_rank", "seq"), preferred: str = L.PREFERRED_SOURCE) -> DataFrame:
@@ -193,8 +193,8 @@ def merge_extracts(
     merged = F.struct(
         *columns, method.alias("extraction_method"), F.coalesce(base["confidence"], F.lit(0.0)).alias("confidence")
     )
-    staged = df.withColumn("__ordered", F.transform(ranked, lambda e: e["r"]))
-    return staged.withColumn(out, merged).drop("__ordered")
+    rows = staged(df, __ordered=F.transform(ranked, lambda e: e["r"]))
+    return staged(rows, **{out: merged}).drop("__ordered")
 
 
 # ---- graph nodes --------------------------------------------------------------------------------

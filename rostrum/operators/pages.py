@@ -19,6 +19,7 @@ from rostrum.functions.places import near_location
 from rostrum.functions.text import blank_to_null, clean_search_text, contains_any, extract, matches, or_else, strip
 from rostrum.operators.dedup import extract_record, merge_extracts
 from rostrum.operators.projections import extracted_to_cfp
+from rostrum.plans.storage import staged
 
 
 def _strings() -> Column:
@@ -75,8 +76,9 @@ def jsonld_events(pages: DataFrame, out: str = "jsonld") -> DataFrame:
         city=F.when(~virtual, address["addressLocality"]), country=F.when(~virtual, address["addressCountry"]),
         location_raw=raw, is_online=online, topics=F.slice(F.coalesce(topics, _strings()), 1, 10),
     )
-    staged = pages.withColumn("__block", found).withColumn("__place", F.when(_is_object(where), F.from_json(where, _PLACE)))
-    return staged.withColumn(out, F.when(block.isNotNull(), record)).drop("__block", "__place")
+    rows = staged(pages, __block=found)
+    rows = staged(rows, __place=F.when(_is_object(where), F.from_json(where, _PLACE)))
+    return staged(rows, **{out: F.when(block.isNotNull(), record)}).drop("__block", "__place")
 
 
 def opengraph(pages: DataFrame, out: str = "og") -> DataFrame:
@@ -95,8 +97,8 @@ def opengraph(pages: DataFrame, out: str = "og") -> DataFrame:
         event_start_date=D.parse_any_date(value("event:start_time")),
         event_end_date=D.parse_any_date(value("event:end_time")), location_raw=value("locale"),
     )
-    staged = pages.withColumn("__og", F.when(F.contains("html", F.lit("og:")), tags))
-    return staged.withColumn(out, F.when(F.size("__og") > 0, record)).drop("__og")
+    rows = staged(pages, __og=F.when(F.contains("html", F.lit("og:")), tags))
+    return staged(rows, **{out: F.when(F.size("__og") > 0, record)}).drop("__og")
 
 
 def meta_tags(pages: DataFrame, out: str = "meta") -> DataFrame:
@@ -107,9 +109,8 @@ def meta_tags(pages: DataFrame, out: str = "meta") -> DataFrame:
         "meta", 0.3, name=H.inner_text(html, "title"), description=H.meta_content(html, "description"),
         topics=F.coalesce(topics, _strings()),
     )
-    staged = pages.withColumn("__meta", record)
     known = blank_to_null(F.col("__meta.name")).isNotNull() | blank_to_null(F.col("__meta.description")).isNotNull()
-    return staged.withColumn(out, F.when(known, F.col("__meta"))).drop("__meta")
+    return staged(pages, __meta=record).withColumn(out, F.when(known, F.col("__meta"))).drop("__meta")
 
 
 def structured(pages: DataFrame, out: str = "structured") -> DataFrame:
@@ -193,10 +194,11 @@ def platform(pages: DataFrame, out: str = "platform") -> DataFrame:
         event_start_date=D.parse_any_date(F.col("__start_day")), event_end_date=D.parse_any_date(F.col("__end_day")),
         location_raw=F.col("__where"), is_online=F.coalesce("__online", F.lit(False)), topics=F.col("__tags"),
     )
-    staged = pages.withColumn("__site", which)
-    staged = staged.withColumn("__flat", F.when(site.isNotNull(), H.visible_text(html, separator=""))).withColumns(raw)
+    rows = staged(pages, __site=which)
+    rows = staged(rows, __flat=F.when(site.isNotNull(), H.visible_text(html, separator="")))
+    rows = staged(rows, __raw=F.struct(*[value.alias(name) for name, value in raw.items()])).select("*", "__raw.*")
     named = F.when(blank_to_null(F.col("__name")).isNotNull(), record)
-    return staged.withColumn(out, named).drop("__site", "__flat", *raw)
+    return staged(rows, **{out: named}).drop("__site", "__flat", "__raw", *raw)
 
 
 def _text_node_parent(html: Column) -> Column:
@@ -213,19 +215,17 @@ CHROME = ("script", "style", "nav", "footer", "header", "aside")
 def heuristics(pages: DataFrame, out: str = "heuristic") -> DataFrame:
     """Add the extract by wording alone: call phrases, dates and their context, headings, paragraphs."""
     body, text = F.col("__body"), F.col("__text")
-    staged = pages.withColumns({"__body": H.drop_elements(F.col("html"), CHROME), "__text": H.visible_text(F.col("html"), CHROME)})
+    rows = staged(pages, __body=H.drop_elements(F.col("html"), CHROME), __text=H.visible_text(F.col("html"), CHROME))
     dated = F.transform(D.all_dates_with_context(text), lambda d, i: F.struct(
         d["day"].alias("day"), D.classify_date(d["context"]).alias("role"), i.alias("i")))
-    staged = staged.withColumns({
-        "__dated": dated, "__near": F.get(D.dates_near_keywords(text), F.lit(0)), "__where": near_location(text),
-    })
+    rows = staged(rows, __dated=dated, __near=F.get(D.dates_near_keywords(text), F.lit(0)), __where=near_location(text))
     near, places = F.col("__near"), F.col("__dated")
     first_deadline = F.get(F.filter(places, lambda d: d["role"] == "cfp_deadline"), F.lit(0))
     # a date equal to the deadline is skipped from the moment the deadline is known
-    staged = staged.withColumns({
-        "__deadline": F.coalesce(near, first_deadline["day"]),
-        "__known": F.when(near.isNotNull(), F.lit(-1)).otherwise(F.coalesce(first_deadline["i"], F.lit(1000000000))),
-    })
+    rows = staged(
+        rows, __deadline=F.coalesce(near, first_deadline["day"]),
+        __known=F.when(near.isNotNull(), F.lit(-1)).otherwise(F.coalesce(first_deadline["i"], F.lit(1000000000))),
+    )
     deadline, known = F.col("__deadline"), F.col("__known")
 
     def event_date(role: str) -> Column:
@@ -248,7 +248,7 @@ def heuristics(pages: DataFrame, out: str = "heuristic") -> DataFrame:
         location_raw=F.col("__where.location"), is_online=F.col("__where.is_online"), topics=topics_from_text(text),
         full_text=clean_search_text(text),
     )
-    return staged.withColumn(out, record).drop("__body", "__text", "__dated", "__near", "__where", "__deadline", "__known")
+    return staged(rows, **{out: record}).drop("__body", "__text", "__dated", "__near", "__where", "__deadline", "__known")
 
 
 # ---- the whole extraction -----------------------------------------------------------------------

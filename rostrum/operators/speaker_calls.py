@@ -10,6 +10,7 @@ from rostrum import lookups as L
 from rostrum.functions import html as H
 from rostrum.functions.arrays import title_case
 from rostrum.functions.text import blank_to_null, collapse, contains_any, extract, literal_map, matches, or_else, py, strip
+from rostrum.plans.storage import staged
 
 
 def page_text(html: Column) -> Column:
@@ -189,11 +190,10 @@ def max_submissions(html: Column) -> Column:
 def mine_calls(pages: DataFrame) -> DataFrame:
     """All mined columns of call pages (``page_url, html``); texts and structs are staged once."""
     html, text = F.col("html"), F.col("text")
-    rows = pages.withColumn("text", page_text(html))
-    rows = rows.withColumns({
-        "placed": session_formats(text), "benefits": speaker_benefits(text), "meta": call_metadata(text),
-        "clean_text": clean_call_text(text),
-    })
+    rows = staged(pages, text=page_text(html))
+    rows = staged(
+        rows, placed=session_formats(text), benefits=speaker_benefits(text), meta=call_metadata(text), clean_text=clean_call_text(text)
+    )
     return rows.select(
         *pages.columns, "text", one_per_name(F.col("placed")).alias("session_formats"), "benefits", attendance(text).alias("attendance"),
         target_audience(text).alias("target_audience"), tracks(html).alias("tracks"), max_submissions(html).alias("max_submissions"),

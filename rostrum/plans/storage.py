@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +39,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so that losing an executor does not replay earlier rounds."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame, **columns) -> DataFrame:
+    """Add columns that later steps see as finished values.
+
+    The optimizer merges neighbouring projections by copying expressions into each other; for rules over
+    rules that can blow up the plan. The generator in between keeps each step as it is; it stays inside
+    the row pipeline and moves no data.
+    """
+    for name, value in columns.items():
+        df = df.select("*", F.explode(F.array(value)).alias(name))
+    return df
