@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,42 +79,51 @@ def bfs_discover(seeds: DataFrame, talks: DataFrame, max_speakers: int = 50, max
     unseen names on talks with a known channel. Speakers are expanded in (level, slug) order until
     ``max_speakers`` have been. Returns ``speakers``, ``talks`` and ``channels``.
 
-    Per level there is one join with the talk table; visited rows are removed by anti-joins and every
-    level is checkpointed.
+    The talks of each person are ranked and cut once, before the loop. A level is a join of that table
+    with its frontier and two anti-joins with what earlier levels found; each level's rows are
+    checkpointed, and the lists of earlier parts are merged into one from time to time.
     """
-    found = talks.withColumn("owner", slugify(F.col("listed_under")))
+    views = F.coalesce("view_count", F.lit(0))
+    owned = talks.withColumn("owner", slugify(F.col("listed_under")))
+    owned = top_k_per_key(owned, ["owner"], [views.desc(), F.col("object_id")], max_talks).drop("rank")
+    known_channel = (F.col("channel") != "") & (F.col("channel") != "Unknown")
+    usable = known_channel & is_valid_speaker(F.col("speaker"))
+    found = cut_lineage(owned.withColumn("named_slug", F.when(usable, slugify(F.col("speaker")))))
+    named = seeds.filter(F.trim("name") != "").select(F.trim("name").alias("name")).withColumn("slug", slugify(F.col("name")))
     frontier = cut_lineage(
-        seeds.filter(F.trim("name") != "").select(F.trim("name").alias("name")).withColumn("slug", slugify(F.col("name")))
-        .groupBy("slug").agg(F.min("name").alias("name")).withColumns({"level": F.lit(0), "source": F.lit("seed")})
+        named.groupBy("slug").agg(F.min("name").alias("name")).withColumns({"level": F.lit(0), "source": F.lit("seed")})
     )
-    speakers, seen_talks = frontier, None
-    expanded = 0
+    speakers, seen, expanded = [frontier], [], 0
     for level in range(max_levels):
-        room = max_speakers - expanded
-        batch = cut_lineage(frontier.orderBy("slug").limit(room).withColumn("expanded", F.lit(True)))
-        size = batch.count()
-        if size == 0:
+        room, waiting = max_speakers - expanded, frontier.count()
+        if waiting == 0:
             break
-        expanded += size
+        # cut only when the frontier is larger than what may still be expanded
+        batch = frontier if waiting <= room else cut_lineage(frontier.orderBy("slug").limit(room))
+        expanded += min(waiting, room)
         own = found.join(batch.select(F.col("slug").alias("owner"), F.col("name").alias("found_by")), "owner")
-        own = top_k_per_key(own, ["owner"], [F.coalesce("view_count", F.lit(0)).desc(), F.col("object_id")], max_talks).drop("rank")
+        for part in seen:
+            own = own.join(part.select("object_id"), "object_id", "left_anti")
         # a talk of two people of one level belongs to the first
-        first = own.groupBy("object_id").agg(F.min("owner").alias("owner"))
-        own = own.join(first, ["object_id", "owner"], "left_semi").withColumn("level", F.lit(level))
-        if seen_talks is not None:
-            own = own.join(seen_talks.select("object_id"), "object_id", "left_anti")
+        row = F.struct(*[F.col(c) for c in own.columns])
+        own = own.groupBy("object_id").agg(F.min_by(row, "owner").alias("r")).select("r.*").withColumn("level", F.lit(level))
         own = cut_lineage(own)
-        seen_talks = own if seen_talks is None else cut_lineage(seen_talks.unionByName(own))
-        known_channel = (F.col("channel") != "") & (F.col("channel") != "Unknown")
-        names = own.filter(known_channel & (F.col("speaker") != F.col("found_by")) & is_valid_speaker(F.col("speaker")))
-        fresh = names.select(F.col("speaker").alias("name"), slugify(F.col("speaker")).alias("slug"))
-        fresh = fresh.groupBy("slug").agg(F.min("name").alias("name")).join(speakers.select("slug"), "slug", "left_anti")
-        fresh = cut_lineage(fresh.withColumns({"level": F.lit(level + 1), "source": F.lit("talk_extraction")}))
-        speakers = cut_lineage(speakers.unionByName(fresh))
+        seen = _parts([*seen, own])
+        fresh = own.filter(F.col("named_slug").isNotNull() & (F.col("speaker") != F.col("found_by")))
+        fresh = fresh.groupBy(F.col("named_slug").alias("slug")).agg(F.min("speaker").alias("name"))
+        for part in speakers:
+            fresh = fresh.join(part.select("slug"), "slug", "left_anti")
+        fresh = cut_lineage(fresh.select("slug", "name", F.lit(level + 1).alias("level"), F.lit("talk_extraction").alias("source")))
+        speakers = _parts([*speakers, fresh])
         if expanded >= max_speakers:
             break
         frontier = fresh
-    return _discovered(speakers, seen_talks)
+    return _discovered(reduce(DataFrame.unionByName, speakers), reduce(DataFrame.unionByName, seen))
+
+
+def _parts(parts: list[DataFrame], most: int = 6) -> list[DataFrame]:
+    """Merge the parts into one checkpointed table once there are more than ``most``."""
+    return [cut_lineage(reduce(DataFrame.unionByName, parts).coalesce(64))] if len(parts) > most else parts
 
 
 def _discovered(speakers: DataFrame, talks: DataFrame) -> dict[str, DataFrame]:
