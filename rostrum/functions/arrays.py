@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rostrum import lookups as L
-from rostrum.functions.text import collapse, extract, normalize_tag, py, strip
+from rostrum.functions.text import collapse, normalize_tag, strip
 
 
 def clean_tags(tags: Column) -> Column:
@@ -34,7 +34,9 @@ def tags_changed(tags: Column, extra: Mapping[str, str] | None = None) -> Column
 
 def topics_from_text(text: Column, limit: int = 15) -> Column:
     """Listed topics and known technology words in a page text, sorted, at most ``limit``."""
-    listed = F.transform(F.split(extract(text, L.TOPICS_INCLUDE_PATTERN), py(r"[,;]|\band\b")), strip)
+    section = F.nullif(F.regexp_extract(text, L.TOPICS_INCLUDE_PATTERN, 1), F.lit(""))
+    section = F.when(F.contains(F.lower(text), F.lit("topic")), section)
+    listed = F.transform(F.split(section, r"[,;]|\band\b"), strip)
     listed = F.filter(listed, lambda t: (F.length(t) > 3) & (F.length(t) < 50))
     lowered = F.lower(text)
     known = F.array_compact(

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rostrum import lookups as L
-from rostrum.functions.text import contains_any, extract, let, literal_map, py, strip
+from rostrum.functions.text import contains_any, extract, let, literal_map, strip
 
 MONTHS = "January February March April May June July August September October November December".split()
 MONTH_NUMBER = {
@@ -150,7 +150,7 @@ def dates_near_keywords(text: Column, keywords: Sequence[str] = tuple(L.DEADLINE
     contexts = F.transform(F.filter(places, lambda at: at > 0), lambda at: F.substring(text, at, F.lit(reach)))
     found = F.transform(
         contexts,
-        lambda c: F.concat(*[F.regexp_extract_all(c, F.lit(py("(?i)" + p)), F.lit(1)) for p in L.DATE_PATTERNS]),
+        lambda c: F.concat(*[F.regexp_extract_all(c, F.lit("(?i)" + p), F.lit(1)) for p in L.DATE_PATTERNS]),
     )
     return _parsed(F.flatten(found))
 
@@ -164,7 +164,7 @@ def all_dates_with_context(text: Column, reach: int = 50) -> Column:
     whole = F.length(text)
 
     def of_pattern(pattern: str) -> Column:
-        regex = py("(?i)" + pattern)
+        regex = "(?i)" + pattern
         found = F.regexp_extract_all(text, F.lit(regex), F.lit(1))
         gaps = F.split(text, regex, -1)
         pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))

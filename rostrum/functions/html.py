@@ -20,11 +20,15 @@ def decode_entities(text: Column) -> Column:
     return text
 
 
+# blanks of other scripts and no-break blanks, which ``\\s`` of a plain pattern does not know
+WIDE_BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def drop_elements(html: Column, tags: Sequence[str]) -> Column:
-    """Remove whole elements with their content."""
-    for tag in tags:
-        html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    return html
+    """Remove whole elements with their content, in one pass for all tags."""
+    if not tags:
+        return html
+    return F.regexp_replace(html, rf"(?is)<({'|'.join(tags)})\b[^>]*>.*?</\1\s*>", "")
 
 
 def strip_html(html: Column) -> Column:
@@ -46,22 +50,20 @@ def is_spa_shell(html: Column) -> Column:
 
 
 def visible_text(html: Column, drop: Sequence[str] = ("script", "style"), separator: str = " ") -> Column:
-    """Text nodes of a page joined by ``separator``; white space inside a node is kept."""
+    """Text nodes of a page joined by ``separator``; line breaks inside a node are kept, wide blanks become plain."""
     text = drop_elements(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), drop)
     text = F.regexp_replace(text, r"(?i)<!doctype[^>]*>", "")
     if separator:
-        text = F.regexp_replace(text, r"(?U)\s*(?:<[^>]*>\s*)+", separator)
+        text = F.regexp_replace(text, r"\s*(?:<[^>]*>\s*)+", separator)
     else:
         text = F.regexp_replace(text, "<[^>]*>", "")
-    return strip(decode_entities(text))
+    return strip(F.translate(decode_entities(text), WIDE_BLANKS, " " * len(WIDE_BLANKS)))
 
 
 def inner_text(html: Column, tag: str, attributes: str = "[^>]*") -> Column:
     """Text of the first ``tag`` element, NULL when the page has none."""
-    pattern = rf"(?is)<{tag}\b{attributes}>(.*?)</{tag}\s*>"
-    inside = F.regexp_extract(html, pattern, 1)
-    text = strip(decode_entities(F.regexp_replace(inside, "<[^>]*>", "")))
-    return F.when(html.rlike(pattern), text)
+    element = F.nullif(F.regexp_extract(html, rf"(?is)<{tag}\b{attributes}>.*?</{tag}\s*>", 0), F.lit(""))
+    return strip(decode_entities(F.regexp_replace(element, "<[^>]*>", "")))
 
 
 def all_inner_text(html: Column, tag: str, attributes: str = "[^>]*") -> Column:
@@ -86,9 +88,8 @@ def classed_text(html: Column, class_words: str, tags: str = r"[a-z][a-z0-9]*")
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in the text of one tag."""
-    quoted = F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", 1)
-    single = F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*'([^']*)'""", 1)
-    return decode_entities(F.when(quoted != "", quoted).otherwise(single))
+    value = F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*("[^"]*"|'[^']*')""", 1)
+    return decode_entities(F.substring(value, F.lit(2), F.greatest(F.length(value) - 2, F.lit(0))))
 
 
 def meta_tags(html: Column) -> Column:
@@ -96,8 +97,12 @@ def meta_tags(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
 
 
-def meta_content(html: Column, name: str) -> Column:
-    """``content`` of the first ``<meta name=…>``, NULL when the page has none."""
-    tags = F.filter(meta_tags(html), lambda t: attribute(t, "name") == name)
-    return F.when(F.size(tags) > 0, strip(attribute(F.get(tags, F.lit(0)), "content")))
+def meta_records(html: Column) -> Column:
+    """All ``<meta …>`` tags as structs ``name, property, content``, to be staged and read several times."""
+    return F.transform(meta_tags(html), lambda t: F.struct(
+        attribute(t, "name").alias("name"), attribute(t, "property").alias("property"), attribute(t, "content").alias("content")))
+
 
+def meta_content(records: Column, name: str) -> Column:
+    """``content`` of the first record of a name, NULL when the page has none."""
+    return strip(F.get(F.filter(records, lambda t: t["name"] == name), F.lit(0))["content"])

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rostrum import lookups as L
-from rostrum.functions.text import blank_to_null, collapse, contains_any, extract, literal_map, matches, or_else, strip
+from rostrum.functions.text import blank_to_null, contains_any, literal_map, or_else, strip
 
 FIELDS = ("city", "state", "country", "region", "continent", "raw")
 _CONTINENT = {c: continent for continent, names in L.CONTINENT_COUNTRIES.items() for c in names}
@@ -131,12 +131,8 @@ def parse_city_country(text: Column) -> Column:
 def near_location(text: Column) -> Column:
     """Struct ``(location, is_online)`` mined from page text."""
     labelled, city = L.LABELLED_LOCATION_PATTERN, L.CITY_PATTERN
-    found = F.coalesce(strip(extract(text, labelled)), strip(extract(text, city)))
-    return F.struct(found.alias("location"), matches(text, L.ONLINE_OR_HYBRID_PATTERN).alias("is_online"))
+    first, second = (F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in (labelled, city))
+    lowered = F.lower(text)
+    online = contains_any(lowered, ["online", "virtual", "remote", "hybrid"]) & text.rlike(L.ONLINE_OR_HYBRID_PATTERN)
+    return F.struct(strip(F.coalesce(first, second)).alias("location"), online.alias("is_online"))
 
-
-__all__ = [
-    "FIELDS", "collapse", "contains_any", "continent_of", "europe_region", "location", "near_location",
-    "normalize_country", "normalize_location", "parse_city_country", "parse_location", "parse_place",
-    "us_region", "us_state",
-]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum import lookups as L
-from rostrum.functions.text import blank_to_null, or_else, slugify, url_key
+from rostrum.functions.text import blank_to_null, or_else, url_key
 from rostrum.plans.skew import first_per_key
 from rostrum.plans.storage import cut_lineage, staged
 

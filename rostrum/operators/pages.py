@@ -81,41 +81,47 @@ def jsonld_events(pages: DataFrame, out: str = "jsonld") -> DataFrame:
     return staged(rows, **{out: F.when(block.isNotNull(), record)}).drop("__block", "__place")
 
 
+def _with_metas(pages: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The page rows with their meta tags staged, and the columns to drop again afterwards."""
+    if "__metas" in pages.columns:
+        return pages, []
+    return staged(pages, __metas=H.meta_records(F.col("html"))), ["__metas"]
+
+
 def opengraph(pages: DataFrame, out: str = "og") -> DataFrame:
     """Add the extract from ``og:`` tags (the last of a name counts), NULL when there is none."""
-    tags = F.filter(
-        F.transform(H.meta_tags(F.col("html")), lambda t: F.struct(H.attribute(t, "property").alias("p"), H.attribute(t, "content").alias("c"))),
-        lambda t: t["p"].startswith("og:") & (t["c"] != ""),
-    )
+    rows, own = _with_metas(pages)
+    tags = F.filter("__metas", lambda t: t["property"].startswith("og:") & (t["content"] != ""))
 
     def value(name: str) -> Column:
-        hits = F.filter("__og", lambda t: t["p"] == f"og:{name}")
-        return F.get(F.reverse(hits), F.lit(0))["c"]
+        hits = F.filter("__og", lambda t: t["property"] == f"og:{name}")
+        return F.get(F.reverse(hits), F.lit(0))["content"]
 
     record = extract_record(
         "opengraph", 0.5, name=value("title"), description=value("description"), url=value("url"),
         event_start_date=D.parse_any_date(value("event:start_time")),
         event_end_date=D.parse_any_date(value("event:end_time")), location_raw=value("locale"),
     )
-    rows = staged(pages, __og=F.when(F.contains("html", F.lit("og:")), tags))
-    return staged(rows, **{out: F.when(F.size("__og") > 0, record)}).drop("__og")
+    rows = staged(rows, __og=tags)
+    return staged(rows, **{out: F.when(F.size("__og") > 0, record)}).drop("__og", *own)
 
 
 def meta_tags(pages: DataFrame, out: str = "meta") -> DataFrame:
     """Add the extract from title, description and keywords, NULL without title and description."""
-    html = F.col("html")
-    topics = F.slice(F.transform(F.split(H.meta_content(html, "keywords"), ","), strip), 1, 10)
+    rows, own = _with_metas(pages)
+    topics = F.slice(F.transform(F.split(H.meta_content(F.col("__metas"), "keywords"), ","), strip), 1, 10)
     record = extract_record(
-        "meta", 0.3, name=H.inner_text(html, "title"), description=H.meta_content(html, "description"),
+        "meta", 0.3, name=H.inner_text(F.col("html"), "title"), description=H.meta_content(F.col("__metas"), "description"),
         topics=F.coalesce(topics, _strings()),
     )
     known = blank_to_null(F.col("__meta.name")).isNotNull() | blank_to_null(F.col("__meta.description")).isNotNull()
-    return staged(pages, __meta=record).withColumn(out, F.when(known, F.col("__meta"))).drop("__meta")
+    return staged(rows, __meta=record).withColumn(out, F.when(known, F.col("__meta"))).drop("__meta", *own)
 
 
 def structured(pages: DataFrame, out: str = "structured") -> DataFrame:
     """Add the three structured extracts merged; repeated method names stay."""
-    rows = meta_tags(opengraph(jsonld_events(pages)))
+    rows, _ = _with_metas(jsonld_events(pages))
+    rows = meta_tags(opengraph(rows)).drop("__metas")
     return merge_extracts(rows, ["jsonld", "og", "meta"], out, distinct_methods=False).drop("jsonld", "og", "meta")
 
 
@@ -215,7 +221,8 @@ CHROME = ("script", "style", "nav", "footer", "header", "aside")
 def heuristics(pages: DataFrame, out: str = "heuristic") -> DataFrame:
     """Add the extract by wording alone: call phrases, dates and their context, headings, paragraphs."""
     body, text = F.col("__body"), F.col("__text")
-    rows = staged(pages, __body=H.drop_elements(F.col("html"), CHROME), __text=H.visible_text(F.col("html"), CHROME))
+    rows = staged(pages, __body=H.drop_elements(F.col("html"), CHROME))
+    rows = staged(rows, __text=H.visible_text(body, ()))
     dated = F.transform(D.all_dates_with_context(text), lambda d, i: F.struct(
         d["day"].alias("day"), D.classify_date(d["context"]).alias("role"), i.alias("i")))
     rows = staged(rows, __dated=dated, __near=F.get(D.dates_near_keywords(text), F.lit(0)), __where=near_location(text))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rostrum import lookups as L
 from rostrum.functions import html as H
 from rostrum.functions.arrays import title_case
-from rostrum.functions.text import blank_to_null, collapse, contains_any, extract, literal_map, matches, or_else, py, strip
+from rostrum.functions.text import blank_to_null, collapse, contains_any, literal_map, or_else, strip
 from rostrum.plans.storage import staged
 
 
@@ -24,39 +24,50 @@ def format_name(name: Column) -> Column:
     return F.coalesce(F.try_element_at(literal_map(L.FORMAT_ALIASES), key), title_case(name))
 
 
+# a rule can only match where one of its words occurs; the test is far cheaper than the rule
+NAME_FIRST_WORDS = [
+    ["talk", "presentation", "session"], ["lightning"], ["keynote"], ["workshop"], ["panel"], ["ignite"], ["deep"], ["tech"],
+]
+MIXED_WORDS = {5: ["workshop"]}  # the other mixed rules all need "min"
+
+
+def _where(text: Column, words: list[str], pattern: str) -> Column:
+    """All matches of a rule as short texts, none when its words do not occur."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(contains_any(F.lower(text), words), found).otherwise(F.array().cast("array<string>"))
+
+
 def session_formats(text: Column) -> Column:
-    """Array of ``(name, duration)``: one per format name, the first with a duration preferred.
+    """All format mentions as ``(name, duration, i)`` in rule order; ``text`` has plain blanks only.
 
-    Every rule gives parallel lists of its groups; all are laid end to end in rule order.
+    Each rule passes over the text once; its groups are read from the short matches.
     """
 
-    def groups(pattern: str, n: int) -> list[Column]:
-        return [F.regexp_extract_all(text, F.lit(py(pattern)), F.lit(i)) for i in range(1, n + 1)]
-
     def entry(name: Column, duration: Column) -> Column:
         return F.struct(format_name(name).alias("name"), duration.alias("duration"))
 
-    found = []
-    for pattern in L.FORMAT_NAME_FIRST:
-        names, durations = groups(pattern, 2)
-        found.append(F.zip_with(names, durations, lambda n, d: entry(strip(n), blank_to_null(strip(d)))))
+    def named(pattern: str):
+        return lambda m: entry(strip(F.regexp_extract(m, pattern, 1)), blank_to_null(strip(F.regexp_extract(m, pattern, 2))))
 
-    def mixed(first: Column, second: Column) -> Column:
-        numeric = matches(first, r"^\d")
-        raw = F.when(numeric, F.when((second != "") & (F.lower(second) != "long"), second).otherwise(F.lit("Session"))).otherwise(first)
-        named = F.when((raw == "") | (F.lower(raw) == "long"), F.lit("Session")).otherwise(raw)
-        duration = F.when(numeric, F.concat(first, F.lit(" min"))).otherwise(F.when(second != "", F.concat(second, F.lit(" min"))))
-        return entry(named, duration)
+    def mixed(pattern: str, second: bool):
+        def read(m: Column) -> Column:
+            a = strip(F.regexp_extract(m, pattern, 1))
+            b = strip(F.regexp_extract(m, pattern, 2)) if second else F.lit("")
+            numeric = a.rlike(r"^\d")
+            raw = F.when(numeric, F.when((b != "") & (F.lower(b) != "long"), b).otherwise(F.lit("Session"))).otherwise(a)
+            name = F.when((raw == "") | (F.lower(raw) == "long"), F.lit("Session")).otherwise(raw)
+            return entry(name, F.when(numeric, F.concat(a, F.lit(" min"))).otherwise(F.when(b != "", F.concat(b, F.lit(" min")))))
 
+        return read
+
+    found = [F.transform(_where(text, words, p), named(p)) for words, p in zip(NAME_FIRST_WORDS, L.FORMAT_NAME_FIRST)]
     for i, pattern in enumerate(L.FORMAT_MIXED_ORDER):
-        if i in L.FORMATS_WITHOUT_SECOND_GROUP:
-            (firsts,) = groups(pattern, 1)
-            found.append(F.transform(firsts, lambda a: mixed(strip(a), F.lit(""))))
-        else:
-            firsts, seconds = groups(pattern, 2)
-            found.append(F.zip_with(firsts, seconds, lambda a, b: mixed(strip(a), F.coalesce(strip(b), F.lit("")))))
-    placed = F.transform(F.concat(*found), lambda e, i: F.struct(e["name"].alias("name"), e["duration"].alias("duration"), i.alias("i")))
-    return placed
+        rule = "(?iu)" + pattern.removeprefix("(?i)") if not pattern.isascii() else pattern
+        mentions = _where(text, MIXED_WORDS.get(i, ["min"]), rule)
+        found.append(F.transform(mentions, mixed(rule, i not in L.FORMATS_WITHOUT_SECOND_GROUP)))
+    return F.transform(
+        F.concat(*found), lambda e, i: F.struct(e["name"].alias("name"), e["duration"].alias("duration"), i.alias("i"))
+    )
 
 
 def one_per_name(placed: Column) -> Column:
@@ -72,10 +83,18 @@ def one_per_name(placed: Column) -> Column:
 
 
 # ---- single values ------------------------------------------------------------------------------
+def _has(text: Column, pattern: str) -> Column:
+    return text.rlike(pattern)
+
+
+def _first(text: Column, pattern: str, group: int = 1) -> Column:
+    return blank_to_null(F.regexp_extract(text, pattern, group))
+
+
 def _first_match(text: Column, patterns: list[str], group: int = 1) -> Column:
     rule = F.when(F.lit(False), F.lit(None).cast("string"))
     for pattern in patterns:
-        rule = rule.when(matches(text, pattern), F.regexp_extract(text, py(pattern), group))
+        rule = rule.when(_has(text, pattern), F.regexp_extract(text, pattern, group))
     return rule
 
 
@@ -88,7 +107,7 @@ def target_audience(text: Column) -> Column:
 
 
 def is_call_open(text: Column) -> Column:
-    return ~matches(text, L.CALL_CLOSED_PATTERN)
+    return ~_has(text, L.CALL_CLOSED_PATTERN)
 
 
 def speaker_benefits(text: Column) -> Column:
@@ -97,21 +116,21 @@ def speaker_benefits(text: Column) -> Column:
     def vetoed(kind: str) -> Column:
         out = F.lit(False)
         for pattern in L.BENEFIT_VETOES.get(kind, []):
-            out = out | matches(text, pattern)
+            out = out | _has(text, pattern)
         return out
 
     def value(kind: str) -> Column:
         rule = F.when(vetoed(kind), F.lit(None).cast("string")) if kind in L.BENEFIT_VETOES else F.when(F.lit(False), F.lit(None).cast("string"))
         for i, pattern in enumerate(L.BENEFIT_PATTERNS[kind]):
             if i in L.BENEFIT_CAPTURES.get(kind, []):
-                amount = F.regexp_extract(text, py(pattern), 1)
+                amount = F.regexp_extract(text, pattern, 1)
                 if kind == "travel":
                     said = F.when(amount.rlike(r"^\d+$"), F.concat(F.lit("$"), amount)).otherwise(F.lit("covered"))
                 else:
                     said = F.when(amount.rlike(r"^\d"), F.concat(amount, F.lit(" nights"))).otherwise(F.lit("covered"))
             else:
                 said = F.lit({"ticket": "yes", "payment": "paid"}.get(kind, "covered"))
-            rule = rule.when(matches(text, pattern), said)
+            rule = rule.when(_has(text, pattern), said)
         return rule
 
     return F.struct(
@@ -124,14 +143,18 @@ def call_metadata(text: Column) -> Column:
     """Struct of call and event dates, location, website and e-mail as written."""
     d = L.CALL_DATE_PATTERNS
     return F.struct(
-        strip(extract(text, d["cfp_opens"])).alias("cfp_opens"), strip(extract(text, d["cfp_closes"])).alias("cfp_closes"),
-        F.coalesce(strip(extract(text, d["event_date"])), strip(extract(text, d["event_starts"]))).alias("event_start"),
-        strip(extract(text, d["event_ends"])).alias("event_end"),
-        strip(extract(text, L.CALL_LOCATION_PATTERN)).alias("location_raw"),
-        strip(extract(text, L.CALL_WEBSITE_PATTERN)).alias("website"), strip(extract(text, L.EMAIL_PATTERN, 0)).alias("contact_email"),
+        strip(_first(text, d["cfp_opens"])).alias("cfp_opens"), strip(_first(text, d["cfp_closes"])).alias("cfp_closes"),
+        F.coalesce(strip(_first(text, d["event_date"])), strip(_first(text, d["event_starts"]))).alias("event_start"),
+        strip(_first(text, d["event_ends"])).alias("event_end"),
+        strip(_first(text, L.CALL_LOCATION_PATTERN)).alias("location_raw"),
+        strip(_first(text, L.CALL_WEBSITE_PATTERN)).alias("website"), strip(_first(text, L.EMAIL_PATTERN, 0)).alias("contact_email"),
     )
 
 
+# a word each boilerplate pattern needs; without the time zone mark its pattern would scan to the end from everywhere
+BOILERPLATE_WORDS = ["sessionize.com", "call for", "timezone.", "closing time", "(utc", " left", "login with", "classic login", "404"]
+
+
 def clean_call_text(text: Column, limit: int = 4000) -> Column:
     """Text without mined metadata and boilerplate.
 
@@ -139,15 +162,24 @@ def clean_call_text(text: Column, limit: int = 4000) -> Column:
     event date.
     """
     d = L.CALL_DATE_PATTERNS
-    out = text
-    for pattern in (d["cfp_opens"], d["cfp_closes"], d["event_date"]):
-        out = F.regexp_replace(out, py(pattern), "")
-    without_start = F.regexp_replace(out, py(d["event_starts"]), "")
-    out = F.when(matches(text, d["event_date"]), out).otherwise(without_start)
-    for pattern in (d["event_ends"], L.CALL_LOCATION_PATTERN, L.CALL_WEBSITE_PATTERN, L.EMAIL_PATTERN):
-        out = F.when(matches(text, pattern), F.regexp_replace(out, py(pattern), "")).otherwise(out)
-    for pattern in L.BOILERPLATE_PATTERNS:
-        out = F.regexp_replace(out, py(pattern), "")
+    lowered = F.lower(text)
+
+    def used(pattern: str, *words: str) -> Column:
+        return F.when(contains_any(lowered, words), F.lit(pattern))
+
+    patterns = [
+        used(d["cfp_opens"], "call opens"), used(d["cfp_closes"], "call closes"), used(d["event_date"], "event date"),
+        F.when(F.contains(lowered, F.lit("event starts")) & ~_has(text, d["event_date"]), F.lit(d["event_starts"])),
+        used(d["event_ends"], "event ends"),
+    ]
+    # these count as used only when they match the untouched text
+    for pattern, word in ((L.CALL_LOCATION_PATTERN, "location"), (L.CALL_WEBSITE_PATTERN, "website"), (L.EMAIL_PATTERN, "@")):
+        patterns.append(F.when(F.contains(lowered, F.lit(word)) & _has(text, pattern), F.lit(pattern)))
+    patterns += [used(pattern, word) for word, pattern in zip(BOILERPLATE_WORDS, L.BOILERPLATE_PATTERNS)]
+    # a fold mentions the text once per step, however many patterns apply
+    out = F.aggregate(
+        F.array_compact(F.array(*patterns)), text, lambda acc, p: F.regexp_replace(acc, p, F.lit(""))
+    )
     for phrase in L.BOILERPLATE_STRINGS:
         out = F.replace(out, F.lit(phrase), F.lit(""))
     return F.substring(collapse(out), 1, limit)
@@ -183,7 +215,7 @@ def tracks(html: Column, limit: int = 20) -> Column:
 
 
 def max_submissions(html: Column) -> Column:
-    return extract(html, L.MAX_SUBMISSIONS_PATTERN).try_cast("int")
+    return _first(html, L.MAX_SUBMISSIONS_PATTERN).try_cast("int")
 
 
 # ---- whole page ---------------------------------------------------------------------------------
@@ -198,7 +230,7 @@ def mine_calls(pages: DataFrame) -> DataFrame:
         *pages.columns, "text", one_per_name(F.col("placed")).alias("session_formats"), "benefits", attendance(text).alias("attendance"),
         target_audience(text).alias("target_audience"), tracks(html).alias("tracks"), max_submissions(html).alias("max_submissions"),
         is_call_open(text).alias("is_open"), "meta.*", "clean_text",
-        F.substring(H.meta_content(html, "description"), 1, 500).alias("description"),
+        F.substring(H.meta_content(H.meta_records(html), "description"), 1, 500).alias("description"),
         event_format(F.col("meta.location_raw"), F.col("clean_text"), F.col("benefits")).alias("event_format"),
     )
 
@@ -253,10 +285,10 @@ def extraction_issues(relevant_text: Column, n_formats: Column, benefits: Column
     """Array of values that the text seems to hold but mining missed."""
     text = F.lower(F.coalesce(relevant_text, F.lit("")))
     duration = r"(\d+)\s*(?:min|minute|hour)"
-    said = F.regexp_extract(text, py(duration), 0)
-    at = F.regexp_instr(text, F.lit(py(duration)))
+    said = F.regexp_extract(text, duration, 0)
+    at = F.regexp_instr(text, F.lit(duration))
     around = F.substring(text, F.greatest(at - 20, F.lit(1)), F.least(at - 1, F.lit(20)) + F.length(said) + 20)
-    missed_duration = matches(text, duration) & (n_formats == 0) & ~contains_any(around, L.COUNTDOWN_PHRASES)
+    missed_duration = _has(text, duration) & (n_formats == 0) & ~contains_any(around, L.COUNTDOWN_PHRASES)
     people = r"(\d{3,})\s*(?:attendee|participant|people)"
 
     def missed(phrases: list[str], known: Column, negatives: list[str]) -> Column:
@@ -271,8 +303,8 @@ def extraction_issues(relevant_text: Column, n_formats: Column, benefits: Column
                F.lit("MISSED_HOTEL: hotel benefit pattern in text but not extracted")),
         F.when(missed(L.FREE_TICKET_PHRASES, benefits["ticket"], []),
                F.lit("MISSED_FREE_TICKET: free ticket pattern in text but ticket not True")),
-        F.when(matches(text, people) & (F.coalesce(found_attendance, F.lit("")) == ""),
-               F.concat(F.lit('MISSED_ATTENDANCE: found "'), F.regexp_extract(text, py(people), 0), F.lit('" but not extracted'))),
+        F.when(_has(text, people) & (F.coalesce(found_attendance, F.lit("")) == ""),
+               F.concat(F.lit('MISSED_ATTENDANCE: found "'), F.regexp_extract(text, people, 0), F.lit('" but not extracted'))),
     ))
 
 
