@@ -155,6 +155,20 @@ def dates_near_keywords(text: Column, keywords: Sequence[str] = tuple(L.DEADLINE
     return _parsed(F.flatten(found))
 
 
+def _positions(found: Column, gaps: Column) -> Column:
+    """Matches with their place, from the matches and the gaps before each of them."""
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,start:int,stop:int>>").alias("out"))
+
+    def step(state: Column, pair: Column) -> Column:
+        begin = state["at"] + F.length(pair["g"])
+        stop = begin + F.length(pair["m"])
+        entry = F.struct(pair["m"].alias("m"), begin.alias("start"), stop.alias("stop"))
+        return F.struct(stop.alias("at"), F.concat(state["out"], F.array(entry)).alias("out"))
+
+    return F.aggregate(pairs, start, step)["out"]
+
+
 def all_dates_with_context(text: Column, reach: int = 50) -> Column:
     """All parseable dates as structs ``(day, context)``, pattern by pattern in text order.
 
@@ -163,22 +177,16 @@ def all_dates_with_context(text: Column, reach: int = 50) -> Column:
     """
     whole = F.length(text)
 
+    lowered = F.lower(text)
+    named = contains_any(lowered, [m for m in MONTH_NUMBER if len(m) == 3])
+    none = F.array().cast("array<struct<m:string,start:int,stop:int>>")
+
     def of_pattern(pattern: str) -> Column:
         regex = "(?i)" + pattern
         found = F.regexp_extract_all(text, F.lit(regex), F.lit(1))
-        gaps = F.split(text, regex, -1)
-        pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-        start = F.struct(
-            F.lit(0).alias("at"), F.array().cast("array<struct<m:string,start:int,stop:int>>").alias("out")
-        )
-
-        def step(state: Column, pair: Column) -> Column:
-            begin = state["at"] + F.length(pair["g"])
-            stop = begin + F.length(pair["m"])
-            entry = F.struct(pair["m"].alias("m"), begin.alias("start"), stop.alias("stop"))
-            return F.struct(stop.alias("at"), F.concat(state["out"], F.array(entry)).alias("out"))
-
-        return F.aggregate(pairs, start, step)["out"]
+        if "January" in pattern:  # a month name is needed; looking for one is cheap
+            found = F.when(named, found).otherwise(F.array().cast("array<string>"))
+        return let(found, lambda f: F.when(F.size(f) > 0, _positions(f, F.split(text, regex, -1))).otherwise(none))
 
     found = F.concat(*[of_pattern(p) for p in L.DATE_PATTERNS])
 
