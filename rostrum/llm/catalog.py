@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from rostrum.llm import bpe, packing, urls
+from rostrum.llm import bpe, near_duplicates, packing, urls, vectors
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op5_exact_top_k": vectors.op5_exact_top_k,
+    "op7_near_duplicates": near_duplicates.op7_near_duplicates,
+    "op8_nearest_neighbours": vectors.op8_nearest_neighbours,
     "op9_url_filter": urls.op9_url_filter,
     "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
 }
-ORACLES = {"op9_url_filter": urls.ORACLE}
+ORACLES = {"op5_exact_top_k": vectors.ORACLE_EXACT, "op9_url_filter": urls.ORACLE}

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import re
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,9 +25,24 @@ WORD = re.compile(f"[^{BLANKS}]+")
 LOWER_ASCII = str.maketrans({c: c + 32 for c in range(65, 91)})
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever they run: once per context, the sources go out as a py-file."""
+    context = spark.sparkContext
+    if getattr(context, "_rostrum_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="rostrum-py-")) / "rostrum-sources.zip"
+    with zipfile.ZipFile(archive, "w") as zipped:
+        for source in sorted(package.rglob("*.py")):
+            zipped.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._rostrum_shipped = True
+
+
 def prepared(spark: SparkSession) -> SparkSession:
-    """The session with the settings these operators need: small Arrow batches."""
+    """The session with what these operators need: small Arrow batches, and the package on the workers."""
     configure(spark)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
