@@ -11,13 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rostrum.llm.bpe import byte_letters
 from rostrum.llm.tools import partitions, single_threaded, stored, table, texts_of
 
 CAPACITY = 2048
 # entries a worker's memory of finished words may hold; it then starts anew, with equal results
-MEMORY = 800_000
+MEMORY = 300_000
 # no tokenizer piece crosses these blanks
 CHUNK = re.compile(r"[^ \t\n\r]+")
+#: fixed values: the pre-tokenizer's pieces over lower-cased Latin-1 text (runs of digits are cut by the tokenizer itself)
+PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]+|[^\s\x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+WORD = re.compile(r"[a-zªµºß-öø-ÿ]+")
 
 
 @lru_cache(maxsize=2)
@@ -28,21 +32,34 @@ def _tokenizer(path: str):
     own = Tokenizer.from_file(path)
     own.no_truncation()
     own.no_padding()
-    return own, {}
+    return own, {}, {b: c for c, b in byte_letters().items()}
+
+
+def _cut(text: str) -> list[str]:
+    """Parts of a text that the tokenizer encodes independently: lower-case words where that is safe, else parts between blanks."""
+    if "<|" not in text and max(text, default="") < "\u0100" and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return PIECE.findall(text.lower())
+    return CHUNK.findall(text)
 
 
 def token_ids(texts: list[str], path: str) -> list[bytes]:
-    """The ids of whole texts as little-endian unsigned 32-bit integers; for tokenizers whose words end at blanks.
+    """The ids of whole texts as little-endian unsigned 32-bit integers; for lower-casing tokenizers whose words end at blanks.
 
     Words repeat, so each distinct one is given to the tokenizer once per worker.
     """
-    own, known = _tokenizer(path)
-    cut = [CHUNK.findall(t) for t in texts]
+    own, known, letters = _tokenizer(path)
+    cut = [_cut(t) for t in texts]
     if len(known) > MEMORY:
         known.clear()
-    new = list({c for chunks in cut for c in chunks if c not in known})
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
+    new, model = [], own.model
+    for chunk in {c for chunks in cut for c in chunks if c not in known}:
+        if WORD.fullmatch(chunk):  # nothing left to normalise or cut: straight to the tokenizer's model
+            spelt = chunk if chunk.isascii() else "".join([letters[b] for b in chunk.encode()])
+            known[chunk] = np.array([t.id for t in model.tokenize(spelt)], "<u4").tobytes()
+        else:
+            new.append(chunk)
+    for at in range(0, len(new), 2_000):
+        part = new[at : at + 2_000]
         for chunk, encoded in zip(part, own.encode_batch_fast(part, add_special_tokens=False), strict=True):
             known[chunk] = np.array(encoded.ids, "<u4").tobytes()
     ids_of = known.__getitem__
