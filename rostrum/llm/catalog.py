@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rostrum.llm import bpe, language_id, near_duplicates, packing, urls, vectors
+from rostrum.llm import bpe, language_id, near_duplicates, packing, toxicity, urls, vectors
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_language_id": language_id.op2_language_id,
     "op5_exact_top_k": vectors.op5_exact_top_k,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_near_duplicates": near_duplicates.op7_near_duplicates,
     "op8_nearest_neighbours": vectors.op8_nearest_neighbours,
     "op9_url_filter": urls.op9_url_filter,
