@@ -198,10 +198,10 @@ def calibrated(models: dict[str, dict], labelled: list[tuple[str, str]]) -> dict
     sharp, best = 10.0, -np.inf
     truth = np.searchsorted(scorer.langs, langs)
     rows = np.flatnonzero(size > 0)
-    for trial in (1.0, 2.0, 5.0, 10.0, 20.0, 40.0):
+    for trial in (1.0, 2.0, 5.0, 10.0, 20.0, 40.0) if len(rows) else ():
         z = -trial * mean[rows]
         z -= z.max(1, keepdims=True)
-        likely = (z[np.arange(len(rows)), truth[rows]] - np.log(np.exp(z).sum(1))).sum() if len(rows) else 0.0
+        likely = (z[np.arange(len(rows)), truth[rows]] - np.log(np.exp(z).sum(1))).sum()
         if likely > best + 1e-9:
             sharp, best = trial, likely
     uniform = np.array([np.log(len(m["levels"][0][0]) + 1) for m in scorer.models])
