@@ -156,7 +156,7 @@ _HOP = "SELECT listed, other, object_id FROM (SELECT speaker AS listed, co_speak
 def _(t):
     """Breadth-first from the rich customers of one segment until nobody new is named."""
     seeds = t.sql("SELECT c_name AS name FROM {customer} WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 9000")
-    found = G.bfs_discover(seeds, listed(t), max_speakers=10**9, max_talks=30, max_levels=1000)
+    found = G.bfs_discover(seeds, listed(t), max_speakers=10**9, max_talks=30)
     return found["speakers"].select("slug", "talk_count", "source")
 
 

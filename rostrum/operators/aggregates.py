@@ -110,17 +110,15 @@ def _conference_facts(conferences: DataFrame) -> DataFrame:
     lowered = F.lower("conference_name")
     flags = {}
     for continent, words in L.CONTINENT_WORDS.items():
-        plain = [w for w in words if not w.startswith(" ")]
         flags[f"in_{continent}"] = F.max(contains_any(lowered, words))
         leading = [w.strip() for w in words if w.startswith(" ")]
         if leading:
             # in a blank-joined list of names a word with a leading blank also starts a later name
-            starts = lowered.startswith(leading[0])
+            starts = F.lit(False)
+            for word in leading:
+                starts = starts | lowered.startswith(word)
             flags[f"starting_{continent}"] = F.count_if(starts)
-            flags[f"top_starting_{continent}"] = F.max_by(
-                starts, F.struct(F.col("n"), F.expr("-ascii(conference_name)"))
-            )
-        del plain
+            flags[f"top_starting_{continent}"] = F.min_by(starts, F.struct((-F.col("n")).alias("n"), "conference_name"))
     flags["main_stage"] = F.max(contains_any(lowered, L.LARGE_CONFERENCES))
     facts = conferences.groupBy("slug").agg(
         F.count("*").alias("conference_count"), *[c.alias(n) for n, c in flags.items()]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,14 +71,14 @@ def graph_summary(conferences: DataFrame, speakers: DataFrame, talks: DataFrame,
     return out
 
 
-def bfs_discover(seeds: DataFrame, talks: DataFrame, max_speakers: int = 50, max_talks: int = 30, max_levels: int = 50) -> dict[str, DataFrame]:
+def bfs_discover(seeds: DataFrame, talks: DataFrame, max_speakers: int = 50, max_talks: int = 30) -> dict[str, DataFrame]:
     """Expand from seed speakers over their talks to the other people named on them.
 
     ``seeds``: ``name``; ``talks``: ``object_id, title, speaker, channel, view_count, year`` and
     ``listed_under`` (the person a search finds the talk for). Each level takes the ``max_talks`` most
     viewed talks of every speaker of the frontier, keeps talks not seen before, and queues the valid,
     unseen names on talks with a known channel. Speakers are expanded in (level, slug) order until
-    ``max_speakers`` have been. Returns ``speakers``, ``talks`` and ``channels``.
+    ``max_speakers`` have been or nobody is left. Returns ``speakers``, ``talks`` and ``channels``.
 
     The talks of each person are ranked and cut once, before the loop. A level is a join of that table
     with its frontier and two anti-joins with what earlier levels found; each level's rows are
@@ -94,7 +95,7 @@ def bfs_discover(seeds: DataFrame, talks: DataFrame, max_speakers: int = 50, max
         named.groupBy("slug").agg(F.min("name").alias("name")).withColumns({"level": F.lit(0), "source": F.lit("seed")})
     )
     speakers, seen, expanded = [frontier], [], 0
-    for level in range(max_levels):
+    for level in count():
         room, waiting = max_speakers - expanded, frontier.count()
         if waiting == 0:
             break

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rostrum.functions.fuzzy import block_ratio, name_tokens, normal_form, part_score
 from rostrum.functions.text import blank_to_null, clean_name, or_else, slugify, strip
 from rostrum.operators.filters import is_noise_title, name_variants
+from rostrum.plans.storage import cut_lineage
 from rostrum.plans.skew import first_per_key, top_k, top_k_per_key
 
 
@@ -105,24 +107,106 @@ def resolve_alias(names: DataFrame, aliases: DataFrame | None) -> DataFrame:
     )
 
 
+def similar_strings(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b, ratio) of distinct strings ``a`` of ``left`` and ``b`` of ``right`` with block ratio ``least`` or more.
+
+    Matching blocks can't hold more letters than both strings have in common, so the letters, numbered by
+    occurrence, must overlap in at least ``least`` times half of all letters. Strings meet on the first letters of
+    a common order, rarest first, as many as that overlap leaves room for; so no pair is missed. The whole overlap
+    is then checked, and only what passes is compared block by block.
+    """
+    share = least / (2 - least)  # of its own letters a string has in common with any partner, at least
+
+    def letters(df: DataFrame, name: str) -> DataFrame:
+        chars = F.sort_array(F.split(name, ""))
+        numbered = F.transform(chars, lambda c, i: F.concat(c, (i - F.array_position(chars, c)).cast("string")))
+        return df.select(name).distinct().filter(F.length(name) > 0).withColumns({"letters": numbered, "size": F.length(name)})
+
+    one, two = letters(left.toDF("a"), "a"), letters(right.toDF("b"), "b")
+    exploded = two.select("b", "size", "letters", F.explode("letters").alias("letter"))
+    often = exploded.groupBy("letter").agg(F.count(F.lit(1)).alias("often"))
+
+    def prefix(df: DataFrame, name: str) -> DataFrame:
+        kept = F.col("size") - F.ceil(F.round(F.col("size") * share, 9)) + 1
+        ranked = df.select(name, "size", "letters", F.explode("letters").alias("letter")).join(often, "letter", "left")
+        order = F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "letter")))
+        rows = ranked.groupBy(name, "size", "letters").agg(order.alias("o")).withColumn("e", F.explode(F.slice("o", F.lit(1), kept.cast("int"))))
+        return rows.select(name, F.col("size").alias(f"size_{name}"), F.col("letters").alias(f"letters_{name}"), F.col("e.letter").alias("letter"))
+
+    both = F.col("size_a") + F.col("size_b")
+    met = prefix(one, "a").join(prefix(two, "b"), "letter").filter(
+        F.size(F.array_intersect("letters_a", "letters_b")) >= both * (least / 2) - 1e-9)
+    pairs = met.select("a", "b").distinct()
+    return pairs.withColumn("ratio", block_ratio("a", "b")).filter(F.col("ratio") >= least)
+
+
+def _rarest(names: DataFrame, name: str, others: DataFrame) -> DataFrame:
+    """Each name with its word that the fewest of ``others`` hold: whoever holds all its words holds this one."""
+    often = others.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+    words = names.select(name, F.explode(F.array_distinct("words")).alias("word")).join(often, "word", "left")
+    return words.groupBy(name).agg(F.min_by("word", F.struct(F.coalesce("often", F.lit(0)), "word")).alias("word"))
+
+
 def fuzzy_match_people(left: DataFrame, right: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Best partner on the right for each left name, kept at ``threshold`` or more.
+    """Best partner on the right for each left name, kept at ``threshold`` (0.4 to 1) or more, ties to the first name.
 
-    Candidates share the first two letters or the sound of some name token. Both sides are reduced to
-    distinct names first, so repeated names are scored once.
+    Names are compared in normal form: equal 1, all words of the left in the right 0.95, of the right in the left
+    0.90; two names of several words by first and last word; others by the whole string. Every pair that reaches
+    the threshold is a candidate: equal forms join; contained ones meet on the rarest word of the smaller; of two
+    names of several words either the first or the last words alone must reach the threshold, since the score is
+    their mean; the rest meet as whole strings. All of this runs over distinct forms, words and word pairs.
     """
-    from rostrum.functions.fuzzy import fuzzy_name
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        tokens = F.filter(F.split(F.lower(strip(F.col("name"))), r"(?U)\s+"), lambda t: t != "")
-        keys = F.transform(tokens, lambda t: F.concat(F.substring(t, 1, 2), F.lit("|")))
-        sounds = F.transform(tokens, F.soundex)
-        unique = df.select("name").filter(F.col("name") != "").distinct()
-        return unique.select(F.col("name").alias(name), F.explode(F.array_distinct(F.concat(keys, sounds))).alias("block"))
-
-    pairs = blocks(left, "name").join(blocks(right, "match"), "block").select("name", "match").distinct()
-    scored = pairs.withColumn("score", fuzzy_name("name", "match")).filter(F.col("score") >= threshold)
-    return top_k_per_key(scored, ["name"], [F.col("score").desc(), F.col("match")], 1).drop("rank")
+    def forms(df: DataFrame, name: str, form: str) -> DataFrame:
+        named = df.select(F.col("name").alias(name)).filter(F.col(name) != "").distinct()
+        return named.withColumn(form, normal_form(name))
+
+    def parts(df: DataFrame, form: str) -> DataFrame:
+        words = df.select(form).distinct().withColumn("words", name_tokens(F.col(form)))
+        return words.withColumns({"n": F.size("words"), "first": F.get("words", F.lit(0)), "last": F.element_at(F.when(F.size("words") > 0, F.col("words")), -1)})
+
+    own, other = cut_lineage(forms(left, "name", "a")), cut_lineage(forms(right, "match", "b"))
+    one, two = cut_lineage(parts(own, "a")), cut_lineage(parts(other, "b"))
+    equal = one.select("a").join(two.select(F.col("b")), F.col("a") == F.col("b")).select("a", "b", F.lit(1.0).alias("score"))
+    some_a, some_b = one.filter("n > 0"), two.filter("n > 0")
+    words_a, words_b = some_a.select("a", F.col("words").alias("wa")), some_b.select("b", F.col("words").alias("wb"))
+
+    def contained(small: DataFrame, inner: str, large: DataFrame, outer: str, score: float) -> DataFrame:
+        holders = large.select(outer, F.explode(F.array_distinct("words")).alias("word"))
+        met = _rarest(small, inner, large).join(holders, "word").select("a", "b").join(words_a, "a").join(words_b, "b")
+        smaller, larger = ("wa", "wb") if inner == "a" else ("wb", "wa")
+        return met.filter(F.size(F.array_except(smaller, larger)) == 0).select("a", "b", F.lit(score).alias("score"))
+
+    inside = contained(some_a, "a", some_b, "b", 0.95)
+    around = contained(some_b, "b", some_a, "a", 0.90)
+
+    many_a, many_b = some_a.filter("n > 1"), some_b.filter("n > 1")
+    people_a = many_a.select("a", F.col("first").alias("first_a"), F.col("last").alias("last_a"))
+    people_b = many_b.select("b", F.col("first").alias("first_b"), F.col("last").alias("last_b"))
+
+    def by_word(word: str) -> DataFrame:
+        alike = similar_strings(many_a.select(word), many_b.select(word), threshold).toDF(f"{word}_a", f"{word}_b", "ratio")
+        if word == "first" and threshold <= 0.7:
+            # beside an all but equal first name the last names must reach 0.7, so the other side finds the pair
+            alike = alike.filter("ratio <= 0.9")
+        return alike.join(people_a, f"{word}_a").join(people_b, f"{word}_b").select("a", "b", "first_a", "last_a", "first_b", "last_b")
+
+    people = cut_lineage(by_word("last").union(by_word("first")).distinct())
+
+    def ratios(word: str) -> DataFrame:
+        pairs = people.select(f"{word}_a", f"{word}_b").distinct()
+        return pairs.withColumn(f"{word}_ratio", block_ratio(f"{word}_a", f"{word}_b"))
+
+    scored = people.join(ratios("first"), ["first_a", "first_b"]).join(ratios("last"), ["last_a", "last_b"])
+    scored = scored.select("a", "b", part_score(F.col("first_ratio"), F.col("last_ratio")).alias("score"))
+
+    single_a, single_b = some_a.filter("n = 1").select("a"), some_b.filter("n = 1").select("b")
+    whole = similar_strings(single_a, some_b.select("b"), threshold).union(similar_strings(many_a.select("a"), single_b, threshold))
+    # the rules come in this order: an equal pair is also contained, a contained one may also be alike
+    rule = equal.select("a", "b", F.lit(0).alias("rule"), "score").union(inside.select("a", "b", F.lit(1), "score")).union(
+        around.select("a", "b", F.lit(2), "score")).union(scored.select("a", "b", F.lit(3), "score")).union(whole.select("a", "b", F.lit(3), "ratio"))
+    best = rule.groupBy("a", "b").agg(F.min_by("score", "rule").alias("score")).filter(F.col("score") >= threshold)
+    named = best.join(own, "a").join(other, "b").select("name", "match", "score")
+    return top_k_per_key(named, ["name"], [F.col("score").desc(), F.col("match")], 1).drop("rank")
 
 
 # ---- mentions -----------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.operators.windows import RANKINGS, order_of
+from rostrum.plans.storage import staged
 from rostrum.plans.skew import top_k
 
 
@@ -166,23 +167,26 @@ def keyword_search(df: DataFrame, query: str, index: str, k: int = 4, key: str =
     """
     words = query.lower().split()
     types = dict(df.dtypes)
-    groups = [[c for c in g if c in types] for g in SEARCHABLE[index]]
+    groups = [g for g in ([c for c in g if c in types] for g in SEARCHABLE[index]) if g]
 
     def tokens(column: str) -> Column:
         text = F.array_join(column, " ") if types[column].startswith("array") else F.col(column)
         return F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w]+")
 
+    # the words of each attribute are cut once, whatever the number of query words
+    cut = staged(df, __words=F.struct(*[tokens(c).alias(c) for g in groups for c in g]))
     positions = []
-    for word in words:
+    for number, word in enumerate(words):
         place = F.lit(None).cast("int")
-        for rank, group in reversed(list(enumerate(g for g in groups if g))):
+        for rank, group in reversed(list(enumerate(groups))):
             hit = F.lit(False)
             for column in group:
-                hit = hit | (_any_starts(tokens(column), word) if word is words[-1] else F.array_contains(tokens(column), word))
+                own = F.col("__words").getField(column)
+                hit = hit | (_any_starts(own, word) if number == len(words) - 1 else F.array_contains(own, word))
             place = F.when(hit, F.lit(rank)).otherwise(place)
         positions.append(place)
     listed = F.array(*positions)
-    matched = df.withColumn("attribute", F.array_min(listed)).filter(~F.exists(listed, lambda p: p.isNull()))
+    matched = cut.withColumn("attribute", F.array_min(listed)).filter(~F.exists(listed, lambda p: p.isNull())).drop("__words")
     return top_k(matched, [F.col("attribute"), *order_of([r for r in RANKINGS[index] if r[0] in types], key)], k, "rank")
 
 

@@ -8,7 +8,6 @@ from rostrum.functions import dates as D
 from rostrum.functions import html as H
 from rostrum.functions import places as P
 from rostrum.functions import text as S
-from rostrum.functions.fuzzy import name_similarity
 
 
 def values(spark, items, rule):
@@ -95,12 +94,3 @@ def test_html(spark):
     assert values(spark, [page], lambda c: H.paragraphs(H.drop_elements(c, ("script", "nav")))) == [["One", "Two & three"]]
     assert values(spark, ['<div id="root"></div>', "<div ng-app>" + "word " * 200], H.is_spa_shell) == [True, False]
     assert values(spark, ["peer-to-peer talk"], A.title_case) == ["Peer-To-Peer Talk"]
-
-
-def test_name_similarity():
-    assert name_similarity("Ada Lovelace", "ADA LOVELACE") == 1.0
-    assert name_similarity("Zoë Ångström", "Zoe Angstrom") == 1.0
-    assert name_similarity("Daniel Phiri", "Daniel Madalitso Phiri") == 0.95
-    assert name_similarity("Daniel Madalitso Phiri", "Daniel Phiri") == 0.90
-    assert name_similarity("Andrew Black", "Andrew Leong") < 0.3
-    assert name_similarity("", "x") == 0.0

@@ -1,11 +1,12 @@
 """Operators against plain sequential versions on small fixtures."""
 
 import random
+import unicodedata
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
-from rostrum.functions.fuzzy import name_similarity
 from rostrum.operators import dedup, graph, intel, joins, ranking, state, windows
 from rostrum.operators import aggregates as A
 from rostrum.plans.storage import new_path
@@ -59,12 +60,58 @@ def test_mentions_equal_brute_force(spark):
     assert got == {(r.conf_id, r.post_id) for r in every.collect()} and len(got) >= 6
 
 
-def test_fuzzy_match_equals_brute_force(spark):
-    left, right = ["Ada Lovelace", "Alan Turing", "Grace Hopper"], ["Ada Lovelase", "Alan M Turing", "Bob Ross", "Grace Hoper"]
-    a, b = (spark.createDataFrame([(n,) for n in names], "name STRING") for names in (left, right))
-    got = {r.name: (r.match, round(r.score, 6)) for r in joins.fuzzy_match_people(a, b, 0.65).collect()}
-    best = {n: max(((m, round(name_similarity(n, m), 6)) for m in right), key=lambda p: p[1]) for n in left}
-    assert got == best
+def similarity(left, right):
+    """Score of two names by the rules, one pair at a time."""
+    plain = lambda n: "".join(c for c in unicodedata.normalize("NFKD", n.lower().strip()) if unicodedata.category(c) != "Mn")
+    ratio = lambda x, y: SequenceMatcher(None, x, y).ratio()
+    x, y = plain(left), plain(right)
+    (p, q) = (x.split(), y.split())
+    rules = [(x == y, 1.0), (not p or not q, 0.0), (not set(p) - set(q), 0.95), (not set(q) - set(p), 0.9)]
+    for holds, score in rules:
+        if holds:
+            return score
+    if 1 in (len(p), len(q)):
+        return ratio(x, y)
+    first, last = ratio(p[0], q[0]), ratio(p[-1], q[-1])
+    return last / 2 if last < 0.7 and first > 0.9 else 0.4 * first + 0.6 * last
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.65, 0.8])
+def test_fuzzy_match_equals_brute_force(spark, threshold):
+    rng = random.Random(threshold)
+    firsts = ["Ada", "Éric", "Ørjan", "Xavier", "John", "Jon", "Zoë", "Andrew", "Daniel", "Anna Maria", "Åsa", "Li"]
+    lasts = ["Lovelace", "Ünal", "Åberg", "Nkomo", "Black", "Leong", "Ångström", "Phiri", "Turing", "Hopper", "Smith"]
+
+    def typo(name):
+        at = rng.randrange(len(name))
+        return rng.choice([name, name[:at] + rng.choice("aexz") + name[at + 1 :], name[:at] + name[at + 1 :], unicodedata.normalize("NFD", name), name.upper(), "Dr " + name])
+
+    left = [f"{rng.choice(firsts)} {rng.choice(lasts)}" for _ in range(60)] + ["Prince", "Éric Ünal", "Ørjan Åberg", "Xavier Nkomo", "  ", "a b\tc", "Li"]
+    right = [typo(f"{rng.choice(firsts)} {rng.choice(lasts)}") for _ in range(60)] + ["Prynce", "Eric Unal", "Orjan Aberg", "Havier Mkomo", "Princ Es", "x", "Madonna"]
+    a, b = (spark.createDataFrame([(n,) for n in names + names[:3] + [None]], "name STRING") for names in (left, right))
+    got = {r.name: (r.match, round(r.score, 9)) for r in joins.fuzzy_match_people(a, b, threshold).collect()}
+    best = {n: min((-round(similarity(n, m), 9), m) for m in set(right) if m) for n in left}
+    assert got == {n: (m, -s) for n, (s, m) in best.items() if -s >= threshold}
+
+
+def test_repeated_one_letter_words(spark):
+    rows = spark.createDataFrame([("1", "ab x ac"), ("2", "a x ab"), ("3", "x a")], "object_id STRING, name STRING")
+    hits = [r.object_id for r in ranking.keyword_search(rows, "a x a", "cfps", k=9).collect()]
+    assert sorted(hits) == ["2", "3"]
+
+
+def test_tied_conferences(spark):
+    rows = spark.createDataFrame([("s", "UK two", 1), ("s", "Uz one", 1), ("s", "US three", 1)], "slug STRING, conference_name STRING, n BIGINT")
+    for order in ("conference_name", "n"):
+        first = A._conference_facts(rows.orderBy(order)).collect()
+        assert first == A._conference_facts(rows.orderBy(F.desc("conference_name"))).collect()
+
+
+def test_discovery_of_a_long_chain(spark):
+    rows = [(f"t{i}", f"P{i} Doe", f"P{i + 1} Doe", "C", i, 2020) for i in range(60)]
+    talks = spark.createDataFrame(rows, "object_id STRING, listed_under STRING, speaker STRING, channel STRING, view_count INT, year INT").coalesce(1)
+    found = graph.bfs_discover(spark.createDataFrame([("P0 Doe",)], "name STRING"), talks, max_speakers=1000)
+    assert found["speakers"].count() == 61 and found["talks"].count() == 60
 
 
 def test_star_positions(spark):
