@@ -45,13 +45,26 @@ AGGREGATOR = """
            CASE WHEN seq % 3 = 0 THEN 'joindin' ELSE 'callingallpapers' END AS source
     FROM {v_cfp} WHERE seq % 17 <> 0""")
 def _(t):
-    rows = R.read_aggregator_feed(t.spark, landed(t, AGGREGATOR, "aggregator"), multi_line=False)
+    rows = R.read_aggregator_feed(t.spark, landed(t, AGGREGATOR, "aggregator"), multi_line=False).rows
     return P.transform_aggregator(rows).select(
         "object_id", "name", "description", "cfp_start_date", "cfp_end_date", "cfp_end_date_iso", "event_start_date", "event_end_date",
         F.col("location.raw").alias("raw_location"), F.col("geoloc.lat").alias("lat"), F.array_join("topics", ",").alias("topics"), "source",
     )
 
 
+@register("feed_quarantine", "SRC-1", oracle="""
+    SELECT kind, CAST(SUM(n) AS BIGINT) AS n FROM (
+      SELECT CASE WHEN seq % 17 = 0 THEN 'quarantined' ELSE 'good' END AS kind, COUNT(*) AS n FROM {v_cfp} GROUP BY 1
+      UNION ALL SELECT 'quarantined', 2) GROUP BY kind""")
+def _(t):
+    """The feed as one document with an envelope per row, and two lines that are no JSON: every row is on one side."""
+    path = new_path(t.spark, "aggregator")
+    envelope = t.sql(AGGREGATOR).select(F.to_json(F.struct(F.array(F.struct("*")).alias("cfps"))).alias("value"))
+    envelope.union(t.spark.createDataFrame([("{broken",), ("no json",)], "value string")).write.text(path)
+    feed = R.read_aggregator_feed(t.spark, path, multi_line=False)
+    return feed.rows.select(F.lit("good").alias("kind")).union(feed.quarantine.select(F.lit("quarantined"))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 # ---- topic files --------------------------------------------------------------------------------
 TOPICS = """
     SELECT name || ' ' || CAST(seq AS STRING) AS name, 'https://t.example/' || CAST(seq AS STRING) AS url,
@@ -75,7 +88,7 @@ def _(t):
     rows = t.sql(TOPICS)
     for topic in ("ios", "rust", "tech-comm", "accessibility"):
         rows.filter(F.col("topic") == topic).drop("topic").write.json(f"{root}/{topic}.json")
-    calls = P.transform_topic_file(R.read_topic_files(t.spark, f"{root}/*.json", multi_line=False))
+    calls = P.transform_topic_file(R.read_topic_files(t.spark, f"{root}/*.json", multi_line=False).rows)
     return FL.has_cfp_url(calls).select(
         "object_id", "cfp_end_date", "event_end_date", F.col("location.raw").alias("raw_location"), F.col("topics")[0].alias("topic"),
         F.col("topics_normalized")[0].alias("category"), "event_format",
@@ -101,7 +114,7 @@ DEADLINES = """
            CASE WHEN region IS NOT NULL THEN city END AS city, CASE WHEN region IS NOT NULL THEN country END AS country, 'advanced' AS audience_level
     FROM {v_cfp} WHERE 2022 + seq % 5 >= 2024""")
 def _(t):
-    rows = R.read_deadlines_feed(t.spark, landed(t, DEADLINES, "deadlines"), 2024, multi_line=False)
+    rows = R.read_deadlines_feed(t.spark, landed(t, DEADLINES, "deadlines"), 2024, multi_line=False).rows
     return P.transform_deadlines(rows).select(
         "object_id", "name", F.col("cfp_end_date").cast("int").alias("cfp_end_date"), "cfp_end_date_iso", "event_end_date_iso",
         F.array_join("topics_normalized", ",").alias("categories"), F.col("location.city").alias("city"), F.col("location.country").alias("country"), "audience_level",
@@ -122,7 +135,7 @@ DEVEVENTS = """
            CASE seq % 3 WHEN 0 THEN cfp_end_date + 86400 WHEN 1 THEN cfp_end_date END AS event_start_date,
            CASE seq % 3 WHEN 0 THEN cfp_end_date + 86400 WHEN 1 THEN cfp_end_date + 172800 END AS event_end_date, city, country FROM {v_cfp}""")
 def _(t):
-    rows = R.read_devevents_feed(t.spark, landed(t, DEVEVENTS, "devevents"), multi_line=False)
+    rows = R.read_devevents_feed(t.spark, landed(t, DEVEVENTS, "devevents"), multi_line=False).rows
     return P.transform_devevents(rows).select(
         "object_id", "cfp_end_date", "cfp_end_date_iso", "event_start_date", "event_end_date", F.col("location.city").alias("city"), F.col("location.country").alias("country"),
     )
@@ -134,7 +147,7 @@ CFPLIST = "SELECT name AS conferenceName, CASE WHEN seq % 3 <> 0 THEN cfp_url EN
 
 @register("cfplist_links", "SRC-5", oracle="SELECT cfp_url AS url, name, 'https://l/' || CAST(seq AS VARCHAR) AS cfp_url FROM {v_cfp} WHERE seq % 3 <> 0")
 def _(t):
-    return R.read_cfplist_feed(t.spark, landed(t, CFPLIST, "cfplist"), multi_line=False)
+    return R.read_cfplist_feed(t.spark, landed(t, CFPLIST, "cfplist"), multi_line=False).rows
 
 
 URL_LINES = """SELECT CASE seq % 5 WHEN 0 THEN '# ' || cfp_url WHEN 1 THEN cfp_url || '?i=' || CAST(seq AS STRING) || ' # note' WHEN 2 THEN '' WHEN 3 THEN '  ' ELSE ' ' || cfp_url END AS value FROM {v_cfp}"""

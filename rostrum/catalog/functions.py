@@ -426,16 +426,30 @@ ANSWER = """CASE doc_id % 6 WHEN 0 THEN '{"id": ' || CAST(doc_id AS STRING) || '
 LISTS = """CASE doc_id % 3 WHEN 0 THEN 'Here: ["' || lang || '", "' || source || '"] ok' WHEN 1 THEN 'nothing' ELSE '["k1", "k2", "k3"]' END"""
 
 
-@register("rescued_json", "FN-JSN-1", "FN-JSN-3", oracle=f"""
+@register("rescued_json", "FN-JSN-1", oracle=f"""
     SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '{{"id": ' || CAST(doc_id AS STRING) || '}}' WHEN 1 THEN '{{"id": ' || CAST(doc_id AS STRING) || '}}'
              WHEN 2 THEN '{{"a": [1, {{"b": 2}}]}}' WHEN 3 THEN '{{"lang": "' || lang || '"}}' END AS json,
-           CASE doc_id % 3 WHEN 0 THEN lang || ',' || source WHEN 1 THEN '' ELSE 'k1,k2' END AS items FROM {{documents}}""".replace("{{", "{").replace("}}", "}"))
+           CASE doc_id % 3 WHEN 0 THEN lang || ',' || source WHEN 1 THEN '' ELSE 'k1,k2,k3' END AS items FROM {{documents}}""".replace("{{", "{").replace("}}", "}"))
 def _(t):
     rows = t.table("documents")
-    items = F.slice(A.rescue_json_array(F.expr(LISTS)), 1, 2)
+    items = A.rescue_json_array(F.expr(LISTS))
     return rows.select("doc_id", A.rescue_json(F.expr(ANSWER)).alias("json"), F.array_join(items, ",").alias("items"))
 
 
+@register("bounded_enrichment", "FN-JSN-3", oracle="""
+    SELECT doc_id, n AS n_all, array_to_string([CAST(i AS VARCHAR) for i in range(n)][1:20], ',') AS keywords,
+           array_to_string([lang || CAST(i AS VARCHAR) for i in range(n)][1:10], ',') AS topics, CASE WHEN n > 0 THEN LEAST(n, 10) ELSE 0 END AS n_quotes
+    FROM (SELECT doc_id, lang, CAST(doc_id % 31 AS INTEGER) AS n FROM {documents})""")
+def _(t):
+    """Answers with lists of 0 to 30 entries: parsed whole, cut for the record."""
+    n = "sequence(0, CAST(doc_id % 31 AS INT))"
+    listed = lambda value: f"'Here: ' || to_json(slice(transform({n}, i -> {value}), 1, CAST(doc_id % 31 AS INT))) || ' done'"
+    answers = t.sql(f"SELECT doc_id, {listed('CAST(i AS STRING)')} AS keywords, {listed('lang || CAST(i AS STRING)')} AS topics, {listed('source')} AS quotes FROM {{documents}}")
+    whole = A.parsed_enrichment(answers).withColumn("n_all", F.size("keywords"))
+    cut = A.bounded_enrichment(whole)
+    return cut.select("doc_id", "n_all", F.array_join("keywords", ",").alias("keywords"), F.array_join("topics", ",").alias("topics"), F.size("quotes").alias("n_quotes"))
+
+
 @register("caption_texts", "FN-JSN-2", oracle="""
     SELECT conv_id, trim(regexp_replace(string_agg(said, ' ' ORDER BY turn), '\\s+', ' ', 'g')) AS transcript FROM (
       SELECT conv_id, turn, role || ' says ' || CAST(turn AS STRING) AS said FROM {conversations}) GROUP BY conv_id""")

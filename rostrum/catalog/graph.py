@@ -167,11 +167,10 @@ def _(t):
       SELECT TRIM(regexp_replace(lower(speaker), '[^a-z0-9]+', '-', 'g'), '-') AS slug, COUNT(*) AS talk_count, arg_min(channel, place * 1000 + r) AS channel, MIN(place * 1000 + r) AS o FROM f
       WHERE speaker NOT IN (SELECT c_name FROM {customer} WHERE c_mktsegment = 'MACHINERY') GROUP BY 1) ORDER BY o LIMIT 60""")
 def _(t):
-    from pyspark.sql import Window
-
     from rostrum.functions.text import slugify
 
-    counts = t.view("v_talk").groupBy("channel").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "channel").limit(100)
-    queue = counts.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), "channel")))  # at most 100 rows
+    # the place in the queue is a sort key: no numbering of all channels in one task
+    counts = t.view("v_talk").groupBy("channel").agg(F.count("*").alias("n"))
+    queue = counts.select("channel", F.struct((-F.col("n")).alias("n"), "channel").alias("place"))
     known = t.sql("SELECT c_name AS name FROM {customer} WHERE c_mktsegment = 'MACHINERY'").select(slugify(F.col("name")).alias("slug"))
     return G.speakers_from_channels(queue, t.view("v_talk"), known, 60).select("slug", "talk_count", "channel")

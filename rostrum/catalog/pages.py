@@ -377,16 +377,21 @@ def _(t):
 
 
 @register("extraction_run", "PG-6", "ST-3", "ST-5", oracle="""
-    SELECT 'https://sessionize.com/ev' || CAST(page_id AS VARCHAR) AS url, TRUE AS extracted, FALSE AS extraction_failed FROM {pages} WHERE page_id % 7 = 0""")
+    SELECT CASE page_id % 7 WHEN 0 THEN 'https://sessionize.com/ev' WHEN 1 THEN 'https://www.papercall.io/ev' WHEN 2 THEN 'https://pretalx.com/ev'
+             WHEN 3 THEN 'https://www.eventbrite.com/e/' ELSE 'https://Ev.example/' END || CAST(page_id AS VARCHAR) AS url, page_id % 5 > 1 AS extracted, page_id % 5 <= 1 AS extraction_failed,
+           CASE WHEN page_id % 5 = 0 THEN 'connection' ELSE '' END AS error_reason FROM {pages}""")
 def _(t):
-    """Plan, mine and record one run over the platform pages."""
-    pages = t.view("v_page").filter("page_id % 7 = 0").select("page_url", "html")
+    """Plan, mine and record one run over the platform pages; some pages came back blank, others not at all."""
+    pages = t.view("v_page").withColumn("id", F.col("page_id"))
     store = pages.select(
         F.col("page_url").alias("url"), F.lit("x").alias("source"), F.lit("").alias("name"), F.lit("").alias("cfp_url"), F.lit(False).alias("extracted"), F.lit(False).alias("extraction_failed"),
         F.lit(None).cast("double").alias("last_attempt"), F.lit(0).alias("retry_count"), F.lit(False).alias("max_retries_reached"), F.lit("").alias("fetch_method"), F.lit(False).alias("is_spa"),
         F.lit(0).alias("http_status"), F.lit("").alias("error_reason"), F.length("page_url").cast("double").alias("added_at"))
-    _, after = jobs.extract_and_record(store, pages, AS_OF, 100000)
-    return after.select("url", "extracted", "extraction_failed")
+    blank = F.col("id") % 5 == 0
+    fetched = pages.filter("id % 5 <> 1").select(
+        "page_url", F.when(blank, F.lit("")).otherwise(F.col("html")).alias("html"), F.when(blank, F.lit("connection")).alias("error_reason"))
+    _, after = jobs.extract_and_record(store, fetched, AS_OF)
+    return after.select("url", "extracted", "extraction_failed", "error_reason")
 
 
 @register("streamed_url_store", "STR-2", "DUP-4", "ST-3", oracle=APPLIED + " UNION ALL SELECT 'https://new.example/' || CAST(seq AS VARCHAR), FALSE, FALSE, NULL, NULL, FALSE, NULL, NULL, 0, FALSE FROM {v_cfp} WHERE seq % 50 = 0")

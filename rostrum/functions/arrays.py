@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,6 +75,20 @@ def rescue_json_array(text: Column, schema: str = "array<string>") -> Column:
     return F.coalesce(F.when(part != "", parsed), F.array().cast(schema))
 
 
+ENRICHMENT_LISTS = ("keywords", "topics", "quotes")
+
+
+def parsed_enrichment(answers: DataFrame) -> DataFrame:
+    """Lists of keywords, topics and quotes from the free answers in columns of these names, kept whole."""
+    return answers.withColumns({c: rescue_json_array(F.col(c)) for c in ENRICHMENT_LISTS if c in answers.columns})
+
+
+def bounded_enrichment(enriched: DataFrame, keywords: int = 20, topics: int = 10, quotes: int = 10) -> DataFrame:
+    """The lists cut to what an exported record holds; the table itself keeps them whole."""
+    most = dict(zip(ENRICHMENT_LISTS, (keywords, topics, quotes), strict=True))
+    return enriched.withColumns({c: F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, n) for c, n in most.items() if c in enriched.columns})
+
+
 CAPTIONS = T.StructType().add(
     "events", T.ArrayType(T.StructType().add("segs", T.ArrayType(T.StructType().add("utf8", T.StringType()))))
 )

@@ -268,14 +268,15 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 def extract_cfps(pages: DataFrame, minimum: float = 0.2, source: str = "extracted") -> tuple[DataFrame, DataFrame]:
     """Calls found on pages, and one outcome per page.
 
-    ``pages``: ``page_url, html`` and optionally ``cfp_url, name_hint``. Outcomes carry ``ok``,
-    ``error_reason`` and ``is_spa`` for the crawl store.
+    ``pages``: ``page_url, html`` and optionally ``cfp_url, name_hint`` and the fetch's ``error_reason``.
+    Outcomes carry ``ok``, ``error_reason`` and ``is_spa`` for the crawl store; a page without html has
+    failed for the fetch's reason, NULL if that is unknown.
     """
-    for name in ("cfp_url", "name_hint"):
+    for name in ("cfp_url", "name_hint", "error_reason"):
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(None).cast("string"))
-    has_html = blank_to_null(F.col("html")).isNotNull()
-    rows = extract_pages(pages.filter(has_html))
+    has_html = F.coalesce(blank_to_null(F.col("html")).isNotNull(), F.lit(False))
+    rows = extract_pages(pages.filter(has_html).drop("error_reason"))
     named = or_else(F.col("e.name"), F.col("name_hint")).isNotNull()
     sure = F.col("e.confidence") >= minimum
     fields = [F.col(f"e.{f}").alias(f) for f in (
@@ -288,7 +289,11 @@ def extract_cfps(pages: DataFrame, minimum: float = 0.2, source: str = "extracte
         F.when(~sure, F.lit("low_confidence")).alias("error_reason"), H.is_spa_shell(F.col("html")).alias("is_spa"),
         F.round("e.confidence", 6).alias("confidence"), F.col("e.extraction_method").alias("method"),
     )
-    return calls, outcomes
+    blank = pages.filter(~has_html).select(
+        F.col("page_url").alias("url"), F.lit(False).alias("ok"), "error_reason", F.lit(False).alias("is_spa"),
+        F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("method"),
+    )
+    return calls, outcomes.unionByName(blank)
 
 
 # ---- relevant lines -----------------------------------------------------------------------------

@@ -43,11 +43,11 @@ def url_retryable(store: DataFrame, as_of: float, k: int | None = None, ignore_b
     return _limited(rows.orderBy(F.coalesce("last_attempt", F.lit(0.0)), "url"), k)
 
 
-def extract_plan(store: DataFrame, as_of: float, limit: int) -> DataFrame:
+def extract_plan(store: DataFrame, as_of: float, limit: int | None) -> DataFrame:
     """Pending links first, retries fill what is left of ``limit``; both parts are cut to it first."""
     pending = url_pending(store, limit).select("*", F.lit(0).alias("phase"), F.col("added_at").alias("since"))
     retries = url_retryable(store, as_of, limit).select("*", F.lit(1).alias("phase"), F.coalesce("last_attempt", F.lit(0.0)).alias("since"))
-    return pending.unionByName(retries).orderBy("phase", "since", "url").limit(limit)
+    return _limited(pending.unionByName(retries).orderBy("phase", "since", "url"), limit)
 
 
 def url_apply_outcomes(store: DataFrame, outcomes: DataFrame) -> DataFrame:

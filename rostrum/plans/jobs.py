@@ -67,16 +67,23 @@ def collect_urls(store: DataFrame, providers: Sequence[DataFrame], as_of: float)
     return merged.drop("is_new"), counts
 
 
-def extract_and_record(store: DataFrame, pages: DataFrame, as_of: float, limit: int) -> tuple[DataFrame, DataFrame]:
-    """One extraction run: plan, mine the planned pages, write the outcomes into the store."""
+def extract_and_record(store: DataFrame, pages: DataFrame, as_of: float, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """One extraction run: plan, mine the planned pages, write the outcomes into the store.
+
+    ``limit`` is the run's budget of links; without it all links that are due are planned. ``pages`` has
+    ``page_url, html`` and, where the fetch tells, ``error_reason`` and ``http_status``. A planned link that
+    has no page, or a blank one, gets a failed outcome.
+    """
     plan = extract_plan(store, as_of, limit).select("url", "cfp_url", "name", "phase")
-    planned = pages.select(F.regexp_replace("page_url", "/+$", "").alias("url"), "html").join(plan, "url")
-    todo = planned.select(F.col("url").alias("page_url"), "html", "cfp_url", F.col("name").alias("name_hint"), "phase")
-    calls, found = extract_cfps(todo)
-    outcomes = found.join(plan.select("url", (F.col("phase") == 1).alias("is_retry")), "url").select(
+    for name, kind in (("error_reason", "string"), ("http_status", "int")):
+        if name not in pages.columns:
+            pages = pages.withColumn(name, F.lit(None).cast(kind))
+    fetched = pages.select(F.regexp_replace("page_url", "/+$", "").alias("url"), "html", "error_reason", "http_status")
+    todo = plan.join(fetched, "url", "left")
+    calls, found = extract_cfps(todo.select(F.col("url").alias("page_url"), "html", "cfp_url", F.col("name").alias("name_hint"), "error_reason"))
+    told = todo.groupBy("url").agg(F.first(F.col("phase") == 1).alias("is_retry"), F.max("http_status").alias("http_status"))
+    outcomes = found.join(told, "url").select(
         "url", "ok", F.lit(float(as_of)).alias("attempted_at"), F.lit("table").alias("fetch_method"), "is_spa",
-        F.lit(None).cast("int").alias("http_status"), "error_reason", "is_retry",
+        "http_status", "error_reason", "is_retry",
     )
     return calls, url_apply_outcomes(store, outcomes)
-
-

@@ -1,8 +1,12 @@
-"""Feed and file readers. Rows that do not fit the schema go to a quarantine table, not to an error."""
+"""Feed and file readers. Rows that do not fit the schema go to a quarantine table, not to an error.
+
+Feed readers return ``Feed(rows, quarantine)``; the quarantine keeps the raw text and what could be parsed.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +17,13 @@ from rostrum.sources import schemas as S
 BAD = "_corrupt_record"
 
 
+class Feed(NamedTuple):
+    """The usable rows of a feed, and the rest."""
+
+    rows: DataFrame
+    quarantine: DataFrame
+
+
 def _json(spark: SparkSession, path: str | Sequence[str], schema: str, multi_line: bool) -> DataFrame:
     return (
         spark.read.schema(f"{schema}, {BAD} STRING")
@@ -23,53 +34,55 @@ def _json(spark: SparkSession, path: str | Sequence[str], schema: str, multi_lin
     )
 
 
-def split_quarantine(rows: DataFrame, required: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def split_quarantine(rows: DataFrame, required: Sequence[str]) -> Feed:
     """Good rows (all ``required`` columns known) and the rest with its raw text."""
     known = F.lit(True)
     for name in required:
         known = known & F.col(name).isNotNull()
     good = known & F.col(BAD).isNull() if BAD in rows.columns else known
-    return rows.filter(good).drop(BAD), rows.filter(~good)
+    good = F.coalesce(good, F.lit(False))
+    return Feed(rows.filter(good).drop(BAD), rows.filter(~good))
 
 
-def read_aggregator_feed(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_aggregator_feed(spark: SparkSession, path: str, multi_line: bool = True) -> Feed:
     """JSON with the payload ``{"cfps": […]}`` or a bare array (or lines) of rows."""
     wrapped = _json(spark, path, f"cfps ARRAY<STRUCT<{_as_struct(S.AGGREGATOR)}>>, {S.AGGREGATOR}", multi_line)
     fields = [n for n in wrapped.columns if n not in ("cfps", BAD)]
     own = F.array(F.struct(*fields, BAD))
     listed = F.transform("cfps", lambda r: F.struct(*[r[f].alias(f) for f in fields], F.lit(None).cast("string").alias(BAD)))
     rows = wrapped.select(F.inline(F.when(F.col("cfps").isNotNull(), listed).otherwise(own)))
-    return split_quarantine(rows, ["name", "uri"])[0]
+    return split_quarantine(rows, ["name", "uri"])
 
 
 def _as_struct(schema: str) -> str:
     return ", ".join(": ".join(f.strip().split(" ", 1)) for f in schema.split(","))
 
 
-def read_topic_files(spark: SparkSession, glob: str, multi_line: bool = True) -> DataFrame:
+def read_topic_files(spark: SparkSession, glob: str, multi_line: bool = True) -> Feed:
     """One JSON array per topic; the topic is the file (or folder) name without ``.json``."""
     rows = _json(spark, glob, S.TOPIC_FILE, multi_line)
     topic = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json(?:/[^/]*)?$", 1)
-    return split_quarantine(rows.withColumn("topic", F.url_decode(topic)), ["name", "url"])[0]
+    return split_quarantine(rows.withColumn("topic", F.url_decode(topic)), ["name", "url"])
 
 
-def read_deadlines_feed(spark: SparkSession, path: str, as_of_year: int, multi_line: bool = True) -> DataFrame:
+def read_deadlines_feed(spark: SparkSession, path: str, as_of_year: int, multi_line: bool = True) -> Feed:
     """Academic deadlines of this year and later; ``sub`` may be one subject or a list."""
-    rows = split_quarantine(_json(spark, path, S.DEADLINES, multi_line), ["title", "year", "id"])[0]
+    rows, bad = split_quarantine(_json(spark, path, S.DEADLINES, multi_line), ["title", "year", "id"])
     listed = F.from_json("sub", "array<string>")
     one = F.when(F.col("sub").isNotNull(), F.array("sub"))
     subjects = F.when(F.col("sub").startswith("["), listed).otherwise(one)
-    return rows.filter(F.col("year") >= as_of_year).withColumn("sub", subjects)
+    return Feed(rows.filter(F.col("year") >= as_of_year).withColumn("sub", subjects), bad)
 
 
-def read_devevents_feed(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    return split_quarantine(_json(spark, path, S.DEV_EVENTS, multi_line), ["link", "conf"])[0]
+def read_devevents_feed(spark: SparkSession, path: str, multi_line: bool = True) -> Feed:
+    return split_quarantine(_json(spark, path, S.DEV_EVENTS, multi_line), ["link", "conf"])
 
 
-def read_cfplist_feed(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Link provider rows ``url, name, cfp_url``; rows without a link are dropped."""
-    rows = _json(spark, path, S.CFP_LIST, multi_line).filter(F.col("link") != "")
-    return rows.select(F.col("link").alias("url"), F.col("conferenceName").alias("name"), F.col("cfpLink").alias("cfp_url"))
+def read_cfplist_feed(spark: SparkSession, path: str, multi_line: bool = True) -> Feed:
+    """Link provider rows ``url, name, cfp_url``; rows without a link are quarantined."""
+    rows = _json(spark, path, S.CFP_LIST, multi_line)
+    good, bad = split_quarantine(rows.withColumn("link", F.nullif("link", F.lit(""))), ["link"])
+    return Feed(good.select(F.col("link").alias("url"), F.col("conferenceName").alias("name"), F.col("cfpLink").alias("cfp_url")), bad)
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
