@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.llm.tools import partitions, stored, table, texts_of, words
-from rostrum.plans.skew import top_k_per_key
 
 SHINGLE = 5
 # 100 * intersection >= 75 * union
@@ -18,9 +17,9 @@ SIMILARITY = 75
 BANDS, ROWS = 32, 4
 # of 128 coordinates (one byte each), a pair at the threshold agrees on fewer than 70 with probability 1e-7
 LEAST_AGREEING = 70
-# members of a verification group, and hubs of a bucket in successive rounds
+# members of a verification group; documents of a block and shingles of a matrix where blocks are compared
 GROUP = 128
-GROWTH = 8
+BLOCK, COLUMNS = 512, 4096
 # ids up to this number may be broadcast (16 bytes each)
 BROADCAST_IDS = 300_000
 # a worker's memory of word hashes; it then starts anew
@@ -147,6 +146,106 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return wide.mapInArrow(run, "hub long, member long")
 
 
+def _named_texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """The texts of documents named by ``wanted`` (column rep)."""
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    return docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(wanted, "rep")
+
+
+def _by_rare_shingles(rows: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The documents of ``rows`` dealt anew into buckets by their rare shingles.
+
+    Two sets of similarity t share one of the n - ceil(t n) + 1 first shingles of each in any common order; the
+    order here is from rare to frequent among these documents. A passage that many otherwise different documents
+    share fills buckets of band keys but is never rare, so it brings nobody together here.
+    """
+    wanted = stored(rows.select("rep").distinct().join(reps.select("rep", "cls", "n_shingles"), "rep"), "open")
+
+    def spread(batches):
+        for batch in batches:
+            ids, sizes, found = [], [], []
+            for rep, one, cls, n in zip(*[batch.column(c).to_pylist() for c in ("rep", "text", "cls", "n_shingles")], strict=True):
+                own = shingles(one)
+                if xxhash.xxh3_128_digest(own.tobytes()) == cls:
+                    ids.append(rep)
+                    sizes.append(n)
+                    found.append(own.view(np.int64))
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(np.array(ids, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int64), counts)),
+                pa.array(np.concatenate([*found, np.empty(0, np.int64)]))], ["rep", "n", "shingle"])
+
+    single = stored(_named_texts(docs, wanted, key, text).select("rep", "text", "cls", "n_shingles").mapInArrow(spread, "rep long, n long, shingle long"), "shingles")
+    shared = single.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    ordered = single.join(shared, "shingle").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    # shingles of one document only come first in the order and meet nobody
+    room = F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1 - (F.col("n") - F.size("s"))
+    dealt = ordered.filter(room > 0).select("rep", "n", F.explode(F.slice("s", F.lit(1), room.cast("int"))).alias("e"))
+    return dealt.select(F.col("e.shingle").alias("bucket"), "rep", "n")
+
+
+def _linked_in_blocks(rows: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Links (hub, member) between documents of ``rows`` that share a bucket, directly or over others, and are in
+    different components; decided on full sets, at most one link from a document to a component.
+
+    Documents connected over buckets form a neighbourhood; a large one is dealt into blocks, and each two blocks
+    meet in one task of bounded size, where intersections are products of 0/1 matrices. Only links come out.
+    """
+    stars = rows.groupBy("bucket").agg(F.min("rep").alias("a")).join(rows.select("bucket", F.col("rep").alias("b")), "bucket").select("a", "b")
+    around = contracted(stars).select(F.col("node").alias("rep"), F.col("label").alias("around"))
+    members = stored(rows.select("rep", "label").distinct().join(around, "rep"), "members")
+    sizes = members.groupBy("around").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    wanted = stored(members.join(sizes, "around").join(reps.select("rep", "cls"), "rep").withColumn("own", own), "wanted")
+
+    def sets(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in range(7)]
+            for rep, one, label, around_, blocks, cls, mine in zip(*[batch.column(c).to_pylist() for c in ("rep", "text", "label", "around", "blocks", "cls", "own")], strict=True):
+                found = shingles(one)
+                if xxhash.xxh3_128_digest(found.tobytes()) == cls:
+                    for other in range(blocks):
+                        for column, value in zip(out, (around_, min(mine, other), max(mine, other), mine, rep, label, found.view(np.int64)), strict=True):
+                            column.append(value)
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["around", "i", "j", "own", "rep", "label", "hashes"])
+
+    def compare(group: pa.Table) -> pa.Table:
+        rep, first = np.unique(group.column("rep").to_numpy(), return_index=True)  # repeated rows once
+        label, mine = (group.column(c).to_numpy()[first] for c in ("label", "own"))
+        found = [group.column("hashes")[k].values.to_numpy() for k in first.tolist()]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        _, column, counts = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        row, shared = np.repeat(np.arange(len(found)), n), counts > 1
+        place = np.cumsum(shared) - 1
+        row, column = row[shared[column]], place[column[shared[column]]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(found), len(found)), np.float32)
+        for at in range(0, int(shared.sum()), COLUMNS):
+            part = slice(*np.searchsorted(column, [at, at + COLUMNS]))
+            x = np.zeros((len(found), COLUMNS), np.float32)
+            x[row[part], column[part] - at] = 1
+            common += x @ x.T
+        linked = 100 * common >= SIMILARITY * (n[:, None] + n[None, :] - common)
+        linked &= label[:, None] != label[None, :]
+        if group.column("i")[0].as_py() != group.column("j")[0].as_py():
+            linked &= mine[:, None] != mine[None, :]
+        hubs, members_ = [], []
+        for k in np.flatnonzero(linked.any(1)).tolist():
+            others = np.flatnonzero(linked[k])
+            others = others[np.unique(label[others], return_index=True)[1]]
+            hubs.append(np.minimum(rep[others], rep[k]))
+            members_.append(np.maximum(rep[others], rep[k]))
+        empty = [np.empty(0, np.int64)]
+        return pa.table({"hub": np.concatenate(hubs or empty), "member": np.concatenate(members_ or empty)})
+
+    sent = _named_texts(docs, wanted, key, text).select("rep", "text", "label", "around", "blocks", "cls", "own").mapInArrow(
+        sets, "around long, i int, j int, own int, rep long, label long, hashes array<long>")
+    return sent.groupBy("around", "i", "j").applyInArrow(compare, "hub long, member long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The pairs (hub, member) whose full shingle sets are similar enough.
 
@@ -160,9 +259,8 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, key: str = "doc
         spread.select(F.col("hub").alias("rep"), "hub", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part")))
     wanted = stored(
         places.groupBy("rep").agg(F.collect_list(F.struct("hub", "part")).alias("places")).join(reps.select("rep", "cls"), "rep"), "wanted")
-    if wanted.count() <= BROADCAST_IDS and pairs.count() <= 4 * BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    named = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(wanted, "rep")
+    named = _named_texts(docs, wanted, key, text) if pairs.count() <= 4 * BROADCAST_IDS else docs.select(
+        F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(wanted, "rep")
 
     def sets(batches):
         for batch in batches:
@@ -199,15 +297,22 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, key: str = "doc
     return sent.groupBy("hub", "part").applyInArrow(compare, "hub long, member long")
 
 
+def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets whose members are in more than one component."""
+    named = rows.select("bucket", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y")
+    return stored(named.join(mixed.select("bucket", "size"), "bucket"), "buckets")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
 
     Documents with equal sets form a class with one representative. Representatives that share a band key form a
-    bucket. In rounds, the first hub of each bucket (then 8, 64, ...) is compared with the bucket's members that
-    are in other components so far; a hub is then done with its bucket. Links merge components, and a bucket
-    whose members are all in one component is finished; so a group of copies costs about one comparison per
-    document instead of one per pair, and no link between components is lost. Comparisons that sizes or
-    coordinates rule out are skipped; every link is confirmed on full sets.
+    bucket. First the members of each bucket are paired with its first document, the hub: a group of copies
+    becomes one component at one pair per document. Documents in buckets whose members are then in several
+    components are dealt anew by rare shingles, and what still shares a bucket across components is decided on full
+    sets in blocks. So no link between components is lost, though not every pair inside one is listed, and every
+    link is confirmed on full sets.
 
     Null and empty texts have no shingles, their own id as component, and are kept. Rows without an id are not
     linked: component_id null, kept true. Rows that repeat an id count as one document. Other columns are not read.
@@ -219,27 +324,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     crowded = rows.groupBy("bucket").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x <> y").select("bucket")
     rows = stored(rows.join(crowded, "bucket"), "buckets")
-    labels = links = None
-    hubs = 1
-    while not rows.isEmpty():
-        named = rows.withColumn("label", F.col("rep")) if labels is None else (
-            rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")))
-        mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
-        open_rows = stored(named.join(mixed, "bucket").select("bucket", "rep", "n", "label"), "open")
-        if hubs == 1:
-            first = open_rows.groupBy("bucket").agg(F.min(F.struct("rep", "n", "label")).alias("h")).select("bucket", "h.*")
-        else:
-            first = top_k_per_key(open_rows, ["bucket"], [F.asc("rep")], hubs).drop("rank")
-        first = stored(first, "hubs").select("bucket", F.col("rep").alias("hub"), F.col("n").alias("m"), F.col("label").alias("hub_label"))
-        pairs = (
-            open_rows.join(first, "bucket")
-            .filter("rep <> hub and label <> hub_label and 100 * least(n, m) >= 75 * greatest(n, m)")
-            .select(F.least("hub", "rep").alias("hub"), F.greatest("hub", "rep").alias("member")).distinct())
-        found = stored(verified(_likely(pairs, reps), docs, reps, key, text).select(F.col("hub").alias("a"), F.col("member").alias("b")), "links")
-        links = found if links is None else stored(links.union(found), "links")
+    labels = None
+    if not rows.isEmpty():
+        first = rows.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("h")).select("bucket", F.col("h.rep").alias("hub"), F.col("h.n").alias("m"))
+        pairs = rows.join(first, "bucket").filter("rep <> hub and 100 * least(n, m) >= 75 * greatest(n, m)").select("hub", F.col("rep").alias("member"))
+        ends = ["hub as a", "member as b"]
+        links = stored(verified(_likely(pairs.distinct(), reps), docs, reps, key, text).selectExpr(*ends), "links")
         labels = contracted(links)
-        rows = stored(open_rows.join(first.select("bucket", F.col("hub").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep", "n"), "buckets")
-        hubs *= GROWTH
+        rows = _open(rows, labels)
+        rows = _open(_by_rare_shingles(rows, reps, docs, key, text), labels)
+        if not rows.isEmpty():
+            more = _linked_in_blocks(rows, reps, docs, key, text).selectExpr(*ends)
+            labels = contracted(links.union(more))
 
     members = reps.select("cls", "rep")
     if labels is None:
