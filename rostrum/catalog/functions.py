@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rostrum import lookups as L
+from rostrum.plans.storage import spread
 from rostrum.catalog.registry import register
 from rostrum.functions import arrays as A
 from rostrum.functions import dates as D
@@ -309,7 +310,7 @@ _CLASS = "CASE " + " ".join(f"WHEN {duck_any('ctx', words)} THEN '{role}'" for r
 @register("classified_dates", "FN-DT-12", oracle=(
     "SELECT doc_id, day, ctx AS context, " + _CLASS + " AS role FROM (SELECT doc_id, ctx, " + _PARSE + " AS day FROM (" + _CTX + ")) WHERE day IS NOT NULL"))
 def _(t):
-    rows = t.view("v_note").select("doc_id", F.explode(D.all_dates_with_context(F.col("note"))).alias("d"))
+    rows = spread(t.view("v_note"), "doc_id").select("doc_id", F.explode(D.all_dates_with_context(F.col("note"))).alias("d"))
     return rows.select("doc_id", "d.day", "d.context", D.classify_date(F.col("d.context")).alias("role"))
 
 

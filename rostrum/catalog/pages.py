@@ -14,7 +14,7 @@ from rostrum.operators import speaker_calls as C
 from rostrum.operators import state as S
 from rostrum.plans import jobs
 from rostrum.plans.proxies import AS_OF
-from rostrum.plans.storage import new_path, staged
+from rostrum.plans.storage import new_path, spread, staged
 from rostrum.streaming import crawl
 
 
@@ -94,7 +94,7 @@ PARAS = f"""list_filter(list_transform(regexp_extract_all({CLOSED}, '(?is)<p>(.*
            CASE page_id % 6 WHEN 0 THEN '2026-03-05' WHEN 1 THEN '2026-04-02' WHEN 2 THEN '2026-04-30' END AS cfp_end_date,
            CASE page_id % 6 WHEN 0 THEN 0.8e0 WHEN 1 THEN 0.8e0 WHEN 2 THEN 0.8e0 ELSE 0.1e0 END AS confidence FROM {{v_page}}""")
 def _(t):
-    return fields(P.heuristics(t.view("v_page")), "heuristic", "name", "description", "cfp_end_date", "confidence")
+    return fields(P.heuristics(spread(t.view("v_page"), "page_id")), "heuristic", "name", "description", "cfp_end_date", "confidence")
 
 
 CALL_ID = "substr(sha256(CASE page_id % 7 WHEN 0 THEN 'https://sessionize.com/ev' WHEN 1 THEN 'https://www.papercall.io/ev' WHEN 2 THEN 'https://pretalx.com/ev' WHEN 3 THEN 'https://www.eventbrite.com/e/' ELSE 'https://ev.example/' END || CAST(page_id AS VARCHAR)), 1, 16)"
@@ -158,7 +158,7 @@ CALL_TEXT = """
              UNNEST(CASE id % 5 WHEN 0 THEN ['10 minutes'] WHEN 1 THEN [NULL, '3 hours'] WHEN 2 THEN ['45 min'] WHEN 3 THEN ['30 min'] ELSE CAST([] AS VARCHAR[]) END) AS duration FROM ({CALL_TEXT}))
     UNION ALL SELECT id, 'Session', '10 min' FROM ({CALL_TEXT}) WHERE id % 5 = 0 UNION ALL SELECT id, 'Session', '45 min' FROM ({CALL_TEXT}) WHERE id % 5 = 2""")
 def _(t):
-    rows = staged(t.sql(CALL_TEXT), placed=C.session_formats(F.col("text")))
+    rows = staged(spread(t.sql(CALL_TEXT), "id"), placed=C.session_formats(F.col("text")))
     return rows.select("id", F.inline(C.one_per_name(F.col("placed"))))
 
 

@@ -19,7 +19,7 @@ from rostrum.functions.places import near_location
 from rostrum.functions.text import blank_to_null, clean_search_text, contains_any, extract, matches, or_else, strip
 from rostrum.operators.dedup import extract_record, merge_extracts
 from rostrum.operators.projections import extracted_to_cfp
-from rostrum.plans.storage import staged
+from rostrum.plans.storage import spread, staged
 
 
 def _strings() -> Column:
@@ -262,7 +262,7 @@ def heuristics(pages: DataFrame, out: str = "heuristic") -> DataFrame:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Add the merged extract ``e`` of every page."""
     parts = ["platform", "structured", "heuristic"]
-    return merge_extracts(heuristics(structured(platform(pages))), parts, "e").drop(*parts)
+    return merge_extracts(heuristics(structured(platform(spread(pages, "page_url")))), parts, "e").drop(*parts)
 
 
 def extract_cfps(pages: DataFrame, minimum: float = 0.2, source: str = "extracted") -> tuple[DataFrame, DataFrame]:

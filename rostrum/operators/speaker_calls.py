@@ -10,7 +10,7 @@ from rostrum import lookups as L
 from rostrum.functions import html as H
 from rostrum.functions.arrays import title_case
 from rostrum.functions.text import blank_to_null, collapse, contains_any, literal_map, or_else, strip
-from rostrum.plans.storage import staged
+from rostrum.plans.storage import spread, staged
 
 
 def page_text(html: Column) -> Column:
@@ -222,7 +222,7 @@ def max_submissions(html: Column) -> Column:
 def mine_calls(pages: DataFrame) -> DataFrame:
     """All mined columns of call pages (``page_url, html``); texts and structs are staged once."""
     html, text = F.col("html"), F.col("text")
-    rows = staged(pages, text=page_text(html))
+    rows = staged(spread(pages, "page_url"), text=page_text(html))
     rows = staged(
         rows, placed=session_formats(text), benefits=speaker_benefits(text), meta=call_metadata(text), clean_text=clean_call_text(text)
     )

@@ -51,3 +51,12 @@ def staged(df: DataFrame, **columns) -> DataFrame:
     for name, value in columns.items():
         df = df.select("*", F.explode(F.array(value)).alias(name))
     return df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows over all cores before expensive row work when the input has fewer files than that.
+
+    A single small file is one task whatever its rows cost; inputs of many files, as large ones are, stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores, *[F.xxhash64(k) for k in keys]) if len(df.inputFiles()) < cores else df
