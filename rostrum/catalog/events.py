@@ -194,12 +194,11 @@ def _(t):
     return rows.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "object_id", "events", "conversions")
 
 
-@register("streamed_trending_windows", "STR-1", oracle=f"""
-    SELECT * FROM ({WINDOWS}) WHERE CAST(window_start AS DATE) + 7 <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM {{v_event}})""")
+@register("streamed_trending_windows", "STR-1", oracle=f"SELECT * FROM ({WINDOWS})")
 def _(t):
-    """The stream over event files in time order gives the finished windows of the batch."""
+    """The stream over event files gives the windows of the batch, the open ones too."""
     source, sink = new_path(t.spark, "events"), new_path(t.spark, "trending")
-    t.view("v_event").select("event_id", "ts", "user_token", "object_id", "event_type").orderBy("ts").write.parquet(source)
+    t.view("v_event").select("event_id", "ts", "user_token", "object_id", "event_type").write.parquet(source)
     T.write_trending(T.event_stream(t.spark, source), sink, new_path(t.spark, "stream")).awaitTermination()
-    rows = t.spark.read.schema("window_start TIMESTAMP, object_id STRING, events BIGINT, conversions BIGINT").parquet(sink)
+    rows = T.read_trending(t.spark, sink)
     return rows.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "object_id", "events", "conversions")

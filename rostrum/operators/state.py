@@ -80,6 +80,46 @@ def url_apply_outcomes(store: DataFrame, outcomes: DataFrame) -> DataFrame:
     }).drop("o")
 
 
+def fold_outcomes(store: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The store after all ``outcomes`` of each link in time order, in one aggregate.
+
+    The same columns as in ``url_apply_outcomes``, any number per link; of those with one link and time the
+    smallest counts, so replays change nothing. Outcomes before a link's ``last_attempt`` still count as
+    success or as a retry, but don't override what is known from later.
+    """
+    fields = ("ok", "fetch_method", "is_spa", "http_status", "error_reason", "is_retry")
+    once = outcomes.groupBy(F.regexp_replace("url", "/+$", "").alias("url"), "attempted_at").agg(F.min(F.struct(*fields)).alias("o"))
+    known = store.select("url", F.coalesce("last_attempt", F.lit(float("-inf"))).alias("known_at"))
+    rows = once.select("url", "attempted_at", "o.*").join(known, "url")
+    later, failed = F.col("attempted_at") > F.col("known_at"), ~F.col("ok")
+
+    def last(value: Column, when: Column) -> Column:
+        return F.max_by(value, F.when(later & when, F.col("attempted_at")))
+
+    method, status, reason = F.nullif("fetch_method", F.lit("")), F.nullif("http_status", F.lit(0)), F.nullif("error_reason", F.lit(""))
+    folded = rows.groupBy("url").agg(
+        F.max("ok").alias("any_ok"), F.max(failed).alias("any_failed"), last(F.col("ok"), F.lit(True)).alias("last_ok"),
+        F.max("attempted_at").alias("at"), last(method, F.col("ok") & method.isNotNull()).alias("method"),
+        last(F.coalesce("is_spa", F.lit(False)), F.col("ok")).alias("spa"), last(status, failed & status.isNotNull()).alias("status"),
+        last(reason, failed & reason.isNotNull()).alias("reason"), F.count_if(failed & F.col("is_retry")).cast("int").alias("tries"),
+        F.max(failed & ~is_retryable(F.col("error_reason"))).alias("hopeless"),
+    )
+    joined = store.join(folded, "url", "left")
+    retries = F.col("retry_count") + F.coalesce("tries", F.lit(0))
+    over = F.coalesce(F.col("hopeless") | (F.col("any_failed") & (retries >= L.MAX_RETRIES)), F.lit(False))
+    return joined.withColumns({
+        "extracted": F.when(F.col("any_ok"), F.lit(True)).otherwise(F.col("extracted")),
+        "extraction_failed": F.coalesce(~F.col("last_ok"), "extraction_failed"),
+        "last_attempt": F.greatest("last_attempt", "at"),
+        "fetch_method": F.coalesce("method", "fetch_method"),
+        "is_spa": F.coalesce("spa", "is_spa"),
+        "http_status": F.coalesce("status", "http_status"),
+        "error_reason": F.coalesce("reason", "error_reason"),
+        "max_retries_reached": F.when(over, F.lit(True)).otherwise(F.col("max_retries_reached")),
+        "retry_count": retries,
+    }).select(*store.columns)
+
+
 def url_reset_failed(store: DataFrame) -> DataFrame:
     """Failed links become pending again."""
     failed = _false("extraction_failed")

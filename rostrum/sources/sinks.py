@@ -22,6 +22,11 @@ def bucket_of(key: str, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
 
 
+def in_buckets(df: DataFrame, key: str, files: int = 8) -> DataFrame:
+    """Rows dealt for a bucketed write: several tasks, and so files, per bucket."""
+    return df.repartition("bucket", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(1)), F.lit(files)))
+
+
 # ---- merges (pure DataFrame forms) --------------------------------------------------------------
 def upsert(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of ``new`` replace those with the same key as whole records; others are added."""
@@ -38,8 +43,8 @@ def partial_update(table: DataFrame, changes: DataFrame, key: str, columns: Sequ
 # ---- stored tables ------------------------------------------------------------------------------
 def write_table(df: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
     """Write a whole table, its rows spread over key buckets."""
-    rows = df.withColumn("bucket", bucket_of(key, buckets))
-    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    rows = in_buckets(df.withColumn("bucket", bucket_of(key, buckets)), key)
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -61,7 +66,7 @@ def upsert_table(spark: SparkSession, path: str, new: DataFrame, key: str, order
         return
     old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
     merged = cut_lineage(upsert(old, new, key))
-    _overwrite_buckets(merged, path)
+    _overwrite_buckets(merged, path, key)
 
 
 def _last_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -69,8 +74,8 @@ def _last_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(row, F.struct(*order)).alias("__row")).select("__row.*")
 
 
-def _overwrite_buckets(df: DataFrame, path: str) -> None:
-    rows = df.repartition("bucket")
+def _overwrite_buckets(df: DataFrame, path: str, key: str) -> None:
+    rows = in_buckets(df, key)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
@@ -81,13 +86,16 @@ def partial_update_table(spark: SparkSession, path: str, changes: DataFrame, key
     if not touched:
         return
     old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
-    _overwrite_buckets(cut_lineage(partial_update(old, changes, key, columns)), path)
+    _overwrite_buckets(cut_lineage(partial_update(old, changes, key, columns)), path, key)
 
 
 def clear_table(spark: SparkSession, path: str) -> None:
     """Empty a stored table and keep its schema."""
     schema = spark.read.parquet(path).schema
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    # one row filtered away again: an empty partitioned write leaves no file, and with it no schema
+    empty = spark.createDataFrame([], schema)
+    bare = empty.drop("bucket")
+    bare.write.mode("overwrite").parquet(f"{path}/bucket=0") if "bucket" in schema.names else bare.write.mode("overwrite").parquet(path)
 
 
 def count_table(spark: SparkSession, path: str) -> DataFrame:

@@ -1,29 +1,42 @@
 """The crawl store fed by streams of links and of crawl outcomes.
 
-Each micro-batch is merged with the stored table bucket by bucket. Batches are merged by key with
-rules that do not depend on the number of times they run: adding a known link changes nothing, and an
-outcome carries its time, so one that was already applied is skipped.
+Links are merged with the stored table bucket by bucket; adding a known link changes nothing. Outcomes go to
+a log beside it, one folder per stream and batch, which a replayed batch overwrites. The state of a link is its
+stored row and all its outcomes folded in time order, so late and out-of-order files lose nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.operators.dedup import url_store_add
-from rostrum.operators.state import url_apply_outcomes
+from rostrum.operators.state import fold_outcomes
 from rostrum.plans.storage import cut_lineage
 from rostrum.sources.schemas import OUTCOMES, URL_STORE
-from rostrum.sources.sinks import bucket_of
+from rostrum.sources.sinks import bucket_of, in_buckets
 
 LINKS = "url STRING, source STRING, name STRING, cfp_url STRING, seq BIGINT, added_at DOUBLE"
 STORE_BUCKETS = 64
 
 
+def outcome_log(path: str) -> str:
+    return f"{path.rstrip('/')}-outcomes"
+
+
 def create_store(spark: SparkSession, path: str, rows: DataFrame | None = None, buckets: int = STORE_BUCKETS) -> None:
-    """Create the stored table, empty or from rows."""
+    """Create the stored table, empty or from rows, and its empty outcome log."""
     rows = spark.createDataFrame([], URL_STORE) if rows is None else rows
-    rows.withColumn("bucket", bucket_of("url", buckets)).repartition("bucket").write.partitionBy("bucket").parquet(path)
+    in_buckets(rows.withColumn("bucket", bucket_of("url", buckets)), "url").write.partitionBy("bucket").parquet(path)
+    spark.createDataFrame([], OUTCOMES).write.parquet(f"{outcome_log(path)}/run=none")
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The links with the outcomes logged so far."""
+    base = spark.read.schema(f"{URL_STORE}, bucket INT").parquet(path).drop("bucket")
+    return fold_outcomes(base, spark.read.schema(f"{OUTCOMES}, run STRING").parquet(outcome_log(path)).drop("run"))
 
 
 def _stored(spark: SparkSession, path: str, touched: list[int]) -> DataFrame:
@@ -37,7 +50,7 @@ def _merge(spark: SparkSession, path: str, batch: DataFrame, merge, buckets: int
     if not touched:
         return
     merged = merge(_stored(spark, path, touched), batch.drop("bucket")).withColumn("bucket", bucket_of("url", buckets))
-    rows = cut_lineage(merged).repartition("bucket")
+    rows = in_buckets(cut_lineage(merged), "url")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
@@ -45,22 +58,9 @@ def merge_links(spark: SparkSession, path: str, batch: DataFrame, buckets: int =
     _merge(spark, path, batch, lambda store, new: url_store_add(store, new).drop("is_new"), buckets)
 
 
-def merge_outcomes(spark: SparkSession, path: str, batch: DataFrame, buckets: int = STORE_BUCKETS) -> None:
-    """Apply the outcomes of a batch in time order; of one link at one time the first counts once."""
-
-    def apply(store: DataFrame, news: DataFrame) -> DataFrame:
-        known = store.select("url", F.coalesce("last_attempt", F.lit(float("-inf"))).alias("known_at"))
-        fresh = news.join(known, "url").filter(F.col("attempted_at") > F.col("known_at")).drop("known_at")
-        fresh = cut_lineage(fresh.dropDuplicates(["url", "attempted_at"]))
-        while not fresh.isEmpty():
-            # one outcome per link and step; a link rarely has more than one in a batch
-            first = fresh.groupBy("url").agg(F.min("attempted_at").alias("attempted_at"))
-            now = fresh.join(first, ["url", "attempted_at"], "left_semi")
-            store = cut_lineage(url_apply_outcomes(store, now))
-            fresh = cut_lineage(fresh.join(first, ["url", "attempted_at"], "left_anti"))
-        return store
-
-    _merge(spark, path, batch, apply, buckets)
+def log_outcomes(path: str, batch: DataFrame, run: str) -> None:
+    """Add a batch of outcomes to the log; ``run`` names the stream and batch, and a second time replaces the first."""
+    batch.write.mode("overwrite").parquet(f"{outcome_log(path)}/run={run}")
 
 
 def run_links(spark: SparkSession, source: str, path: str, checkpoint: str, buckets: int = STORE_BUCKETS):
@@ -72,10 +72,11 @@ def run_links(spark: SparkSession, source: str, path: str, checkpoint: str, buck
     )
 
 
-def run_outcomes(spark: SparkSession, source: str, path: str, checkpoint: str, buckets: int = STORE_BUCKETS):
+def run_outcomes(spark: SparkSession, source: str, path: str, checkpoint: str):
     """Stream crawl outcomes into the store; processes what is there and stops."""
     outcomes = spark.readStream.schema(OUTCOMES).parquet(source)
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
     return (
-        outcomes.writeStream.foreachBatch(lambda batch, _: merge_outcomes(batch.sparkSession, path, batch, buckets))
+        outcomes.writeStream.foreachBatch(lambda batch, number: log_outcomes(path, batch, f"{stream}-{number}"))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

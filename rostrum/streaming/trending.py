@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from rostrum.sources.schemas import EVENTS
 
+WINDOWS = "window_start TIMESTAMP, window_end TIMESTAMP, object_id STRING, events BIGINT, conversions BIGINT"
+
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Event files of a folder as a stream."""
@@ -33,13 +35,25 @@ def trending_windows(events: DataFrame, window: str = "7 days", slide: str = "1
 
 
 def write_trending(events: DataFrame, path: str, checkpoint: str):
-    """Append finished windows to a parquet folder; processes what is there and stops."""
+    """Write what each batch changed, one folder per batch, which a replayed batch overwrites.
+
+    All windows are there after every run, open ones with their counts so far; ``read_trending`` gives the
+    present counts. Processes what is there and stops.
+    """
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
     return (
         trending_windows(events)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", path)
+        .writeStream.outputMode("update")
+        .foreachBatch(put)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_trending(spark: SparkSession, path: str) -> DataFrame:
+    """The latest counts per window and object; counts only grow, so the latest are the largest."""
+    rows = spark.read.schema(f"{WINDOWS}, batch BIGINT").parquet(path)
+    return rows.groupBy("window_start", "window_end", "object_id").agg(F.max("events").alias("events"), F.max("conversions").alias("conversions"))

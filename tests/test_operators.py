@@ -187,24 +187,54 @@ def test_upsert_table_is_idempotent(spark):
     assert len(rows) == 21 and rows[5] == "b" and rows[99] == "new" and rows[6] == "old"
 
 
-def test_outcome_replay(spark):
+def test_outcome_replay_and_late_outcomes(spark):
     path, source = new_path(spark, "store"), new_path(spark, "out")
     from rostrum.sources.schemas import OUTCOMES, URL_STORE
 
     row = ("u", "s", None, None, False, False, None, 0, False, None, False, None, None, 1.0)
-    crawl.create_store(spark, path, spark.createDataFrame([row], URL_STORE), buckets=2)
+    crawl.create_store(spark, path, spark.createDataFrame([row, ("v", *row[1:])], URL_STORE), buckets=2)
     tries = [("u/", False, float(t), None, False, 503, "503", True) for t in (10, 20)]
     spark.createDataFrame(tries, OUTCOMES).write.parquet(source)
     for _ in range(2):  # a second run from the start changes nothing
-        crawl.run_outcomes(spark, source, path, new_path(spark, "cp"), buckets=2).awaitTermination()
-    assert [(r.retry_count, r.last_attempt, r.extraction_failed) for r in spark.read.parquet(path).collect()] == [(2, 20.0, True)]
+        crawl.run_outcomes(spark, source, path, new_path(spark, "cp")).awaitTermination()
+    state = lambda: [(r.url, r.retry_count, r.last_attempt, r.extraction_failed, r.extracted, r.error_reason) for r in crawl.read_store(spark, path).orderBy("url").collect()]
+    assert state() == [("u", 2, 20.0, True, False, "503"), ("v", 0, None, False, False, None)]
+    # a file that comes late, with an earlier failure and a success in between
+    late = [("u", False, 5.0, None, False, 429, "429", True), ("u", True, 15.0, "http", True, None, None, True), ("v", True, 30.0, "http", False, None, None, False)]
+    spark.createDataFrame(late, OUTCOMES).write.mode("append").parquet(source)
+    crawl.run_outcomes(spark, source, path, new_path(spark, "cp")).awaitTermination()
+    assert state() == [("u", 3, 20.0, True, True, "503"), ("v", 0, 30.0, False, True, None)]
+    folded = crawl.read_store(spark, path).filter("url = 'u'").collect()[0]
+    assert (folded.fetch_method, folded.is_spa, folded.max_retries_reached, folded.http_status) == ("http", True, True, 503)
 
 
 def test_stream_equals_batch(spark):
     source, sink = new_path(spark, "ev"), new_path(spark, "tr")
     rows = spark.range(400).selectExpr("id AS event_id", "timestamp_seconds(1700000000 + id * 7200) AS ts", "id % 5 AS user_token", "CAST(id % 3 AS STRING) AS object_id", "'view' AS event_type")
-    rows.write.parquet(source)
-    trending.write_trending(trending.event_stream(spark, source), sink, new_path(spark, "cp")).awaitTermination()
-    stream = {tuple(r) for r in spark.read.parquet(sink).collect()}
-    batch = {tuple(r) for r in trending.trending_windows(rows).collect()}
-    assert stream and stream <= batch and len(batch - stream) <= 3 * 8
+    checkpoint = new_path(spark, "cp")
+    for part in ("event_id < 250", "event_id >= 250"):  # two runs of one stream
+        rows.filter(part).write.mode("append").parquet(source)
+        trending.write_trending(trending.event_stream(spark, source), sink, checkpoint).awaitTermination()
+    assert {tuple(r) for r in trending.read_trending(spark, sink).collect()} == {tuple(r) for r in trending.trending_windows(rows).collect()}
+
+
+def test_blank_and_missing_pages_get_outcomes(spark):
+    from rostrum.plans import jobs
+    from rostrum.sources.schemas import URL_STORE
+
+    row = ("s", "", "", False, False, None, 0, False, "", False, 0, "", 1.0)
+    store = spark.createDataFrame([(u, *row) for u in ("https://a.example", "https://b.example", "https://c.example")], URL_STORE)
+    html = '<html><head><title>Conf</title><script type="application/ld+json">{"@type": "Event", "name": "Conf 1"}</script></head><body><p>Call for papers</p></body></html>'
+    pages = spark.createDataFrame([("https://a.example/", html, None), ("https://b.example", "", "timeout")], "page_url STRING, html STRING, error_reason STRING")
+    _, after = jobs.extract_and_record(store, pages, 100.0)
+    got = {r.url[8]: (r.extracted, r.extraction_failed, r.error_reason, r.max_retries_reached) for r in after.collect()}
+    assert got == {"a": (True, False, "", False), "b": (False, True, "timeout", False), "c": (False, True, "", False)}
+
+
+def test_cleared_table_keeps_its_layout(spark):
+    path = new_path(spark, "t")
+    sinks.write_table(spark.createDataFrame([(1, "x")], "id BIGINT, v STRING"), path, "id", 4)
+    sinks.clear_table(spark, path)
+    assert sinks.read_table(spark, path).count() == 0
+    sinks.upsert_table(spark, path, spark.createDataFrame([(2, "y")], "id BIGINT, v STRING"), "id", buckets=4)
+    assert [tuple(r) for r in sinks.read_table(spark, path).collect()] == [(2, "y")]
