@@ -366,6 +366,17 @@ def _(t):
     )
 
 
+VARIANT = """CASE LENGTH(person) % 4 WHEN 0 THEN REPLACE(person, 'e', 'é') WHEN 1 THEN UPPER(person) WHEN 2 THEN 'Dr ' || person ELSE person || ' Jr' END"""
+
+
+@register("contained_people", "JN-10", "FN-STR-8", oracle=f"""
+    SELECT DISTINCT person AS name, {VARIANT} AS match, CASE WHEN LENGTH(person) % 4 < 2 THEN 1.0 ELSE 0.95 END::DOUBLE AS score FROM {{v_person}}""")
+def _(t):
+    """Names against the same ones with diacritics, in capitals, with a title, and with a suffix."""
+    right = t.sql(f"SELECT DISTINCT {VARIANT} AS name FROM {{v_person}}")
+    return J.fuzzy_match_people(t.sql("SELECT person AS name FROM {v_person}"), right, 0.945).select("name", "match", "score")
+
+
 @register("matched_people", "JN-10", "FN-STR-8")
 def _(t):
     """Part-name people against the same names with typos."""
