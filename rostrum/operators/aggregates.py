@@ -11,6 +11,7 @@ from rostrum import lookups as L
 from rostrum.functions.text import contains_any, normalize_tag
 from rostrum.operators.filters import is_blocked_speaker, is_company_channel, is_conference_channel, is_open
 from rostrum.operators.joins import resolve_alias
+from rostrum.plans.storage import cut_lineage
 from rostrum.plans.skew import top_k, top_k_array, top_k_per_key
 
 
@@ -50,12 +51,15 @@ def speaker_totals(appearances: DataFrame) -> DataFrame:
     views = F.coalesce(F.col("view_count"), F.lit(0)).cast("bigint")
     year = F.nullif(F.col("year"), F.lit(0))
     longest = F.greatest(_name_rank("name"), _name_rank("display_name"))
-    return appearances.groupBy("slug").agg(
-        F.max(longest)["name"].alias("name"),
-        F.count("*").alias("talk_count"),
-        F.sum(views).alias("total_views"),
-        F.max(views).alias("max_views"),
-        F.array_sort(F.collect_set(year)).alias("years_active"),
+    # years are few per speaker once counted by year
+    by_year = appearances.groupBy("slug", year.alias("year")).agg(
+        F.max(longest).alias("longest"), F.count("*").alias("n"), F.sum(views).alias("views"), F.max(views).alias("most"))
+    return by_year.groupBy("slug").agg(
+        F.max("longest")["name"].alias("name"),
+        F.sum("n").alias("talk_count"),
+        F.sum("views").alias("total_views"),
+        F.max("most").alias("max_views"),
+        F.array_sort(F.collect_list("year")).alias("years_active"),
     ).withColumns({
         "first_talk_year": F.array_min("years_active"),
         "latest_talk_year": F.array_max("years_active"),
@@ -137,9 +141,10 @@ def build_speakers(
 
     Lists that grow with the data (all talks, all conferences, all spellings) are the companion
     tables ``speaker_talks``, ``speaker_conferences`` and ``speaker_names``; the profile holds the
-    bounded parts only. Every branch is keyed by slug, so the final joins reuse one partitioning.
+    bounded parts only. The narrow appearances are written once; every branch reads them.
     """
-    rows = speaker_appearances(talks, aliases, dedupe_person)
+    narrow = [c for c in ("object_id", "speaker", "speakers", "conference_name", "view_count", "year", "topics") if c in talks.columns]
+    rows = cut_lineage(speaker_appearances(talks.select(*narrow), aliases, dedupe_person))
     topics = top_k_per_key(speaker_topics(rows), ["slug"], [F.col("n").desc(), F.col("topic")], 10)
     entry = F.array_sort(F.collect_list(F.struct("rank", "topic", "n")))
     topics = topics.groupBy("slug").agg(
@@ -211,13 +216,12 @@ def channel_profiles(talks: DataFrame) -> DataFrame:
     """Totals and class of each channel; its speakers are the rows of ``channel_speakers``."""
     known = talks.filter((F.col("channel") != "") & (F.col("channel") != "Unknown"))
     views = F.coalesce(F.col("view_count"), F.lit(0)).cast("bigint")
-    per_speaker = known.groupBy("channel", "speaker").agg(
-        F.count("*").alias("n"), F.sum(views).alias("views"), F.collect_set("year").alias("years")
-    )
-    return per_speaker.groupBy("channel").agg(
-        F.sum("n").alias("talk_count"), F.sum("views").alias("total_views"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("years")))).alias("years"),
-        F.count("speaker").alias("speaker_count"),
+    by_year = known.groupBy("channel", "speaker", "year").agg(F.count("*").alias("n"), F.sum(views).alias("views"))
+    years = by_year.groupBy("channel", "year").agg(F.sum("n").alias("n"), F.sum("views").alias("views")).groupBy("channel").agg(
+        F.sum("n").alias("talk_count"), F.sum("views").alias("total_views"), F.array_sort(F.collect_list("year")).alias("years"))
+    people = by_year.select("channel", "speaker").distinct().groupBy("channel").agg(F.count("speaker").alias("speaker_count"))
+    return years.join(people, "channel").select(
+        "channel", "talk_count", "total_views", "years", "speaker_count",
     ).withColumns({
         "is_conference": is_conference_channel(F.col("channel")),
         "is_company": is_company_channel(F.col("channel")),

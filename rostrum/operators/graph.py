@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions.text import slugify
 from rostrum.operators.filters import is_valid_speaker
-from rostrum.plans.skew import top_k, top_k_per_key
+from rostrum.plans.skew import first_per_key, top_k, top_k_per_key
 from rostrum.plans.storage import cut_lineage
 
 
@@ -106,8 +106,7 @@ def bfs_discover(seeds: DataFrame, talks: DataFrame, max_speakers: int = 50, max
         for part in seen:
             own = own.join(part.select("object_id"), "object_id", "left_anti")
         # a talk of two people of one level belongs to the first
-        row = F.struct(*[F.col(c) for c in own.columns])
-        own = own.groupBy("object_id").agg(F.min_by(row, "owner").alias("r")).select("r.*").withColumn("level", F.lit(level))
+        own = first_per_key(own, ["object_id"], ["owner"]).withColumn("level", F.lit(level))
         own = cut_lineage(own)
         seen = _parts([*seen, own])
         fresh = own.filter(F.col("named_slug").isNotNull() & (F.col("speaker") != F.col("found_by")))

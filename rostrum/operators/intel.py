@@ -12,6 +12,7 @@ from rostrum.functions.text import contains_any
 from rostrum.operators.aggregates import counter
 from rostrum.operators.filters import drop_noise_subreddits, is_noise_title
 from rostrum.plans.skew import top_k_array, top_k_per_key
+from rostrum.plans.storage import cut_lineage
 
 KEY = "conf_id"
 
@@ -41,7 +42,9 @@ def hn_intel(posts: DataFrame, comments: DataFrame | None = None) -> DataFrame:
     ``posts``: ``conf_id, conf_name, post_id, title, points, num_comments``; ``comments``: ``post_id,
     comment_id, text``.
     """
-    about = posts.filter(~is_noise_title(F.col("title"), F.col("conf_name")))
+    # titles are judged once; all parts read the result
+    posts = cut_lineage(posts.select(KEY, "post_id", "title", "points", "num_comments", is_noise_title(F.col("title"), F.col("conf_name")).alias("noise")))
+    about = posts.filter(~F.col("noise"))
     totals = posts.groupBy(KEY).agg(F.count("*").alias("hn_stories"))
     kept = about.groupBy(KEY).agg(
         F.count("*").alias("hn_kept"), F.sum(F.coalesce("points", F.lit(0))).alias("hn_points"),
@@ -62,6 +65,7 @@ def hn_intel(posts: DataFrame, comments: DataFrame | None = None) -> DataFrame:
 
 def github_intel(repos: DataFrame) -> DataFrame:
     """Per conference: repositories, stars, languages, topics and short descriptions."""
+    repos = cut_lineage(repos.select(KEY, "post_id", "stars", "language", "topics", "description"))
     totals = repos.groupBy(KEY).agg(
         F.count("*").alias("github_repos"), F.sum(F.coalesce("stars", F.lit(0))).alias("github_stars")
     )
@@ -76,7 +80,7 @@ def github_intel(repos: DataFrame) -> DataFrame:
 
 def reddit_intel(posts: DataFrame) -> DataFrame:
     """Per conference: posts outside noise groups, subreddits, flairs, titles and long self texts."""
-    kept = drop_noise_subreddits(posts)
+    kept = cut_lineage(drop_noise_subreddits(posts).select(KEY, "post_id", "subreddit", "flair", "title", "selftext"))
     long_text = F.when(F.length("selftext") > 50, F.substring("selftext", 1, 500))
     return _all(
         kept.groupBy(KEY).agg(F.count("*").alias("reddit_posts")),
@@ -89,6 +93,7 @@ def reddit_intel(posts: DataFrame) -> DataFrame:
 
 def devto_intel(articles: DataFrame) -> DataFrame:
     """Per conference: articles, tags and authors."""
+    articles = cut_lineage(articles.select(KEY, "post_id", "tags", "author", "title"))
     return _all(
         articles.groupBy(KEY).agg(F.count("*").alias("devto_articles")),
         _top_values(articles.select(KEY, F.explode("tags").alias("tag")), "tag", 15, "devto_tags"),

@@ -26,13 +26,8 @@ def top_k_array(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """The whole first row of each key.
-
-    ``min_by`` over a struct combines on the map side, so a key with very many rows stays cheap.
-    """
-    row = F.struct(*[F.col(c) for c in df.columns])
-    best = df.groupBy(*keys).agg(F.min_by(row, F.struct(*order)).alias("__row"))
-    return best.select("__row.*")
+    """The whole first row of each key: a group limit of one, below the shuffle as well."""
+    return top_k_per_key(df, keys, [F.col(c) if isinstance(c, str) else c for c in order], 1, "__rank").drop("__rank")
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:

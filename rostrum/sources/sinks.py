@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions.arrays import drop_empty, null_if_empty
 from rostrum.functions.text import blank_to_null
+from rostrum.plans.skew import first_per_key
 from rostrum.plans.storage import cut_lineage
 
 BUCKETS = 64
@@ -70,8 +71,7 @@ def upsert_table(spark: SparkSession, path: str, new: DataFrame, key: str, order
 
 
 def _last_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    row = F.struct(*[F.col(c) for c in df.columns])
-    return df.groupBy(key).agg(F.max_by(row, F.struct(*order)).alias("__row")).select("__row.*")
+    return first_per_key(df, [key], [F.col(c).desc() for c in order])
 
 
 def _overwrite_buckets(df: DataFrame, path: str, key: str) -> None:
