@@ -125,11 +125,11 @@ def _(t):
 
 
 def devto(t: Tables) -> DataFrame:
-    return I.devto_intel(t.view("v_post").filter("post_id % 3 = 0").withColumn("tags", F.array("kind", "brand")))
+    return I.devto_intel(t.view("v_post").withColumn("tags", F.array("kind", "brand")))
 
 
 @register("devto_intel", "AGG-8", oracle=f"""
-    WITH a AS (SELECT * FROM {{v_post}} WHERE post_id % 3 = 0)
+    WITH a AS (SELECT * FROM {{v_post}})
     SELECT * FROM (SELECT conf_id, COUNT(*) AS devto_articles FROM a GROUP BY 1)
     LEFT JOIN ({top_list('(SELECT conf_id, kind AS tag FROM a UNION ALL SELECT conf_id, brand FROM a)', 'tag', 15, 'devto_tags')}) USING (conf_id)
     LEFT JOIN ({top_list('a', 'author', 10, 'devto_authors')}) USING (conf_id) LEFT JOIN ({first_list('a', 'title', 10, 'devto_titles')}) USING (conf_id)""")
@@ -148,7 +148,7 @@ NUMBERS = f"""
     SELECT conf_id, conf_name, hn_stories, COALESCE(hn_points, 0) AS hn_points, github_repos, github_stars, reddit_posts, devto_articles FROM {{v_conf}}
     LEFT JOIN (SELECT conf_id, COUNT(*) AS hn_stories FROM {{v_post}} GROUP BY 1) USING (conf_id) LEFT JOIN (SELECT conf_id, CAST(SUM(points) AS BIGINT) AS hn_points FROM {ABOUT} GROUP BY 1) USING (conf_id)
     LEFT JOIN (SELECT conf_id, COUNT(*) AS github_repos, CAST(SUM(stars) AS BIGINT) AS github_stars FROM {{v_repo}} GROUP BY 1) USING (conf_id)
-    LEFT JOIN (SELECT conf_id, COUNT(*) AS reddit_posts FROM {CLEAN} GROUP BY 1) USING (conf_id) LEFT JOIN (SELECT conf_id, COUNT(*) AS devto_articles FROM {{v_post}} WHERE post_id % 3 = 0 GROUP BY 1) USING (conf_id)"""
+    LEFT JOIN (SELECT conf_id, COUNT(*) AS reddit_posts FROM {CLEAN} GROUP BY 1) USING (conf_id) LEFT JOIN (SELECT conf_id, COUNT(*) AS devto_articles FROM {{v_post}} GROUP BY 1) USING (conf_id)"""
 SCORE = """ROUND(LEAST(100e0, 10e0 * ln(1 + 5e0 * COALESCE(hn_stories, 0) + 0.01e0 * COALESCE(hn_points, 0) + 2e0 * COALESCE(github_repos, 0) + 0.01e0 * COALESCE(github_stars, 0)
     + 1e0 * COALESCE(reddit_posts, 0) + 3e0 * COALESCE(devto_articles, 0))), 6)"""
 
@@ -171,7 +171,7 @@ TOPIC_COLUMNS = ["hn_topics", "github_topics", "github_languages", "devto_tags",
 
 
 @register("intel_topics", "AGG-11", oracle=f"""
-    WITH a AS (SELECT * FROM {{v_post}} WHERE post_id % 3 = 0), all_topics AS (
+    WITH a AS (SELECT * FROM {{v_post}}), all_topics AS (
       SELECT conf_id, UNNEST(string_split(x, ',')) AS topic FROM (
         SELECT conf_id, x FROM ({top_list(f"(SELECT conf_id, UNNEST(regexp_extract_all(title, '{L.TITLE_WORD_PATTERN}')) AS w FROM {ABOUT})", 'w', 10, 'x')})
         UNION ALL SELECT conf_id, x FROM ({top_list('{v_repo}', 'language', 10, 'x')})

@@ -181,10 +181,10 @@ def _(t):
     SELECT slug, arg_max(alias, (length(alias), alias)) AS name, COUNT(*) AS spellings FROM (
       SELECT DISTINCT TRIM(regexp_replace(lower(alias), '[^a-z0-9]+', '-', 'g'), '-') AS slug, alias FROM (
         SELECT name AS alias FROM {v_appearance}
-        UNION ALL SELECT UPPER(name) || '.' FROM {v_appearance} WHERE year > 1998))
+        UNION ALL SELECT UPPER(name) || '.' FROM {v_appearance}))
     GROUP BY slug""")
 def _(t):
-    rows = t.sql("SELECT name FROM {v_appearance} UNION ALL SELECT UPPER(name) || '.' FROM {v_appearance} WHERE year > 1998")
+    rows = t.sql("SELECT name FROM {v_appearance} UNION ALL SELECT UPPER(name) || '.' FROM {v_appearance}")
     return W.longest_name(A.speaker_names(J.resolve_alias(rows, None)))
 
 
