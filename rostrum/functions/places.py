@@ -9,7 +9,6 @@ from rostrum import lookups as L
 from rostrum.functions.text import blank_to_null, contains_any, literal_map, or_else, strip
 
 FIELDS = ("city", "state", "country", "region", "continent", "raw")
-_CONTINENT = {c: continent for continent, names in L.CONTINENT_COUNTRIES.items() for c in names}
 _EUROPE = {c: region for region, names in L.EUROPE_REGIONS.items() for c in names}
 _US = {s: region for region, names in L.US_REGIONS.items() for s in names}
 
@@ -29,7 +28,7 @@ def normalize_country(country: Column) -> Column:
 
 
 def continent_of(country: Column) -> Column:
-    return _lookup(_CONTINENT, country)
+    return _lookup(L.COUNTRY_CONTINENT, country)
 
 
 def us_region(state: Column) -> Column:

@@ -60,19 +60,23 @@ US_REGIONS = {
              "Washington", "Wyoming"],
 }
 
-CONTINENT_COUNTRIES = {
-    "North America": ["USA", "United States", "US", "Canada", "Mexico"],
-    "Europe": ["UK", "United Kingdom", "England", "Scotland", "Germany", "France", "Spain", "Italy",
-               "Netherlands", "Belgium", "Austria", "Switzerland", "Poland", "Czech Republic", "Czechia",
-               "Sweden", "Norway", "Denmark", "Finland", "Ireland", "Portugal", "Greece", "Romania",
-               "Hungary", "Bulgaria", "Croatia", "Slovenia", "Slovakia", "Serbia", "Ukraine", "Estonia",
-               "Latvia", "Lithuania", "Luxembourg", "Malta", "Cyprus", "Iceland"],
-    "Asia": ["Japan", "China", "India", "South Korea", "Korea", "Singapore", "Thailand", "Vietnam",
-             "Malaysia", "Indonesia", "Philippines", "Taiwan", "Hong Kong", "Israel", "UAE",
-             "United Arab Emirates", "Dubai"],
-    "Oceania": ["Australia", "New Zealand"],
-    "South America": ["Brazil", "Argentina", "Chile", "Colombia", "Peru"],
-    "Africa": ["South Africa", "Nigeria", "Kenya", "Egypt"],
+COUNTRY_CONTINENT = {
+    "USA": "North America", "United States": "North America", "US": "North America", "Canada": "North America",
+    "Mexico": "North America", "UK": "Europe", "United Kingdom": "Europe", "England": "Europe",
+    "Scotland": "Europe", "Germany": "Europe", "France": "Europe", "Spain": "Europe", "Italy": "Europe",
+    "Netherlands": "Europe", "Belgium": "Europe", "Austria": "Europe", "Switzerland": "Europe",
+    "Poland": "Europe", "Czech Republic": "Europe", "Czechia": "Europe", "Sweden": "Europe", "Norway": "Europe",
+    "Denmark": "Europe", "Finland": "Europe", "Ireland": "Europe", "Portugal": "Europe", "Greece": "Europe",
+    "Romania": "Europe", "Hungary": "Europe", "Bulgaria": "Europe", "Croatia": "Europe", "Slovenia": "Europe",
+    "Slovakia": "Europe", "Serbia": "Europe", "Ukraine": "Europe", "Estonia": "Europe", "Latvia": "Europe",
+    "Lithuania": "Europe", "Luxembourg": "Europe", "Malta": "Europe", "Cyprus": "Europe", "Iceland": "Europe",
+    "Japan": "Asia", "China": "Asia", "India": "Asia", "South Korea": "Asia", "Korea": "Asia",
+    "Singapore": "Asia", "Thailand": "Asia", "Vietnam": "Asia", "Malaysia": "Asia", "Indonesia": "Asia",
+    "Philippines": "Asia", "Taiwan": "Asia", "Hong Kong": "Asia", "Israel": "Asia", "UAE": "Asia",
+    "United Arab Emirates": "Asia", "Dubai": "Asia", "Australia": "Oceania", "New Zealand": "Oceania",
+    "Brazil": "South America", "Argentina": "South America", "Chile": "South America",
+    "Colombia": "South America", "Peru": "South America", "South Africa": "Africa", "Nigeria": "Africa",
+    "Kenya": "Africa", "Egypt": "Africa",
 }
 
 EUROPE_REGIONS = {
@@ -307,14 +311,12 @@ RELEVANT_LINE_WORDS = [
     "workshop", "talk", "presentation", "keynote", "panel", "lightning", "submission", "deadline", "close",
 ]
 
-# month-day-year words, as used by all platform deadline rules
-_DAY = r"(\w+\s+\d{1,2},?\s+\d{4})"
 PLATFORM_DEADLINES = {
     "sessionize": [
-        r"(?i)submissions?\s+close[s:]?\s*" + _DAY, r"(?i)deadline[:\s]+" + _DAY, r"(?i)closes?\s+on\s+" + _DAY,
+        r"(?i)submissions?\s+close[s:]?\s*(\w+\s+\d{1,2},?\s+\d{4})", r"(?i)deadline[:\s]+(\w+\s+\d{1,2},?\s+\d{4})", r"(?i)closes?\s+on\s+(\w+\s+\d{1,2},?\s+\d{4})",
     ],
     "papercall": [
-        r"(?i)cfp\s+closes?\s+" + _DAY, r"(?i)closes?\s+" + _DAY, r"(?i)deadline[:\s]+" + _DAY,
+        r"(?i)cfp\s+closes?\s+(\w+\s+\d{1,2},?\s+\d{4})", r"(?i)closes?\s+(\w+\s+\d{1,2},?\s+\d{4})", r"(?i)deadline[:\s]+(\w+\s+\d{1,2},?\s+\d{4})",
     ],
     "pretalx": [
         r"(?i)(?:deadline|cfp\s+end|submissions?\s+until)[:\s]+(\d{4}-\d{2}-\d{2}|\w+\s+\d{1,2},?\s+\d{4})",
@@ -325,8 +327,8 @@ PLATFORM_CONFIDENCE = {"sessionize": 0.9, "papercall": 0.9, "pretalx": 0.85, "ev
 PLATFORM_URL_PART = {
     "sessionize": "sessionize.com", "papercall": "papercall.io", "pretalx": "pretalx", "eventbrite": "eventbrite",
 }
-SESSIONIZE_EVENT_DATES = r"(?i)event[:\s]+" + _DAY + r"\s*[-–]\s*" + _DAY
-PAPERCALL_EVENT_DATE = r"(?i)event\s+date[s]?[:\s]+" + _DAY
+SESSIONIZE_EVENT_DATES = r"(?i)event[:\s]+(\w+\s+\d{1,2},?\s+\d{4})\s*[-–]\s*(\w+\s+\d{1,2},?\s+\d{4})"
+PAPERCALL_EVENT_DATE = r"(?i)event\s+date[s]?[:\s]+(\w+\s+\d{1,2},?\s+\d{4})"
 PAPERCALL_LOCATION = r"(?i)location[:\s]+([^,\n]+(?:,\s*[^,\n]+)?)"
 EVENTBRITE_DATE = r"(\w+\s+\d{1,2},?\s+\d{4})"
 ONLINE_PATTERN = r"(?i)\b(online|virtual|remote)\b"
@@ -436,10 +438,9 @@ AUDIENCE_PATTERNS = [
     r"(?i)(?:attendees?|audience)\s+with\s+(?:at\s+least\s+)?(\d+\+?\s*years?(?:\s+of)?\s+experience)",
     r"(?i)(?:target\s+)?audience[:\s]+([^.]+)",
 ]
-_CALL_TIME = r"\d{1,2}:\d{2}\s*[AP]M\s+(\d{1,2}\s+\w{3}\s+\d{4})"
 CALL_DATE_PATTERNS = {
-    "cfp_opens": r"(?i)Call\s+opens\s+at\s+" + _CALL_TIME,
-    "cfp_closes": r"(?i)Call\s+closes\s+at\s+" + _CALL_TIME,
+    "cfp_opens": r"(?i)Call\s+opens\s+at\s+\d{1,2}:\d{2}\s*[AP]M\s+(\d{1,2}\s+\w{3}\s+\d{4})",
+    "cfp_closes": r"(?i)Call\s+closes\s+at\s+\d{1,2}:\d{2}\s*[AP]M\s+(\d{1,2}\s+\w{3}\s+\d{4})",
     "event_date": r"(?i)event\s+date\s+(\d{1,2}\s+\w{3}\s+\d{4})",
     "event_starts": r"(?i)event\s+starts\s+(\d{1,2}\s+\w{3}\s+\d{4})",
     "event_ends": r"(?i)event\s+ends\s+(\d{1,2}\s+\w{3}\s+\d{4})",
