@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,44 +11,45 @@ from pyspark.sql import functions as F
 from rostrum import lookups as L
 from rostrum.functions.text import blank_to_null, or_else, url_key
 from rostrum.plans.skew import first_per_key
-from rostrum.plans.storage import cut_lineage, staged
+from rostrum.plans.storage import cut_lineage, new_path, staged
 
 
-def with_dedup_keys(cfps: DataFrame, order: Sequence[str] = ("source_rank", "seq"), preferred: str = L.PREFERRED_SOURCE) -> DataFrame:
-    """Add ``url_key``, ``name_key`` and the sortable ``place`` of each call (preferred source first)."""
+def with_dedup_keys(cfps: DataFrame, order: Sequence[str] = ("source_rank", "seq"), preferred: str = L.PREFERRED_SOURCE, name_letters: int = 30) -> DataFrame:
+    """Add ``url_key``, ``name_key`` (``name_letters`` letters) and the sortable ``place`` of each call (preferred source first)."""
     own = F.when(F.col("source") == preferred, F.lit(0)).otherwise(F.lit(1))
     order = [c for c in order if c in cfps.columns]
     links = [F.col(c) for c in ("cfp_url", "url") if c in cfps.columns]
     name = F.replace(F.replace(F.lower("name"), F.lit(" "), F.lit("")), F.lit("-"), F.lit(""))
     return cfps.withColumns({
         "url_key": blank_to_null(url_key(or_else(*links))),
-        "name_key": F.substring(name, 1, 30),
+        "name_key": F.substring(name, 1, name_letters),
         "place": F.struct(own.alias("preferred"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col("object_id").alias("id")),
     })
 
 
-def dedup_cfps(cfps: DataFrame, order: Sequence[str] = ("source_rank", "seq"), max_rounds: int = 1000) -> DataFrame:
+def dedup_cfps(cfps: DataFrame, order: Sequence[str] = ("source_rank", "seq")) -> DataFrame:
     """Greedy two-key de-duplication, as if rows came one by one in ``place`` order.
 
     A row is dropped when its link or its name equals that of an earlier *kept* row, so a dropped row
     blocks nothing. Rounds find all rows that are first for both their keys, keep them and remove
     every row that shares a key with them. Whole rows stay out of the rounds: they run over distinct
     (link, name) pairs only, of which the first row alone can win. Minima are combined on the map
-    side, winners are found by joining the two minimum tables on the row place, and each round is
-    written to reliable storage.
+    side, winners are found by joining the two minimum tables on the row place, and each round's
+    winners are added to one stored table. The rounds end when no row is left, however long a chain is.
     """
     keyed = with_dedup_keys(cfps, order)
     edges = keyed.groupBy("url_key", "name_key").agg(F.min("place").alias("place"))
     left = cut_lineage(edges)
-    kept = None
-    for _ in range(max_rounds):
+    path = new_path(cfps.sparkSession, "winners")
+    for number in count():
         by_url = left.filter("url_key IS NOT NULL").groupBy("url_key").agg(F.min(F.struct("place", "name_key")).alias("m"))
         by_name = left.groupBy("name_key").agg(F.min(F.struct("place", "url_key")).alias("m"))
         first_url = by_url.select(F.col("m.place").alias("place"), "url_key")
         first_name = by_name.select(F.col("m.place").alias("place"), "name_key", F.col("m.url_key").alias("own_url"))
         winners = first_name.join(first_url, "place", "left").filter("url_key IS NOT NULL OR own_url IS NULL")
-        winners = cut_lineage(winners.select("place", F.col("own_url").alias("url_key"), "name_key"))
-        kept = winners if kept is None else kept.unionByName(winners)
+        winners = winners.select("place", F.col("own_url").alias("url_key"), "name_key")
+        winners.write.parquet(f"{path}/round={number}")
+        winners = cfps.sparkSession.read.schema(winners.schema).parquet(f"{path}/round={number}")
         left = cut_lineage(
             left.join(winners.select("name_key"), "name_key", "left_anti").join(
                 winners.filter("url_key IS NOT NULL").select("url_key"), "url_key", "left_anti"
@@ -55,8 +57,7 @@ def dedup_cfps(cfps: DataFrame, order: Sequence[str] = ("source_rank", "seq"), m
         )
         if left.isEmpty():
             break
-    else:
-        raise RuntimeError("de-duplication did not settle")
+    kept = cfps.sparkSession.read.schema(winners.schema).parquet(path)
     return keyed.join(kept.select("place"), "place", "left_semi").drop("url_key", "name_key", "place")
 
 
