@@ -321,7 +321,7 @@ def _values(table: dict[str, str]) -> str:
 
 _STATES = _values({**{k.lower(): v for k, v in L.US_STATES.items()}, **{v.lower(): v for v in L.US_STATES.values()}})
 _ALIAS = _values(L.COUNTRY_ALIASES)
-_CONTINENT = _values(P._CONTINENT)
+_CONTINENT = _values(L.COUNTRY_CONTINENT)
 _EUROPE = _values(P._EUROPE)
 _US = _values(P._US)
 
