@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -20,9 +21,9 @@ ODD = ["", " ", "a", "a" * 5000, "it's 1's .'s ''s", "foo<|endoftext|> bar  <|en
 signs = st.text(alphabet="aAbßÉé  \n\t'sStlLmdre123²½ªµº\x1c\x85\xa0.,!?<|_中Σςİ\u0301", max_size=40)
 
 
-@pytest.fixture(scope="module")
-def tokenizers():
-    return {p: Tokenizer.from_file(p) for p in (BYTES, WORDS)}
+@cache
+def library(path):
+    return Tokenizer.from_file(path)
 
 
 def ids_of(data):
@@ -34,16 +35,11 @@ def ids_of(data):
 def test_encoders_equal_the_library(texts):
     texts = texts + ODD
     for path, own in ((BYTES, bpe.encoder(BYTES).encode(texts)), (WORDS, packing.token_ids(texts, WORDS))):
-        want = Tokenizer.from_file(path) if path not in CACHE else CACHE[path]
-        CACHE[path] = want
-        assert [ids_of(o) for o in own] == [e.ids for e in want.encode_batch(texts, add_special_tokens=False)]
+        assert [ids_of(o) for o in own] == [e.ids for e in library(path).encode_batch(texts, add_special_tokens=False)]
 
 
-CACHE: dict = {}
-
-
-def test_decoding_equals_the_library(tokenizers):
-    own, want = bpe.encoder(BYTES), tokenizers[BYTES]
+def test_decoding_equals_the_library():
+    own, want = bpe.encoder(BYTES), library(BYTES)
     rng = random.Random(1)
     lists = [[rng.randrange(50257) for _ in range(rng.randrange(12))] for _ in range(300)]  # also broken UTF-8
     assert [own.decode(np.array(x, "<u4").tobytes()) for x in lists] == want.decode_batch(lists, skip_special_tokens=False)
@@ -102,7 +98,7 @@ def test_fullest_is_fullest(counts, room):
     assert all(chosen.count(s) <= counts[s] for s in chosen)
 
 
-def test_packing(spark, tokenizers):
+def test_packing(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "x1", "ß"]) for _ in range(rng.choice([0, 3, 3, 3, 40, 700, 3000]))) for _ in range(120)]
     rows = [(i, t, "en", "s") for i, t in enumerate(texts)] + [(500, None, None, None), (501, "", None, None), (3, texts[3], "en", "s")]
@@ -110,7 +106,7 @@ def test_packing(spark, tokenizers):
     out = packing.pack_documents(docs, WORDS).collect()
     want = sorted(
         (i, p, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
-        for i, t, _, _ in rows for ids in [tokenizers[WORDS].encode(t or "", add_special_tokens=False).ids + [0]]
+        for i, t, _, _ in rows for ids in [library(WORDS).encode(t or "", add_special_tokens=False).ids + [0]]
         for p, at in enumerate(range(0, len(ids), 2048)) for part in [ids[at : at + 2048]])
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want
     by = {}
