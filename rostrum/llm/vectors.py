@@ -46,11 +46,21 @@ def merged_best(q: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tu
     return q[keep], score[keep], ids[keep]
 
 
+def first_of_equals(rows: np.ndarray, k: int) -> np.ndarray:
+    """Marks the first ``k`` of equal rows."""
+    _, group = np.unique(rows, axis=0, return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    place = np.empty(len(rows), np.int64)
+    place[order] = np.arange(len(rows)) - np.searchsorted(group[order], group[order])
+    return place < k
+
+
 def grid_search(queries: DataFrame, candidates: DataFrame, k: int, select: Selector, score_type: str) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query the ``k`` best candidates other than its own id.
 
     Both sides (``id`` long, ``v`` array<double>) are dealt by hash over a grid whose cells hold a bounded number
-    of rows: every query meets every candidate of its dimension in exactly one cell. A cell returns at most
+    of rows: every query meets every candidate of its dimension in exactly one cell. Of equal vectors in a cell
+    only the first k + 1 by id can be in a list, so the rest isn't multiplied. A cell returns at most
     ``k`` rows per query; the lists of the cells are merged by a top-k whose limit also holds before the shuffle.
     """
     spark = queries.sparkSession
@@ -69,6 +79,8 @@ def grid_search(queries: DataFrame, candidates: DataFrame, k: int, select: Selec
             ask_ids, row_ids = (np.asarray(t.column("id").to_numpy(), np.int64) for t in (ask, rows))
             order = np.argsort(row_ids)  # ties go to smaller ids: the first columns
             ask_v, row_v, row_ids = _matrix(ask.column("v"), dim), _matrix(rows.column("v"), dim)[order], row_ids[order]
+            matters = first_of_equals(row_v, k + 1)
+            row_v, row_ids = row_v[matters], row_ids[matters]
             for at in range(0, len(ask_ids), TILE_QUERIES):
                 best = (np.empty(0, np.int64), np.empty(0, score_type), np.empty(0, np.int64))
                 part = slice(at, at + TILE_QUERIES)
@@ -135,15 +147,8 @@ def bounded_tile(ask: np.ndarray, ask_ids: np.ndarray, rows: np.ndarray, row_ids
     """Products of int8 codes with their error bounds; pairs that may be among the ``k`` best are recomputed in double.
 
     |x.y - x'.y'| <= |x - x'| |y| + |x'| |y - y'| for decoded x', y'. A pair survives if its upper bound reaches
-    the k-th largest lower bound of its query. Of equal vectors in a tile only the first k + 1 by id can matter.
+    the k-th largest lower bound of its query.
     """
-    _, group = np.unique(rows, axis=0, return_inverse=True)
-    order = np.argsort(group, kind="stable")
-    place = np.empty(len(rows), np.int64)
-    place[order] = np.arange(len(rows)) - np.searchsorted(group[order], group[order])
-    keep = place <= k
-    rows, row_ids = rows[keep], row_ids[keep]
-
     a, a_scale, a_size, a_miss = quantised(ask)
     b, b_scale, b_size, b_miss = quantised(rows)
     # sums of products of codes are whole numbers below 2^24 up to 1040 components: exact in single precision
