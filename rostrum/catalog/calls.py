@@ -299,14 +299,13 @@ def _(t):
     from rostrum.operators.projections import derive_talk_fields
 
     talks = derive_talk_fields(t.view("v_talk"), 2024)
-    out = None
-    for config in W.carousel_configs(AS_OF, ["ECONOMY", "Brand#3"]):
-        if config.id.startswith("talks-"):
-            continue
-        rows = W.carousel(cfps(t) if config.index == "cfps" else talks, config, AS_OF)
-        rows = rows.select("carousel", F.col("object_id").cast("string").alias("object_id"), F.col("rank").cast("bigint").alias("rank"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    configs = [c for c in W.carousel_configs(AS_OF, ["ECONOMY", "Brand#3"]) if not c.id.startswith("talks-")]
+    parts = [
+        W.carousels(table, [c for c in configs if c.index == index], AS_OF).select(
+            "carousel", F.col("object_id").cast("string").alias("object_id"), F.col("rank").cast("bigint").alias("rank"))
+        for index, table in (("cfps", cfps(t)), ("talks", talks))
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 @register("topic_talk_carousel", "WIN-4", oracle="""

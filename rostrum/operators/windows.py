@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from rostrum.functions.arrays import distance_label, haversine_km
 from rostrum.functions.text import blank_to_null
 from rostrum.operators.filters import is_open
-from rostrum.plans.skew import top_k, top_k_array, top_k_per_key
+from rostrum.plans.skew import numbered, top_k, top_k_array, top_k_per_key
+from rostrum.plans.storage import cut_lineage
 
 # ranking of each index: (column, descending)
 RANKINGS = {
@@ -86,6 +87,23 @@ def carousel(df: DataFrame, config: Carousel, as_of: int, key: str = "object_id"
     return top_k(rows, order, config.limit, "rank").withColumn("carousel", F.lit(config.id))
 
 
+def carousels(df: DataFrame, configs: Sequence[Carousel], as_of: int, key: str = "object_id") -> DataFrame:
+    """Rows of several carousels over one index and ranking, in one pass: each row names the carousels it fits."""
+    index, ranking = configs[0].index, configs[0].ranking
+    if any((c.index, c.ranking) != (index, ranking) for c in configs):
+        raise ValueError("carousels of one pass share index and ranking")
+    fits, limit = [], F.lit(0)
+    for config in configs:
+        rule = F.lit(True) if config.condition is None else config.condition
+        if index == "cfps" and not config.mentions_end:
+            rule = rule & (F.col("cfp_end_date") > as_of)
+        fits.append(F.when(rule, F.lit(config.id)))
+        limit = F.when(F.col("carousel") == config.id, F.lit(config.limit)).otherwise(limit)
+    rows = df.withColumn("carousel", F.explode(F.array_compact(F.array(*fits))))
+    ranked = top_k_per_key(rows, ["carousel"], order_of(ranking or RANKINGS[index], key), max(c.limit for c in configs), "rank")
+    return ranked.filter(F.col("rank") <= limit)
+
+
 def hero(cfps: DataFrame, as_of: int, key: str = "object_id") -> DataFrame:
     """Of the ten first calls that close within 14 days the most popular, else the earliest."""
     end = F.col("cfp_end_date")
@@ -169,14 +187,19 @@ def transcript_priority(talks: DataFrame) -> DataFrame:
 def budgeted_events(records: DataFrame, budget: int) -> DataFrame:
     """Spread ``budget`` events over records by weight, heaviest first, as one row per event.
 
-    Every record with a positive weight takes at least one event, so only the first ``budget`` records
-    can get any: the running sum is over a bounded top-k, not over the table.
+    Weights are small whole numbers, so sums run over the classes of equal weight: heavier classes are taken
+    whole, and only the class in which the budget ends is numbered by id.
     """
-    order = [F.col("weight").desc(), F.col("object_id")]
-    first = top_k(records.filter("weight > 0").select("object_id", "weight"), order, budget)
-    before = F.sum("weight").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    share = F.least(F.col("weight"), F.lit(budget) - F.coalesce(before, F.lit(0)))
-    taken = first.withColumn("events", share).filter("events > 0")
+    positive = records.filter("weight > 0").select("object_id", "weight")
+    before = Window.orderBy(F.col("weight").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    classes = positive.groupBy("weight").agg(F.count("*").alias("n")).withColumn(
+        "base", F.coalesce(F.sum(F.col("weight") * F.col("n")).over(before), F.lit(0)))
+    classes = cut_lineage(classes.filter(F.col("base") < budget).withColumn("whole", F.col("base") + F.col("weight") * F.col("n") <= budget))
+    whole = positive.join(classes.filter("whole").select("weight"), "weight").withColumn("events", F.col("weight").cast("bigint"))
+    last = positive.join(classes.filter("not whole").select("weight", "base"), "weight")
+    left = F.lit(budget) - F.col("base") - F.col("weight") * F.col("number")
+    part = numbered(last, [F.col("object_id")], "number").withColumn("events", F.least(F.col("weight"), left).cast("bigint")).filter("events > 0")
+    taken = whole.select("object_id", "weight", "events").union(part.select("object_id", "weight", "events"))
     return taken.withColumn("event_no", F.explode(F.sequence(F.lit(0), F.col("events") - 1)))
 
 

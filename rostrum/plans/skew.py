@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rostrum.plans.storage import cut_lineage
+
 
 def top_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each key with their rank.
@@ -41,3 +43,18 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int, rank: str | None = Non
 def salted_group_count(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
     """Row count per key as BIGINT; the map-side partial count absorbs hot keys."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """The place of each row (from 0) in a total order, without one task seeing all rows.
+
+    Rows are dealt by range and written once; a row's number is its place in its part plus the sizes of the parts
+    before, a table of one row per part.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy("__part").orderBy(*order)
+    placed = ranged.withColumn("__place", F.row_number().over(inside)).join(bases, "__part")
+    return placed.withColumn(name, F.col("__base") + F.col("__place") - 1).drop("__part", "__place", "__base")

@@ -127,6 +127,10 @@ def test_budget(spark):
     df = spark.createDataFrame(weights, "object_id STRING, weight INT")
     spread = windows.budgeted_events(df, 10).groupBy("object_id").count()
     assert {r["object_id"]: r["count"] for r in spread.collect()} == {"o0": 5, "o2": 3, "o3": 2}
+    assert windows.budgeted_events(df, 100).count() == 14 and windows.budgeted_events(df, 8).count() == 8
+    many = spark.range(5000).selectExpr("lpad(id, 5, '0') AS object_id", "3 AS weight")
+    got = windows.budgeted_events(many, 3001).groupBy("object_id").count().collect()
+    assert sum(r["count"] for r in got) == 3001 and max(r["object_id"] for r in got) == "01000" and len(got) == 1001
 
 
 @pytest.mark.parametrize("retries,hours,ready", [(0, 0.99, False), (0, 1, True), (1, 5.9, False), (1, 6, True), (2, 23, False), (9, 24, True)])
