@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum import lookups as L
 from rostrum.functions.text import contains_any
 from rostrum.operators.aggregates import counter
 from rostrum.operators.filters import drop_noise_subreddits, is_noise_title
-from rostrum.plans.skew import top_k_array, top_k_per_key
+from rostrum.plans.skew import numbered, top_k_array, top_k_per_key
 from rostrum.plans.storage import cut_lineage
 
 KEY = "conf_id"
@@ -264,8 +264,8 @@ def noise_reasons(classified: DataFrame) -> DataFrame:
 def star_distribution(repos: DataFrame) -> DataFrame:
     """Largest value, element ``n div 2`` and element ``int(n / 10)`` of the descending list, and counts.
 
-    Equal values are one row with their number, and a prefix sum over value ranges finds the range and
-    then the value that holds a position: no task sees the whole list.
+    Equal values are one row with their number, and a running sum finds the value that holds a position: no
+    task sees the whole list.
     """
     values = repos.select(F.coalesce("stars", F.lit(0)).cast("bigint").alias("v")).groupBy("v").agg(F.count("*").alias("n"))
     totals = repos.agg(
@@ -286,23 +286,13 @@ def side_by_side(totals: DataFrame, found: DataFrame) -> DataFrame:
 def positions_descending(values: DataFrame, wanted: dict) -> DataFrame:
     """Values at given places of the descending list described by ``(v, n)`` rows, as one row.
 
-    Values fall in at most a few hundred logarithmic ranges (sign, bit length and two more bits). Range
-    totals are small enough for one prefix sum; then only the range that holds a place is summed inside.
+    The number of elements before each value is a running sum over parts dealt by range, so no task sees more
+    than its part, however the values are distributed.
     """
-    level = F.when(F.col("v") > 0, F.floor(F.log2(F.col("v").cast("double")) * 4)).otherwise(F.lit(-1)).cast("bigint")
-    ranged = values.withColumn("range", level)
-    ranges = ranged.groupBy("range").agg(F.sum("n").alias("size"))
-    above = F.sum("size").over(Window.orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("size").over(Window.partitionBy())
-    places = F.array(*[F.struct(F.lit(name).alias("name"), rule(F.col("total")).cast("bigint").alias("place")) for name, rule in wanted.items()])
-    starts = ranges.select("range", "size", F.coalesce(above, F.lit(0)).alias("start"), total.alias("total"))
-    targets = starts.select("range", "start", "size", F.explode(places).alias("p")).select("range", "start", "size", "p.*")
-    targets = targets.filter((F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("size")))
-    inside = ranged.join(targets, "range")
-    before = F.sum("n").over(Window.partitionBy("name").orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, -1))
-    at = inside.withColumn("from", F.col("start") + F.coalesce(before, F.lit(0)))
-    hit = at.filter((F.col("place") >= F.col("from")) & (F.col("place") < F.col("from") + F.col("n")))
-    return hit.agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in wanted])
+    total = F.lit(values.agg(F.sum("n").alias("n")).first()["n"] or 0)
+    placed = numbered(values, [F.col("v").desc()], "start", "n")
+    held = lambda place: (place >= F.col("start")) & (place < F.col("start") + F.col("n"))
+    return placed.agg(*[F.max(F.when(held(rule(total).cast("bigint")), F.col("v"))).alias(name) for name, rule in wanted.items()])
 
 
 def set_overlap(left: DataFrame, right: DataFrame, column: str) -> DataFrame:

@@ -45,16 +45,17 @@ def salted_group_count(df: DataFrame, keys: Sequence[str], name: str = "n") -> D
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
-def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """The place of each row (from 0) in a total order, without one task seeing all rows.
+def numbered(df: DataFrame, order: Sequence[Column], name: str, weight: str | None = None) -> DataFrame:
+    """The place of each row (from 0) in a total order, or the ``weight`` before it, without one task seeing all rows.
 
     Rows are dealt by range and written once; a row's number is its place in its part plus the sizes of the parts
     before, a table of one row per part.
     """
-    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
-    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    size = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumns({"__part": F.spark_partition_id(), "__size": size}))
+    sizes = ranged.groupBy("__part").agg(F.sum("__size").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy("__part").orderBy(*order)
-    placed = ranged.withColumn("__place", F.row_number().over(inside)).join(bases, "__part")
-    return placed.withColumn(name, F.col("__base") + F.col("__place") - 1).drop("__part", "__place", "__base")
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("__place", F.coalesce(F.sum("__size").over(inside), F.lit(0))).join(bases, "__part")
+    return placed.withColumn(name, F.col("__base") + F.col("__place")).drop("__part", "__place", "__base", "__size")
