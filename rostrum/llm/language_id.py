@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm.tools import remainder, table, texts_of
-from rostrum.plans.skew import top_k_per_key
+from rostrum.llm.tools import hash_sample, remainder, table, texts_of
 
 ORDER = 5
 # labelled documents a language's model is fitted on, and others it is calibrated on: at most so many, chosen by a hash of the id
@@ -216,7 +215,7 @@ def language_models(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     reaches the driver is bounded by the sample.
     """
     narrow = docs.select(key, lang).filter(F.col(lang).isNotNull() & F.col(key).isNotNull()).distinct()
-    chosen = top_k_per_key(narrow, [lang], [F.xxhash64(key), F.col(key)], SAMPLE + CALIBRATION, "place")
+    chosen = hash_sample(narrow, lang, key, SAMPLE + CALIBRATION)
     chosen = chosen.select(F.col(key).alias("id"), F.col(lang).alias("named"), "place")
     sample = docs.join(F.broadcast(chosen), (F.col(key) == F.col("id")) & (F.col(lang) == F.col("named")))
     # of a small sample every fifth text is kept for calibration

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.plans.session import configure
+from rostrum.plans.skew import top_k_per_key
 from rostrum.plans.storage import new_path
 
 # rows an Arrow batch may hold: whole texts are long, and two Python workers share an executor
@@ -90,3 +91,17 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> Iterator[str]:
 def single_threaded() -> None:
     """Native libraries in a task use the task's core only."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
+def hash_sample(df: DataFrame, group: str, key: str, k: int, place: str = "place") -> DataFrame:
+    """At most ``k`` rows of each group, those of smallest hash of ``key``, with their place.
+
+    Groups are few (classes, languages): their sizes come to the driver and give each a hash bound that about three
+    times ``k`` rows pass, so a group of any size sends only those to the task that ranks them.
+    """
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).collect()
+    bounds = df.sparkSession.createDataFrame(
+        [(r[group], float(min(2.0, 3.0 * k / r["__n"]))) for r in sizes], f"__group {df.schema[group].dataType.simpleString()}, __bound double")
+    place_of = F.xxhash64(key) / float(1 << 64) + 0.5
+    some = df.join(F.broadcast(bounds), F.col(group) == F.col("__group")).filter(place_of <= F.col("__bound")).drop("__group", "__bound")
+    return top_k_per_key(some, [group], [F.xxhash64(key), F.col(key)], k, place)
