@@ -65,22 +65,22 @@ def merge_topics_on_name_dup(cfps: DataFrame, order: Sequence[str] = ("source_ra
     """Normalised topics of kept calls after name duplicates have added theirs.
 
     Of the rows with one name the first is the base; a later one with more topics than collected so
-    far adds its topics. The topics are a set of categories, so each distinct set counts at its first
-    place only and a hot name contributes few entries.
+    far adds its topics. After a set of some size at least so many are collected, so of equal sizes only
+    the first set can add anything (but for lists that repeat a topic): a name keeps a few entries,
+    however many rows it has.
     """
     keyed = with_dedup_keys(cfps, order)
     topics = F.array_sort(F.array_distinct("topics_normalized"))
-    sets = keyed.groupBy("name_key", topics.alias("topics"), F.size("topics_normalized").alias("size")).agg(
-        F.min("place").alias("place")
-    )
-    entries = F.array_sort(F.collect_list(F.struct("place", "size", "topics")))
+    sets = keyed.select("name_key", "place", topics.alias("topics"), F.size("topics_normalized").alias("size"))
+    repeating = F.when(F.size("topics") < F.col("size"), F.col("topics"))
+    firsts = sets.groupBy("name_key", "size", repeating.alias("repeating")).agg(F.min(F.struct("place", "topics")).alias("f"))
+    entries = F.array_sort(F.collect_list(F.struct(F.col("f.place").alias("place"), "size", F.col("f.topics").alias("topics"))))
     grow = lambda acc, e: F.when(
         e["size"] > F.size(acc), F.array_sort(F.array_union(acc, e["topics"]))
     ).otherwise(acc)
-    merged = sets.groupBy("name_key").agg(entries.alias("e")).select(
+    return firsts.groupBy("name_key").agg(entries.alias("e")).select(
         "name_key", F.aggregate("e", F.array().cast("array<string>"), grow).alias("topics_normalized")
     )
-    return merged
 
 
 def first_seen_distinct(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
