@@ -182,6 +182,26 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.score_toxicity(docs.limit(5), none).collect()} == {0}
 
 
+def restorer(**more):
+    words = dict.fromkeys("apple river stone cloud green paper music table water light".split(), 400) | dict.fromkeys(["idiot", "moron", "scum"], 80)
+    return toxicity.Restorer(words | more)
+
+
+ENGLISH = {"you": 500, "are": 400, "a": 900, "an": 300, "and": 800, "so": 200, "go": 200, "away": 80, "now": 100, "of": 600, "id": 5}
+
+
+@pytest.mark.parametrize("more", [{}, ENGLISH])
+def test_disguises_across_word_boundaries(more):
+    own = restorer(**more)
+    for before in ("a", "i", "y", "o", "e", "you are a"):
+        assert "moron" in own.all_words(f"{before} m o r o n today")
+    assert {"you", "idiot"} <= own.all_words("y o u i d i o t") & own.all_words("y o u  i d i o t")
+    for text in ("an id iot, now", "id 10t", "id-iot", "i/d/i/o/t", "i / d / i / o / t", "i, d, i, o, t"):
+        assert "idiot" in own.all_words(text), text
+    assert "морон" in own.all_words("м о р о н")
+    assert "appleriver" not in own.all_words("apple river stone")
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000])
 def test_permutations(size):
     own = pii.Permuter(b"x")
