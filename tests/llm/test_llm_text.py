@@ -202,6 +202,14 @@ def test_disguises_across_word_boundaries(more):
     assert "appleriver" not in own.all_words("apple river stone")
 
 
+def test_disguises_of_any_length():
+    own = restorer(**ENGLISH)
+    assert {"idiot", "moron"} <= own.all_words("y o u a r e a n i d i o t a n d a m o r o n s o g o a w a y n o w")
+    assert "idiot" in own.all_words("i" + "d" * 40 + "iot")
+    assert {"idiot", "moron"} <= own.all_words(".".join(["m0r0n", "1d10t"] * 40))
+    assert "moron" in own.all_words("y o u " * 5000 + "m o r o n")
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000])
 def test_permutations(size):
     own = pii.Permuter(b"x")
