@@ -210,6 +210,13 @@ def test_disguises_of_any_length():
     assert "moron" in own.all_words("y o u " * 5000 + "m o r o n")
 
 
+def test_words_mostly_in_signs():
+    own = restorer(**ENGLISH, asshole=9, dumbass=9, idiots=5, boobs=9)
+    for text, word in (("@$$hole", "asshole"), ("455h0l3!", "asshole"), ("dumba$$", "dumbass"), ("1d1075", "idiots"), ("iiddiioott", "idiot"), ("80085", "boobs")):
+        assert word in own.all_words(text), text
+    assert own.all_words("1998 $400 12.50") == set()
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000])
 def test_permutations(size):
     own = pii.Permuter(b"x")
