@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import ipaddress
 import math
 import re
 from collections.abc import Callable
@@ -25,11 +26,15 @@ CLOUD_KEY = re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)|ghp_|sk-)([A-Za-z0-9]{16
 NAMED_SECRET = re.compile(r"(?i)(\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)([^\s\"',;]{6,128})")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 IPV4 = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)")
-CARD = re.compile(r"(?<![\w.])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?![\w]|\.\d)")
+# usual groups of a card number, longest first, then any groups of one separator
+CARDS = [re.compile(rf"(?<![\w.]){form}(?![\w]|\.\d)") for form in (
+    r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}\1\d{1,3}", r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}", r"\d{4}([ -])\d{6}\1\d{4,5}", r"\d{4}([ -])\d{4}\1\d{5}",
+    r"\d{13,19}", r"\d{2,8}([ -])\d{2,13}(?:\1\d{2,8}){0,6}")]
+IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 PHONE = re.compile(r"(?<![\w.+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)")
 ABROAD = re.compile(r"(?<![\w.+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\w)")
-DATE = re.compile(r"(?<![\w.-])(?:(\d{4})-(\d\d)-(\d\d)|(\d\d)([./])(\d\d)\5(\d{4}))(?![\w]|[.-]\d)")
+DATE = re.compile(r"(?<![\w.-])(?:(\d{4})([./-])(\d\d?)\2(\d\d?)|(\d\d?)([./-])(\d\d?)\6(\d{4}))(?:(?=[Tt]\d\d)|(?![\w]|[.-]\d))")
 
 
 class Permuter:
@@ -130,9 +135,18 @@ class Pseudonyms:
         value = self.permuter.permuted(int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, b"ipv4")
         return ".".join(map(str, value.to_bytes(4, "big")))
 
+    def ipv6(self, m: re.Match) -> str | None:
+        try:
+            value = int(ipaddress.IPv6Address(m[0]))
+        except ValueError:
+            return None
+        if not any(c.isdigit() for c in m[0]) or value < 2:
+            return None
+        return str(ipaddress.IPv6Address(self.permuter.permuted(value, 1 << 128, b"ipv6", lambda v: v > 1 and any(c.isdigit() for c in str(ipaddress.IPv6Address(v))))))
+
     def card(self, m: re.Match) -> str | None:
         plain = "".join(c for c in m[0] if c.isdigit())
-        if luhn_digit(plain[:-1]) != int(plain[-1]) or len(set(plain)) == 1:
+        if not 13 <= len(plain) <= 19 or luhn_digit(plain[:-1]) != int(plain[-1]) or len(set(plain)) == 1:
             return None
         body = plain[0] + self.digits(plain[1:-1], b"card" + plain[:1].encode())
         return in_form(m[0], body + str(luhn_digit(body)))
@@ -156,16 +170,25 @@ class Pseudonyms:
         return in_form(m[0], plain[:2] + self.digits(plain[2:], b"phone" + plain[:2].encode()))
 
     def date(self, m: re.Match) -> str | None:
-        year, month, day = (m[1], m[2], m[3]) if m[1] else (m[7], m[6], m[4])
-        try:
-            value = dt.date(int(year), int(month), int(day)).toordinal() - FIRST_DAY
-        except ValueError:
-            return None
-        size = LAST_DAY - FIRST_DAY + 1
-        if not 0 <= value < size:
-            return None
-        new = dt.date.fromordinal(self.permuter.permuted(value, size, b"date") + FIRST_DAY)
-        return new.isoformat() if m[1] else f"{new.day:02}{m[5]}{new.month:02}{m[5]}{new.year:04}"
+        """Year, month, day, or day first, or month first where day first is no date; each part keeps its number of digits."""
+        orders = [(1, 3, 4)] if m[1] else [(8, 7, 5), (8, 5, 7)]
+        for month_first, (y, mo, d) in enumerate(orders):
+            try:
+                value = dt.date(int(m[y]), int(m[mo]), int(m[d])).toordinal() - FIRST_DAY
+            except ValueError:
+                continue
+            size = LAST_DAY - FIRST_DAY + 1
+            if not 0 <= value < size:
+                return None
+
+            def fits(v: int) -> bool:
+                new = dt.date.fromordinal(v + FIRST_DAY)
+                return new.day < 10 ** len(m[d]) and new.month < 10 ** len(m[mo]) and (not month_first or new.day > 12)
+
+            new = dt.date.fromordinal(self.permuter.permuted(value, size, b"date", fits) + FIRST_DAY)
+            parts = {y: f"{new.year:04}", mo: f"{new.month:0{len(m[mo])}}", d: f"{new.day:0{len(m[d])}}"}
+            return (m[2] or m[6]).join(parts[k] for k in sorted(parts))
+        return None
 
     def replaced(self, text: str) -> tuple[str, list[tuple[str, int, int, str]]]:
         """The text with pseudonyms, and (kind, start, length, pseudonym) of what was replaced, by place in the old text."""
@@ -176,7 +199,7 @@ class Pseudonyms:
         if digits or "=" in text or ":" in text:
             kinds += [("key", CLOUD_KEY, self.cloud_key), ("secret", NAMED_SECRET, self.named_secret)]
         if digits:
-            kinds += [("iban", IBAN, self.iban), ("ipv4", IPV4, self.ipv4), ("card", CARD, self.card), ("date", DATE, self.date),
+            kinds += [("iban", IBAN, self.iban), ("ipv4", IPV4, self.ipv4), ("ipv6", IPV6, self.ipv6), *[("card", form, self.card) for form in CARDS], ("date", DATE, self.date),
                       ("ssn", SSN, self.ssn), ("phone", PHONE, self.phone), ("phone", ABROAD, self.abroad)]
         found: list[tuple[int, int, str, str]] = []
         for kind, pattern, make in kinds:
@@ -202,7 +225,8 @@ class Pseudonyms:
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text`` and a column ``pii``: kind, start, length (in the old text) and pseudonym of each.
 
-    Cards (Luhn), IBANs (mod 97), IPv4 addresses, social security and phone numbers, and calendar dates are
+    Cards (Luhn, 13 to 19 digits in any groups of one separator), IBANs (mod 97), IPv4 and IPv6 addresses, social
+    security and phone numbers, and calendar dates (year, day or month first; day first where both are valid) are
     validated; what fails stays. E-mail addresses, keys and named secrets keep their classes of characters.
     The permutation depends on the key and the format only, so equal values get equal pseudonyms in all
     documents, and different ones of a format different ones. Null texts stay null, with no ``pii``. One narrow

@@ -245,5 +245,24 @@ def test_pseudonyms(spark):
     assert pii.Pseudonyms(b"other").replaced(text)[0] != got[1].text
 
 
+def test_forms_of_dates_cards_and_addresses():
+    own = pii.Pseudonyms(b"key")
+    dates = ["04/23/1987", "04/12/1987", "1987/04/23", "04-23-1987", "23-04-1987", "4/5/1987", "4/23/1987", "1987-4-3", "3.4.1987", "2021-02-28"]
+    cards = ["3782 822463 10005", "3782-822463-10005", "378282246310005", "4532 0151 1283 0366", "6011 0000 0000 0000 001", "453201 5112830366"]
+    for kind, values in (("date", dates), ("card", cards), ("ipv6", ["2001:db8::8a2e:370:7334", "2001:0db8:0000:0000:0000:8a2e:0370:7334"])):
+        for value in values:
+            text, spans = own.replaced(f"on {value}, then")
+            assert [s[:3] for s in spans] == [(kind, 3, len(value))] and value not in text, value
+            assert kind == "ipv6" or "".join("9" if c.isdigit() else c for c in text) == "on " + "".join("9" if c.isdigit() else c for c in value) + ", then"
+            assert own.replaced(spans[0][3])[1], value  # still in its format
+    for text in ("at 2021-02-28T10:00:00Z", "at 2021-02-28 10:00:00"):
+        assert own.replaced(text)[0].startswith("at ") and [s[:3] for s in own.replaced(text)[1]] == [("date", 3, 10)]
+    assert own.replaced("4532 0151 1283 0366 2021")[0].endswith(" 2021")
+    for text in ("13/13/1987 or 10:20:30 or a::b or ::1", "3782 822463 10006", "4532 0151 1283 0367"):
+        assert own.replaced(text)[0] == text
+    months = [f"{m:02}/{d:02}/1987" for m in range(1, 13) for d in range(13, 29)]
+    assert len({own.replaced(x)[0] for x in months}) == len(months)
+
+
 def test_words():
     assert words(None) == [] and words("A bÉ\x0bC\xa0d") == ["a", "bÉ", "c\xa0d"]
