@@ -7,6 +7,7 @@ import ipaddress
 import math
 import re
 from collections.abc import Callable
+from functools import cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -65,6 +66,28 @@ class Permuter:
                 return value
 
 
+@cache
+def block(number: int, kind: str) -> str:
+    """The letters of 128 neighbouring code points: small ones that have a capital there ("pair"), digits, or all others ("single")."""
+    own = [chr(i) for i in range(128 * number, 128 * number + 128) if not 0xD800 <= i < 0xE000]
+    digits = [c for c in own if c.isdecimal()]
+    pairs = [c for c in own if c.isalpha() and len(c.upper()) == 1 and c.upper() != c and c.upper() in own and c.upper().lower() == c]
+    if kind != "single":
+        return "".join(digits if kind == "digit" else pairs)
+    return "".join(c for c in own if c.isalpha() and c not in pairs and c.lower() not in pairs)
+
+
+@cache
+def alphabet(c: str) -> str:
+    """What a character may become: those of its kind in its script block; of capitals their small letters."""
+    if c.isdecimal():
+        return block(ord(c) >> 7, "digit")
+    if not c.isalpha():
+        return ""
+    pairs = block(ord(c) >> 7, "pair")
+    return pairs if c in pairs or c.lower() in pairs else block(ord(c) >> 7, "single")
+
+
 def luhn_digit(digits: str) -> int:
     """The check digit that follows ``digits``."""
     total = sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(digits))))
@@ -88,20 +111,22 @@ class Pseudonyms:
         self.permuter, self.known = Permuter(key), {}
 
     def by_class(self, text: str, tweak: bytes) -> str:
-        """Each ASCII digit becomes a digit, each ASCII letter a letter of its case; other characters stay. Case is no part of the value."""
-        radix = [10 if c.isdigit() else 26 if c.isalpha() else 1 for c in (c if c.isascii() else "-" for c in text)]
-        value, size = 0, 1
-        for c, r in zip(text, radix, strict=True):
-            if r > 1:
-                value, size = value * r + (ord(c) - 48 if r == 10 else ord(c.lower()) - 97), size * r
-        value, out = self.permuter.permuted(value, size, tweak + bytes(min(r, 255) for r in radix)), []
-        for c, r in zip(reversed(text), reversed(radix), strict=True):
-            if r == 1:
+        """Each digit becomes a digit, each letter one of its script block and case; other characters stay. Case is no part of the value."""
+        classes = [alphabet(c) for c in text]
+        value, size, shape = 0, 1, bytearray()
+        for c, letters in zip(text, classes, strict=True):
+            shape += bytes([min(len(letters) or 1, 255)])
+            if letters and not c.isascii():
+                shape += b"|%d|" % ord(letters[0])
+            if len(letters) > 1:
+                value, size = value * len(letters) + letters.index(c if c in letters else c.lower()), size * len(letters)
+        value, out = self.permuter.permuted(value, size, tweak + bytes(shape)), []
+        for c, letters in zip(reversed(text), reversed(classes), strict=True):
+            if len(letters) < 2:
                 out.append(c)
             else:
-                value, place = divmod(value, r)
-                new = chr(48 + place) if r == 10 else chr(97 + place)
-                out.append(new.upper() if c.isupper() else new)
+                value, place = divmod(value, len(letters))
+                out.append(letters[place] if c in letters else letters[place].upper())
         return "".join(reversed(out))
 
     def digits(self, text: str, tweak: bytes, fits: Callable[[str], bool] = lambda d: True) -> str:

@@ -264,5 +264,17 @@ def test_forms_of_dates_cards_and_addresses():
     assert len({own.replaced(x)[0] for x in months}) == len(months)
 
 
+def test_letters_of_other_scripts_are_replaced():
+    own = pii.Pseudonyms(b"key")
+    for name in ("иван.петров", "γιώργος", "李小龙", "Jürgen.Böll", "ИВАН"):
+        text, spans = own.replaced(f"{name}@mail.ru")
+        new = text.rpartition("@")[0]
+        assert len(spans) == 1 and len(new) == len(name) and new != name
+        assert sum(a == b for a, b in zip(new, name, strict=True) if a.isalpha()) <= 1, new  # one by chance at most
+        assert [ord(c) >> 7 for c in new] == [ord(c) >> 7 for c in name] and [c.isupper() for c in new] == [c.isupper() for c in name]
+    assert own.replaced("password: пароль")[0] != "password: пароль"
+    assert len({own.by_class(a + b, b"t") for a in "абвгде" for b in "абвгде"}) == 36
+
+
 def test_words():
     assert words(None) == [] and words("A bÉ\x0bC\xa0d") == ["a", "bÉ", "c\xa0d"]
