@@ -164,21 +164,22 @@ def _by_rare_shingles(rows: DataFrame, reps: DataFrame, docs: DataFrame, key: st
 
     def spread(batches):
         for batch in batches:
-            ids, sizes, found = [], [], []
+            ids, sizes, classes, found = [], [], [], []
             for rep, one, cls, n in zip(*[batch.column(c).to_pylist() for c in ("rep", "text", "cls", "n_shingles")], strict=True):
                 own = shingles(one)
                 if xxhash.xxh3_128_digest(own.tobytes()) == cls:
                     ids.append(rep)
                     sizes.append(n)
+                    classes += [cls] * len(own)
                     found.append(own.view(np.int64))
             counts = np.fromiter(map(len, found), np.int64, len(found))
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.repeat(np.array(ids, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int64), counts)),
-                pa.array(np.concatenate([*found, np.empty(0, np.int64)]))], ["rep", "n", "shingle"])
+                pa.array(classes, pa.binary()), pa.array(np.concatenate([*found, np.empty(0, np.int64)]))], ["rep", "n", "cls", "shingle"])
 
-    single = stored(_named_texts(docs, wanted, key, text).select("rep", "text", "cls", "n_shingles").mapInArrow(spread, "rep long, n long, shingle long"), "shingles")
+    single = stored(_named_texts(docs, wanted, key, text).select("rep", "text", "cls", "n_shingles").mapInArrow(spread, "rep long, n long, cls binary, shingle long"), "shingles")
     shared = single.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ordered = single.join(shared, "shingle").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    ordered = single.join(shared, "shingle").groupBy("rep", "n", "cls").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
     # shingles of one document only come first in the order and meet nobody
     room = F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1 - (F.col("n") - F.size("s"))
     dealt = ordered.filter(room > 0).select("rep", "n", F.explode(F.slice("s", F.lit(1), room.cast("int"))).alias("e"))
@@ -212,7 +213,10 @@ def _linked_in_blocks(rows: DataFrame, reps: DataFrame, docs: DataFrame, key: st
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["around", "i", "j", "own", "rep", "label", "hashes"])
 
     def compare(group: pa.Table) -> pa.Table:
-        rep, first = np.unique(group.column("rep").to_numpy(), return_index=True)  # repeated rows once
+        # repeated rows once; an id may have several sets
+        once = dict(zip(zip(group.column("rep").to_pylist(), (xxhash.xxh3_128_digest(h.values.to_numpy().tobytes()) for h in group.column("hashes")), strict=True), range(group.num_rows), strict=True))
+        first = np.array([once[k] for k in sorted(once)], np.int64)
+        rep = group.column("rep").to_numpy()[first]
         label, mine = (group.column(c).to_numpy()[first] for c in ("label", "own"))
         found = [group.column("hashes")[k].values.to_numpy() for k in first.tolist()]
         n = np.fromiter(map(len, found), np.int64, len(found))
@@ -279,19 +283,21 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, key: str = "doc
                 ["hub", "part", "member", "hashes"])
 
     def compare(group: pa.Table) -> pa.Table:
-        hub, out, own, rest = group.column("hub")[0].as_py(), [], None, []
+        hub, out, owns, rest = group.column("hub")[0].as_py(), set(), [], []
         for member, hashes in zip(group.column("member").to_pylist(), group.column("hashes"), strict=True):
             values = hashes.values.to_numpy()
             if member == hub:
-                own = values
+                owns.append(values)
             else:
                 rest.append((member, values))
         for member, values in rest:
-            # sets are sorted as unsigned numbers; only equality matters here
-            common = len(own) + len(values) - len(np.unique(np.concatenate([own, values])))
-            if 100 * common >= SIMILARITY * (len(own) + len(values) - common):
-                out.append(member)
-        return pa.table({"hub": pa.array([hub] * len(out), pa.int64()), "member": pa.array(out, pa.int64())})
+            # sets are sorted as unsigned numbers; only equality matters here; any set of an id may link it
+            for own in owns:
+                common = len(own) + len(values) - len(np.unique(np.concatenate([own, values])))
+                if 100 * common >= SIMILARITY * (len(own) + len(values) - common):
+                    out.add(member)
+                    break
+        return pa.table({"hub": pa.array([hub] * len(out), pa.int64()), "member": pa.array(sorted(out), pa.int64())})
 
     sent = named.select("rep", "text", "cls", "places").mapInArrow(sets, "hub long, part int, member long, hashes array<long>")
     return sent.groupBy("hub", "part").applyInArrow(compare, "hub long, member long")
@@ -324,12 +330,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     crowded = rows.groupBy("bucket").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x <> y").select("bucket")
     rows = stored(rows.join(crowded, "bucket"), "buckets")
-    labels = None
+    # an id with several texts connects their classes
+    several = linkable.groupBy("doc_id").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("doc_id")
+    held = linkable.join(several, "doc_id", "left_semi").select("doc_id", "cls").distinct().join(reps.select("cls", "rep"), "cls")
+    same = stored(held.groupBy("doc_id").agg(F.min("rep").alias("a")).join(held, "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct(), "same")
+    labels = None if same.isEmpty() else contracted(same)
     if not rows.isEmpty():
         first = rows.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("h")).select("bucket", F.col("h.rep").alias("hub"), F.col("h.n").alias("m"))
         pairs = rows.join(first, "bucket").filter("rep <> hub and 100 * least(n, m) >= 75 * greatest(n, m)").select("hub", F.col("rep").alias("member"))
         ends = ["hub as a", "member as b"]
-        links = stored(verified(_likely(pairs.distinct(), reps), docs, reps, key, text).selectExpr(*ends), "links")
+        links = stored(verified(_likely(pairs.distinct(), reps), docs, reps, key, text).selectExpr(*ends).union(same), "links")
         labels = contracted(links)
         rows = _open(rows, labels)
         rows = _open(_by_rare_shingles(rows, reps, docs, key, text), labels)

@@ -112,6 +112,17 @@ def test_near_duplicates(spark, monkeypatch):
     assert near_duplicates.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_near_duplicates_of_an_id_with_two_texts(spark, turned):
+    rng = random.Random(8)
+    a, b, c, d, e = ([f"{x}{rng.randrange(999)}" for _ in range(60)] for x in "abcde")
+    near = lambda own: " ".join([*own[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(c)), (5, " ".join(c)), (5, " ".join(d)), (6, near(d)), (7, " ".join(e))]
+    docs = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.component_id) for r in near_duplicates.near_duplicates(docs).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (7, 7)}
+
+
 def test_circulant_signature_estimates_similarity():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
