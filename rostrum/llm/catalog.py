@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from rostrum.llm import bpe, language_id, language_model, near_duplicates, packing, pii, toxicity, urls, vectors
+from rostrum.llm import (
+    bpe, filter_audit, language_id, language_model, near_duplicates, packing, pii, sentence_pieces, toxicity, urls, vectors,
+)
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -16,6 +18,8 @@ QUERIES = {
     "op8_nearest_neighbours": vectors.op8_nearest_neighbours,
     "op9_url_filter": urls.op9_url_filter,
     "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op13_sentence_pieces": sentence_pieces.op13_sentence_pieces,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op5_exact_top_k": vectors.ORACLE_EXACT, "op9_url_filter": urls.ORACLE}
+ORACLES = {"op5_exact_top_k": vectors.ORACLE_EXACT, "op9_url_filter": urls.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
