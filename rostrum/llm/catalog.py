@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from rostrum.llm import (
-    bpe, filter_audit, language_id, language_model, near_duplicates, packing, pii, sentence_pieces, toxicity, urls, vectors,
+    bpe, filter_audit, language_id, language_model, near_duplicates, packing, pii, sentence_pieces, spelling_variants, toxicity, urls, vectors,
 )
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_url_filter": urls.op9_url_filter,
     "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_spelling_variants": spelling_variants.op12_spelling_variants,
     "op13_sentence_pieces": sentence_pieces.op13_sentence_pieces,
     "pipeline": corpus_pipeline.run,
 }

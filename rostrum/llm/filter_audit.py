@@ -12,8 +12,8 @@ from rostrum.llm.tools import BLANKS, partitions, stored, table
 
 #: fixed values: the filters of the query, in the order of their letters
 FILTERS = ("A", "B", "C", "D", "E")
-# a text that more than this share of a task's usual rows repeats is joined apart; so such texts are few
-HOT_SHARE = 4
+# texts that more rows repeat than this share of a task's usual rows, and than this number, are joined apart; so they are few
+HOT_SHARE, HOT_ROWS = 4, 1_000
 
 
 def text_failures(text: Column) -> dict[str, Column]:
@@ -39,7 +39,7 @@ def later_copies(facts: DataFrame, row: str = "row", key: str = "doc_id", digest
     with_key = facts.filter(F.col(key).isNotNull())
     groups = stored(with_key.groupBy(digest).agg(F.min(key).alias("__first"), F.max(key).alias("__last"), F.count(F.lit(1)).alias("__n"))
                     .filter("__first < __last").drop("__last"), "copied_texts")
-    bound = max(1_000, with_key.count() // (HOT_SHARE * partitions(spark)))  # at most HOT_SHARE * partitions texts are above
+    bound = max(HOT_ROWS, with_key.count() // (HOT_SHARE * partitions(spark)))  # at most HOT_SHARE * partitions texts are above
     hot = F.broadcast(groups.filter(F.col("__n") > bound))
     cold = groups.filter(F.col("__n") <= bound)
     late = F.col(key) > F.col("__first")
