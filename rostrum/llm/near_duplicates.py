@@ -22,25 +22,10 @@ GROUP = 128
 BLOCK, COLUMNS = 512, 4096
 # ids up to this number may be broadcast (16 bytes each)
 BROADCAST_IDS = 300_000
-# a worker's memory of word hashes; it then starts anew
-MEMORY = 500_000
+# a task's memory of word hashes, in words, of words up to a length; it then starts anew
+MEMORY, REMEMBERED = 250_000, 64
 U32, U64 = np.uint32, np.uint64
 
-_hashes: dict[str, int] = {}
-
-
-def _word_hashes(tokens: list[str]) -> np.ndarray:
-    known = _hashes
-    try:
-        return np.fromiter(map(known.__getitem__, tokens), U64, len(tokens))
-    except KeyError:
-        if len(known) > MEMORY:
-            known.clear()
-        for word in tokens:
-            if word not in known:
-                known[word] = xxhash.xxh3_64_intdigest(word)
-        return np.fromiter(map(known.__getitem__, tokens), U64, len(tokens))
-
 
 def _mixed(h: np.ndarray) -> np.ndarray:
     """A one-to-one mixing of 64-bit numbers."""
@@ -49,17 +34,38 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The distinct shingles of a whole text as sorted 64-bit hashes; fewer words than a shingle has count as one."""
-    tokens = words(text)
-    if not tokens:
-        return np.empty(0, U64)
-    h = _word_hashes(tokens)
-    width = min(SHINGLE, len(h))
-    mixed = np.full(len(h) - width + 1, width, U64)
-    for i in range(width):
-        mixed = _mixed(mixed + h[i : len(h) - width + 1 + i])
-    return np.unique(mixed)
+class Shingler:
+    """The shingles of texts, with a bounded memory of word hashes that its task owns."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def _word_hashes(self, tokens: list[str]) -> np.ndarray:
+        known = self.known
+        try:
+            return np.fromiter(map(known.__getitem__, tokens), U64, len(tokens))
+        except KeyError:
+            if len(known) > MEMORY:
+                known.clear()
+            long_ = {}
+            for word in tokens:
+                if word not in known:
+                    (known if len(word) <= REMEMBERED else long_)[word] = xxhash.xxh3_64_intdigest(word)
+            if long_:
+                return np.array([long_[w] if w in long_ else known[w] for w in tokens], U64)
+            return np.fromiter(map(known.__getitem__, tokens), U64, len(tokens))
+
+    def shingles(self, text: str | None) -> np.ndarray:
+        """The distinct shingles of a whole text as sorted 64-bit hashes; fewer words than a shingle has count as one."""
+        tokens = words(text)
+        if not tokens:
+            return np.empty(0, U64)
+        h = self._word_hashes(tokens)
+        width = min(SHINGLE, len(h))
+        mixed = np.full(len(h) - width + 1, width, U64)
+        for i in range(width):
+            mixed = _mixed(mixed + h[i : len(h) - width + 1 + i])
+        return np.unique(mixed)
 
 
 def _arranged(x: np.ndarray) -> np.ndarray:
@@ -90,6 +96,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """For every row: doc_id, n_shingles, class (digest of the whole set), band keys, coordinates (one byte each)."""
 
     def run(batches):
+        shingles = Shingler().shingles
         for batch in batches:
             size, cls, bands, coordinates = [], [], [], []
             for one in texts_of(batch.column(1)):
@@ -163,6 +170,7 @@ def _by_rare_shingles(rows: DataFrame, reps: DataFrame, docs: DataFrame, key: st
     wanted = stored(rows.select("rep").distinct().join(reps.select("rep", "cls", "n_shingles"), "rep"), "open")
 
     def spread(batches):
+        shingles = Shingler().shingles
         for batch in batches:
             ids, sizes, classes, found = [], [], [], []
             for rep, one, cls, n in zip(*[batch.column(c).to_pylist() for c in ("rep", "text", "cls", "n_shingles")], strict=True):
@@ -201,6 +209,7 @@ def _linked_in_blocks(rows: DataFrame, reps: DataFrame, docs: DataFrame, key: st
     wanted = stored(members.join(sizes, "around").join(reps.select("rep", "cls"), "rep").withColumn("own", own), "wanted")
 
     def sets(batches):
+        shingles = Shingler().shingles
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for rep, one, label, around_, blocks, cls, mine in zip(*[batch.column(c).to_pylist() for c in ("rep", "text", "label", "around", "blocks", "cls", "own")], strict=True):
@@ -267,6 +276,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, key: str = "doc
         F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(wanted, "rep")
 
     def sets(batches):
+        shingles = Shingler().shingles
         for batch in batches:
             hubs, parts, ids, found = [], [], [], []
             for rep, one, cls, places in zip(*[batch.column(c).to_pylist() for c in ("rep", "text", "cls", "places")], strict=True):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +14,8 @@ from rostrum.llm.bpe import byte_letters
 from rostrum.llm.tools import partitions, single_threaded, stored, table, texts_of
 
 CAPACITY = 2048
-# entries a worker's memory of finished words may hold; it then starts anew, with equal results
-MEMORY = 300_000
+# bytes, about, that a task's memory of finished words may hold, of words up to a length; it then starts anew, with equal results
+MEMORY_BYTES, REMEMBERED = 64_000_000, 64
 # no tokenizer piece crosses these blanks
 CHUNK = re.compile(r"[^ \t\n\r]+")
 #: fixed values: the pre-tokenizer's pieces over lower-cased Latin-1 text (runs of digits are cut by the tokenizer itself)
@@ -24,17 +23,6 @@ PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½
 WORD = re.compile(r"[a-zªµºß-öø-ÿ]+")
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    single_threaded()
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
-    own.no_truncation()
-    own.no_padding()
-    return own, {}, {b: c for c, b in byte_letters().items()}
-
-
 def _cut(text: str) -> list[str]:
     """Parts of a text that the tokenizer encodes independently: lower-case words where that is safe, else parts between blanks."""
     if "<|" not in text and max(text, default="") < "\u0100" and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
@@ -42,28 +30,57 @@ def _cut(text: str) -> list[str]:
     return CHUNK.findall(text)
 
 
-def token_ids(texts: list[str], path: str) -> list[bytes]:
-    """The ids of whole texts as little-endian unsigned 32-bit integers; for lower-casing tokenizers whose words end at blanks.
+class TaskTokenizer:
+    """The library's tokenizer with a memory of finished words, bounded in bytes; its task owns both."""
+
+    def __init__(self, path: str):
+        single_threaded()
+        from tokenizers import Tokenizer
+
+        self.own = Tokenizer.from_file(path)
+        self.own.no_truncation()
+        self.own.no_padding()
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.known: dict[str, bytes] = {}
+        self.used = 0
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts as little-endian unsigned 32-bit integers; for lower-casing tokenizers whose words end at blanks.
+
+        Words repeat, so each distinct one is given to the tokenizer once while it is remembered. Long parts, such as
+        texts without blanks, are not remembered.
+        """
+        cut = [_cut(t) for t in texts]
+        if self.used > MEMORY_BYTES:
+            self.known, self.used = {}, 0
+        known, letters, long_ = self.known, self.letters, {}
+        new, model = [], self.own.model
+
+        def learn(chunk: str, ids: bytes) -> None:
+            if len(chunk) > REMEMBERED:
+                long_[chunk] = ids
+                return
+            known[chunk] = ids
+            self.used += 240 + len(chunk) + len(ids)
+
+        for chunk in {c for chunks in cut for c in chunks if c not in known}:
+            if WORD.fullmatch(chunk):  # nothing left to normalise or cut: straight to the tokenizer's model
+                spelt = chunk if chunk.isascii() else "".join([letters[b] for b in chunk.encode()])
+                learn(chunk, np.array([t.id for t in model.tokenize(spelt)], "<u4").tobytes())
+            else:
+                new.append(chunk)
+        for at in range(0, len(new), 2_000):
+            part = new[at : at + 2_000]
+            for chunk, encoded in zip(part, self.own.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                learn(chunk, np.array(encoded.ids, "<u4").tobytes())
+        ids_of = known.__getitem__
+        if long_:
+            return [b"".join([long_[c] if c in long_ else ids_of(c) for c in chunks]) for chunks in cut]
+        return [b"".join(map(ids_of, chunks)) for chunks in cut]
 
-    Words repeat, so each distinct one is given to the tokenizer once per worker.
-    """
-    own, known, letters = _tokenizer(path)
-    cut = [_cut(t) for t in texts]
-    if len(known) > MEMORY:
-        known.clear()
-    new, model = [], own.model
-    for chunk in {c for chunks in cut for c in chunks if c not in known}:
-        if WORD.fullmatch(chunk):  # nothing left to normalise or cut: straight to the tokenizer's model
-            spelt = chunk if chunk.isascii() else "".join([letters[b] for b in chunk.encode()])
-            known[chunk] = np.array([t.id for t in model.tokenize(spelt)], "<u4").tobytes()
-        else:
-            new.append(chunk)
-    for at in range(0, len(new), 2_000):
-        part = new[at : at + 2_000]
-        for chunk, encoded in zip(part, own.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(encoded.ids, "<u4").tobytes()
-    ids_of = known.__getitem__
-    return [b"".join(map(ids_of, chunks)) for chunks in cut]
+
+def token_ids(texts: list[str], path: str) -> list[bytes]:
+    return TaskTokenizer(path).ids(texts)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
@@ -75,9 +92,10 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     ending = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
+        tokenizer = TaskTokenizer(path)
         for batch in batches:
             keys, place, start, length, ids = [], [], [], [], []
-            for row, tokens in enumerate(token_ids(list(texts_of(batch.column(1))), path)):
+            for row, tokens in enumerate(tokenizer.ids(list(texts_of(batch.column(1))))):
                 tokens += ending
                 for piece, at in enumerate(range(0, len(tokens), 4 * capacity)):
                     part = tokens[at : at + 4 * capacity]
