@@ -11,11 +11,13 @@ from rostrum.operators import dedup as D
 from rostrum.operators import filters as FL
 from rostrum.operators import intel as I
 from rostrum.operators import joins as J
+from rostrum.operators import place_index as P
 from rostrum.operators import windows as W
 from rostrum.plans import jobs
 from rostrum.plans.proxies import AS_OF
 from rostrum.plans.storage import new_path
 from rostrum.sources import sinks as S
+from rostrum.sources import snapshots as T
 
 DAYS = f"CAST(FLOOR((cfp_end_date - {AS_OF}) / 86400) AS BIGINT)"
 
@@ -339,15 +341,26 @@ def _(t):
     return W.top_by_popularity(cfps(t), 20).select("object_id", "popularity_score")
 
 
-@register("near_me", "WIN-17", "FN-MTH-2", oracle="""
+NEAR = """
     SELECT object_id, ROUND(km, 6) AS km, CASE WHEN km < 100 THEN CAST(CAST(FLOOR(km + 0.5) AS BIGINT) AS VARCHAR) ELSE CAST(CAST(FLOOR(km / 10 + 0.5) * 10 AS BIGINT) AS VARCHAR) END || ' km' AS distance FROM (
       SELECT object_id, 2 * 6371 * atan2(sqrt(a), sqrt(1 - a)) AS km FROM (
         SELECT object_id, pow(sin(radians(lat - 52.37) / 2), 2) + cos(radians(52.37)) * cos(radians(lat)) * pow(sin(radians(lng - 4.89) / 2), 2) AS a
-        FROM {v_cfp} WHERE lng IS NOT NULL)) ORDER BY km, object_id LIMIT 6""")
+        FROM {v_cfp} WHERE lng IS NOT NULL)) ORDER BY km, object_id LIMIT 6"""
+
+
+@register("near_me", "WIN-17", "FN-MTH-2", oracle=NEAR)
 def _(t):
     return W.near_me(t.view("v_cfp"), 52.37, 4.89).select("object_id", F.round("km", 6).alias("km"), "distance")
 
 
+@register("indexed_near_me", "WIN-17", oracle=NEAR)
+def _(t):
+    """The same places from a stored grid, of which the cells around the point are read."""
+    path = new_path(t.spark, "places")
+    P.write_place_index(t.view("v_cfp").select("object_id", "lat", "lng"), path)
+    return P.nearest(t.spark, path, 52.37, 4.89).select("object_id", F.round("km", 6).alias("km"), "distance")
+
+
 @register("best_thumbnails", "WIN-18", oracle="""
     SELECT object_id, CASE WHEN seq % 4 = 0 THEN 'direct' WHEN seq % 4 = 1 THEN 'big' || CAST(seq AS VARCHAR) WHEN seq % 4 = 2 THEN 'first' END AS thumbnail FROM {v_cfp}""")
 def _(t):
@@ -416,27 +429,27 @@ def _(t):
 @register("upserted_table", "SNK-1", oracle=UPSERTED)
 def _(t):
     path = new_path(t.spark, "calls")
-    S.write_table(t.sql(STORED), path, "object_id", 8)
-    S.upsert_table(t.spark, path, t.sql(INCOMING), "object_id", buckets=8)
-    return S.read_table(t.spark, path)
+    T.write_snapshot(t.sql(STORED), path, "object_id")
+    T.upsert_snapshot(t.spark, path, t.sql(INCOMING), "object_id")
+    return T.read_snapshot(t.spark, path)
 
 
 @register("partially_updated_table", "SNK-2", oracle=f"""
     SELECT s.object_id, COALESCE(i.name, s.name) AS name, s.source, s.popularity_score FROM ({STORED}) s LEFT JOIN ({INCOMING}) i USING (object_id)""")
 def _(t):
     path = new_path(t.spark, "calls")
-    S.write_table(t.sql(STORED), path, "object_id", 8)
-    S.partial_update_table(t.spark, path, t.sql(INCOMING), "object_id", ["name"], buckets=8)
-    return S.read_table(t.spark, path)
+    T.write_snapshot(t.sql(STORED), path, "object_id")
+    T.update_snapshot(t.spark, path, t.sql(INCOMING), "object_id", ["name"])
+    return T.read_snapshot(t.spark, path)
 
 
 @register("cleared_table", "SNK-5", oracle="SELECT COUNT(*) AS before, CAST(0 AS BIGINT) AS after FROM {v_cfp}")
 def _(t):
     path = new_path(t.spark, "calls")
-    t.view("v_cfp").write.parquet(path)
-    before = t.view("v_cfp").agg(F.count("*").alias("before"))
-    S.clear_table(t.spark, path)
-    after = S.count_table(t.spark, path).select(F.col("records").alias("after"))
+    T.write_snapshot(t.view("v_cfp"), path, "object_id")
+    before = T.count_snapshot(t.spark, path).select(F.col("records").alias("before"))
+    T.clear_snapshot(t.spark, path)
+    after = T.read_snapshot(t.spark, path).agg(F.count("*").alias("after"))
     return I.side_by_side(before.withColumn("total", F.lit(0)), after)
 
 

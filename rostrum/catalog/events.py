@@ -8,7 +8,9 @@ from rostrum.catalog.calls import cfps
 from rostrum.catalog.registry import register
 from rostrum.catalog.speakers import SCORES, profiles, talks
 from rostrum.functions.arrays import cfp_weight
+from rostrum.operators import matching as M
 from rostrum.operators import ranking as R
+from rostrum.operators import search_index as SI
 from rostrum.operators import windows as W
 from rostrum.plans.proxies import AS_OF
 from rostrum.plans.storage import new_path
@@ -63,6 +65,71 @@ def _(t):
     return R.top_matches(rows, READER, 20).select("object_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+# ---- match scores of many readers ---------------------------------------------------------------
+READERS = """
+    SELECT c_custkey AS user_id,
+           CASE WHEN c_custkey % 31 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN 'Economy' WHEN c_custkey % 5 = 1 THEN 'promo' WHEN c_custkey % 5 = 2 THEN 'LARGE cities' ELSE 'brand' END AS topic_a,
+           CASE WHEN c_custkey % 31 <> 0 AND c_custkey % 7 <> 0 THEN 'brand#' || CAST(c_custkey % 25 AS STRING) END AS topic_b,
+           CASE c_custkey % 4 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN 'x' WHEN 2 THEN 'Small' END AS interest,
+           CASE WHEN c_custkey % 31 <> 0 AND c_custkey % 3 = 0 THEN 'Brand#' || CAST(c_custkey % 9 AS STRING) END AS tech_a,
+           CASE WHEN c_custkey % 31 <> 0 AND c_custkey % 6 = 0 THEN 'o' END AS tech_b,
+           CASE WHEN c_custkey % 2 = 0 THEN 'NATION_' || CAST(c_nationkey AS STRING) WHEN c_custkey % 3 = 0 THEN 'city_' || CAST(c_custkey % 50 AS STRING) END AS want,
+           CASE WHEN c_custkey % 5 = 0 THEN 'nation_' || CAST(c_custkey % 25 AS STRING) WHEN c_custkey % 11 = 0 THEN 'n' END AS avoid,
+           CASE c_custkey % 3 WHEN 0 THEN 'virtual' WHEN 1 THEN 'hybrid' END AS format,
+           CASE c_custkey % 4 WHEN 0 THEN 'beginner' WHEN 1 THEN 'intermediate' WHEN 2 THEN 'advanced' END AS experience_level,
+           CASE WHEN c_custkey % 3 = 0 THEN 'none' ELSE 'some' END AS speaking_experience
+    FROM {customer}"""
+
+
+def _either(word: str) -> str:
+    return f"({word} IS NOT NULL AND (contains(a, lower({word})) OR contains(lower({word}), a) OR contains(b, lower({word})) OR contains(lower({word}), b)))"
+
+
+def _known(word: str) -> str:
+    return f"({word} IS NOT NULL AND (contains(a, lower({word})) OR contains(b, lower({word})) OR contains(source, lower({word}))))"
+
+
+def _number(*tests: str) -> str:
+    return "(" + " + ".join(f"CAST({t} AS INT)" for t in tests) + ")"
+
+
+def _named(test, *words: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {test(w)} THEN {w} END" for w in words) + "], lambda x: x IS NOT NULL)[1:2]"
+
+
+_WORDS, _TECHS = ("topic_a", "topic_b", "interest"), ("tech_a", "tech_b")
+READER_SCORES = f"""
+    SELECT user_id, object_id, CASE WHEN silent THEN 50 ELSE CAST(FLOOR(GREATEST(0, LEAST(100, score)) + 0.5) AS BIGINT) END AS score,
+           CASE WHEN silent THEN 'Set your interests for personalized matches' ELSE array_to_string(list_filter(r, lambda x: x IS NOT NULL)[1:3], '; ') END AS reasons FROM (
+      SELECT *, 30e0 + CASE WHEN n > 0 THEN LEAST(30e0, nt / CAST(n AS DOUBLE) * 30) ELSE 0 END + LEAST(15, ntech * 5) + CASE WHEN wish THEN 10 ELSE 0 END - CASE WHEN avoided THEN 15 ELSE 0 END
+             + CASE WHEN lv IS NULL THEN 5 WHEN fits THEN 10 ELSE 0 END + CASE WHEN event_format = format THEN 5 ELSE 0 END + CASE WHEN hn_stories > 0 THEN 3 ELSE 0 END
+             + CASE WHEN github_stars > 100 THEN 3 ELSE 0 END + CASE WHEN popularity_score > 50 THEN 4 ELSE 0 END AS score,
+             [CASE WHEN nt > 0 THEN 'Topics: ' || array_to_string({_named(_either, *_WORDS)}, ', ') END,
+              CASE WHEN ntech > 0 AND nt = 0 THEN 'Tech: ' || array_to_string({_named(_known, *_TECHS)}, ', ') END,
+              CASE WHEN wish THEN 'Dream destination!' END, CASE WHEN avoided THEN 'Travel constraint' END, CASE WHEN fits THEN 'Level fit' END,
+              CASE WHEN event_format = format THEN event_format || ' event' END, CASE WHEN hn_stories > 0 THEN 'Trending on HN' END,
+              CASE WHEN github_stars > 100 THEN 'GitHub buzz' END, CASE WHEN days <= 7 THEN 'Closing soon!' END] AS r
+      FROM (SELECT *, {_number(*[_either(w) for w in _WORDS])} AS nt, {_number(*[f"{w} IS NOT NULL" for w in _WORDS])} AS n, {_number(*[_known(w) for w in _TECHS])} AS ntech,
+                   topic_a IS NULL AND topic_b IS NULL AND tech_a IS NULL AND tech_b IS NULL AS silent,
+                   want IS NOT NULL AND (contains(ci, lower(want)) OR contains(co, lower(want)) OR contains(lower(want), ci) OR contains(lower(want), co)) AS wish,
+                   avoid IS NOT NULL AND (contains(ci, avoid) OR contains(co, avoid)) AS avoided,
+                   lv IS NOT NULL AND CASE experience_level WHEN 'beginner' THEN contains(lv, 'beginner') OR contains(lv, 'all') WHEN 'intermediate' THEN NOT contains(lv, 'expert')
+                     WHEN 'advanced' THEN contains(lv, 'advanced') OR contains(lv, 'expert') ELSE FALSE END AS fits
+            FROM (SELECT object_id, lower(topic_a) AS a, lower(topic_b) AS b, source, lower(city) AS ci, lower(country) AS co, audience_level AS lv, event_format, hn_stories, github_stars, popularity_score,
+                         CAST(FLOOR((cfp_end_date - {AS_OF}) / 86400) AS BIGINT) AS days FROM {{v_cfp}}), ({READERS})))"""
+
+
+@register("top_matches_by_user", "RK-1", "RK-3", oracle=f"""
+    SELECT * FROM (SELECT user_id, object_id, score, reasons, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY score DESC, object_id) AS rank FROM ({READER_SCORES})) WHERE rank <= 5""")
+def _(t):
+    listed = lambda *c: F.array_compact(F.array(*c))
+    readers = t.sql(READERS).select(
+        "user_id", "experience_level", "speaking_experience", listed("topic_a", "topic_b").alias("topics"), listed("interest").alias("interests"), listed("tech_a", "tech_b").alias("tech_stack"),
+        listed("want").alias("travel_wants"), listed("avoid").alias("travel_avoids"), listed("format").alias("preferred_formats"))
+    out = M.top_matches_by_user(readers, cfps(t).withColumn("technologies", F.array("source")), 5, user="user_id")
+    return out.select("user_id", "object_id", "score", F.array_join("reasons", "; ").alias("reasons"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @register("quick_matches", "RK-2", oracle="""
     SELECT object_id, CAST(FLOOR(LEAST(100, s + CASE WHEN github_stars > 100 THEN 5 ELSE 0 END) + 0.5) AS BIGINT) AS score, CAST(FLOOR(LEAST(100, s) + 0.5) AS BIGINT) AS short_score FROM (
       SELECT object_id, github_stars, LEAST(100, 40 + (CAST(contains(a, 'economy') OR contains(b, 'economy') AS INT) + CAST(contains(a, '#1') OR contains(b, '#1') AS INT)
@@ -79,18 +146,30 @@ def _word(text: str, word: str, prefix: bool) -> str:
     return f"regexp_matches(lower({text}), '(^|[^a-z0-9_]){word}{end}')"
 
 
-@register("keyword_search", "RK-4", oracle=f"""
+SEARCH = f"""
     WITH c AS (SELECT object_id, LEAST(CASE WHEN {_word('name', 'red', False)} THEN 0 WHEN {_word('description', 'red', False)} THEN 1 ELSE 9 END,
                       CASE WHEN {_word('name', 'w', True)} THEN 0 WHEN {_word('description', 'w', True)} THEN 1 ELSE 9 END) AS attribute, cfp_end_date,
                       CAST(FLOOR((cfp_end_date - {AS_OF}) / 86400) AS BIGINT) AS days
                FROM {{v_cfp}} WHERE ({_word('name', 'red', False)}) AND ({_word('name', 'w', True)})),
          s AS (SELECT * FROM ({SCORES}))
-    (SELECT 'cfps' AS index, CAST(object_id AS VARCHAR) AS object_id, attribute, ROW_NUMBER() OVER (ORDER BY attribute, days, cfp_end_date, object_id) AS rank FROM c ORDER BY rank LIMIT 4)""")
+    (SELECT 'cfps' AS index, CAST(object_id AS VARCHAR) AS object_id, attribute, ROW_NUMBER() OVER (ORDER BY attribute, days, cfp_end_date, object_id) AS rank FROM c ORDER BY rank LIMIT 4)"""
+
+
+@register("keyword_search", "RK-4", oracle=SEARCH)
 def _(t):
     out = R.multi_search({"cfps": cfps(t)}, "red w", 4)
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@register("indexed_search", "RK-4", oracle=SEARCH)
+def _(t):
+    """The same search over a stored inverted index."""
+    path = new_path(t.spark, "index")
+    SI.write_search_index(cfps(t), "cfps", path)
+    out = SI.search_index(t.spark, path, "red w", 4)
+    return out.select(F.lit("cfps").alias("index"), F.col("object_id").cast("string").alias("object_id"), "attribute", F.col("rank").cast("bigint").alias("rank"))
+
+
 @register("multi_search", "RK-4", oracle=f"""
     (SELECT 'cfps' AS index, CAST(object_id AS VARCHAR) AS object_id, 2 AS attribute, ROW_NUMBER() OVER (ORDER BY CAST(FLOOR((cfp_end_date - {AS_OF}) / 86400) AS BIGINT), cfp_end_date, object_id) AS rank
      FROM {{v_cfp}} WHERE topic_b LIKE 'Brand#%' ORDER BY rank LIMIT 4)

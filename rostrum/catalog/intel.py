@@ -204,19 +204,45 @@ def _(t):
     return joined(out, ["github_languages"], [])
 
 
+@register("calls_with_all_intel", "JN-3", oracle=f"""
+    SELECT c.object_id, CASE WHEN n.conf_id IS NOT NULL THEN n.score ELSE CAST(c.popularity_score AS DOUBLE) END AS popularity_score,
+           CASE WHEN n.conf_id IS NOT NULL THEN n.hn_stories ELSE c.hn_stories END AS hn_stories, CASE WHEN n.conf_id IS NOT NULL THEN n.reddit_posts ELSE c.reddit_posts END AS reddit_posts,
+           l.github_languages, n.conf_id IS NOT NULL AS intel_enriched
+    FROM {{v_cfp}} c LEFT JOIN (SELECT *, {SCORE} AS score FROM ({NUMBERS})) n ON n.conf_name = c.name || ' 2024'
+    LEFT JOIN ({top_list('{v_repo}', 'language', 10, 'github_languages')}) l ON l.conf_id = n.conf_id""")
+def _(t):
+    """The intel of every conference; names that no conference has stay without."""
+    intel = all_intel(t).withColumn("popularity_score", F.round(I.popularity_score(), 6)).withColumn("name", F.regexp_replace("conf_name", " 2024$", ""))
+    calls = t.view("v_cfp").withColumn("popularity_score", F.col("popularity_score").cast("double"))
+    out = J.apply_intel(calls, intel).select("object_id", "popularity_score", "hn_stories", "reddit_posts", "github_languages", "intel_enriched")
+    return joined(out, ["github_languages"], [])
+
+
 # ---- split records ------------------------------------------------------------------------------
 @register("split_intel_records", "SNK-4", oracle="""
     SELECT source, conf_id, total, LEAST(n, CASE source WHEN 'hn' THEN 50 ELSE 30 END) AS children FROM (
       SELECT 'hn' AS source, conf_id, COUNT(*) AS total, COUNT(*) AS n FROM {v_post} GROUP BY 2 UNION ALL SELECT 'github', conf_id, COUNT(*), COUNT(*) FROM {v_repo} WHERE post_id % 2 = 0 GROUP BY 2
       UNION ALL SELECT 'reddit', conf_id, CAST(5 AS BIGINT), CAST(0 AS BIGINT) FROM {v_conf} WHERE conf_id % 3 = 0)""")
 def _(t):
-    # nested bundles: children are cut to the largest cap before they are grouped
+    return split_bundles(t, t.view("v_repo").filter("post_id % 2 = 0"))
+
+
+@register("split_all_intel_records", "SNK-4", oracle="""
+    SELECT source, conf_id, total, LEAST(n, CASE source WHEN 'hn' THEN 50 ELSE 30 END) AS children FROM (
+      SELECT 'hn' AS source, conf_id, COUNT(*) AS total, COUNT(*) AS n FROM {v_post} GROUP BY 2 UNION ALL SELECT 'github', conf_id, COUNT(*), COUNT(*) FROM {v_repo} GROUP BY 2
+      UNION ALL SELECT 'reddit', conf_id, CAST(5 AS BIGINT), CAST(0 AS BIGINT) FROM {v_conf} WHERE conf_id % 3 = 0)""")
+def _(t):
+    return split_bundles(t, t.view("v_repo"))
+
+
+def split_bundles(t: Tables, repositories: DataFrame) -> DataFrame:
+    """Records per source from nested bundles, whose children are cut to the largest cap before they are grouped."""
     from rostrum.plans.skew import top_k_array
 
     posts = t.view("v_post").select("conf_id", "post_id", F.struct("title", "url").alias("item"))
     stories = top_k_array(posts, ["conf_id"], [F.col("post_id")], 50, F.col("item"), "stories")
     counts = posts.groupBy("conf_id").agg(F.count("*").alias("n_stories"))
-    repos = t.view("v_repo").filter("post_id % 2 = 0").select("conf_id", "post_id", F.struct("name", "stars").alias("item"))
+    repos = repositories.select("conf_id", "post_id", F.struct("name", "stars").alias("item"))
     listed = top_k_array(repos, ["conf_id"], [F.col("post_id")], 50, F.col("item"), "repos")
     repo_counts = repos.groupBy("conf_id").agg(F.count("*").alias("n_repos"))
     none = F.array().cast("array<string>")

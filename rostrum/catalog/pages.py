@@ -398,13 +398,13 @@ def _(t):
 def _(t):
     """Links, then outcomes, streamed into a stored table; the outcome files are streamed twice."""
     table = new_path(t.spark, "store")
-    crawl.create_store(t.spark, table, t.sql(STORE), buckets=4)
+    crawl.create_store(t.spark, table, t.sql(STORE))
     links = t.sql("""SELECT CASE WHEN seq % 50 = 0 THEN 'https://new.example/' ELSE 'https://u.example/' END || CAST(seq AS STRING) || '/' AS url, 'stream' AS source, name, '' AS cfp_url, seq, 1e9 AS added_at
         FROM {v_cfp}""")
     source, outcomes = new_path(t.spark, "links"), new_path(t.spark, "outcomes")
     links.write.parquet(source)
     t.sql(OUTCOME).write.parquet(outcomes)
-    crawl.run_links(t.spark, source, table, new_path(t.spark, "cp"), buckets=4).awaitTermination()
+    crawl.run_links(t.spark, source, table, new_path(t.spark, "cp")).awaitTermination()
     for _ in range(2):
         crawl.run_outcomes(t.spark, outcomes, table, new_path(t.spark, "cp")).awaitTermination()
     return crawl.read_store(t.spark, table).select(APPLIED_COLUMNS)

@@ -1,31 +1,14 @@
-"""Table writes: upserts, partial updates, index records and exports.
-
-A table is a parquet folder hash-partitioned by ``bucket``. A write replaces only the buckets it
-touches, through Spark's dynamic partition overwrite, which commits the new files in one step.
-"""
+"""Merges, index records and exports; stored tables are in ``rostrum.sources.snapshots``."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.functions.arrays import drop_empty, null_if_empty
 from rostrum.functions.text import blank_to_null
-from rostrum.plans.skew import first_per_key
-from rostrum.plans.storage import cut_lineage
-
-BUCKETS = 64
-
-
-def bucket_of(key: str, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
-
-
-def in_buckets(df: DataFrame, key: str, files: int = 8) -> DataFrame:
-    """Rows dealt for a bucketed write: several tasks, and so files, per bucket."""
-    return df.repartition("bucket", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(1)), F.lit(files)))
 
 
 # ---- merges (pure DataFrame forms) --------------------------------------------------------------
@@ -41,67 +24,6 @@ def partial_update(table: DataFrame, changes: DataFrame, key: str, columns: Sequ
     return joined.withColumns({c: F.when(hit, F.col(f"__new.{c}")).otherwise(F.col(c)) for c in columns}).drop("__new")
 
 
-# ---- stored tables ------------------------------------------------------------------------------
-def write_table(df: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
-    """Write a whole table, its rows spread over key buckets."""
-    rows = in_buckets(df.withColumn("bucket", bucket_of(key, buckets)), key)
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
-
-
-def upsert_table(spark: SparkSession, path: str, new: DataFrame, key: str, order: Sequence[str] = (), buckets: int = BUCKETS) -> None:
-    """Upsert into a stored table; only the buckets of the new keys are read and rewritten.
-
-    Of several new rows with one key the last in ``order`` wins. Running the same batch twice gives
-    the same table.
-    """
-    if order:
-        new = _last_per_key(new, key, order)
-    # materialised: the rewrite below must not re-read a source that changes meanwhile
-    new = cut_lineage(new.withColumn("bucket", bucket_of(key, buckets)))
-    touched = [row.bucket for row in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-    if not touched:
-        return
-    old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
-    merged = cut_lineage(upsert(old, new, key))
-    _overwrite_buckets(merged, path, key)
-
-
-def _last_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    return first_per_key(df, [key], [F.col(c).desc() for c in order])
-
-
-def _overwrite_buckets(df: DataFrame, path: str, key: str) -> None:
-    rows = in_buckets(df, key)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def partial_update_table(spark: SparkSession, path: str, changes: DataFrame, key: str, columns: Sequence[str], buckets: int = BUCKETS) -> None:
-    """Partial update of a stored table, bucket by bucket as in ``upsert_table``."""
-    changes = cut_lineage(changes.withColumn("bucket", bucket_of(key, buckets)))
-    touched = [row.bucket for row in changes.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-    if not touched:
-        return
-    old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
-    _overwrite_buckets(cut_lineage(partial_update(old, changes, key, columns)), path, key)
-
-
-def clear_table(spark: SparkSession, path: str) -> None:
-    """Empty a stored table and keep its schema."""
-    schema = spark.read.parquet(path).schema
-    # one row filtered away again: an empty partitioned write leaves no file, and with it no schema
-    empty = spark.createDataFrame([], schema)
-    bare = empty.drop("bucket")
-    bare.write.mode("overwrite").parquet(f"{path}/bucket=0") if "bucket" in schema.names else bare.write.mode("overwrite").parquet(path)
-
-
-def count_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).agg(F.count("*").alias("records"))
-
-
 # ---- records ------------------------------------------------------------------------------------
 # camelCase name -> (column, cap of list columns or None)
 INDEX_RECORD: Mapping[str, tuple[str, int | None]] = {

@@ -1,6 +1,6 @@
 """The crawl store fed by streams of links and of crawl outcomes.
 
-Links are merged with the stored table bucket by bucket; adding a known link changes nothing. Outcomes go to
+Links are merged into a snapshot table, whose untouched files stay; adding a known link changes nothing. Outcomes go to
 a log beside it, one folder per stream and batch, which a replayed batch overwrites. The state of a link is its
 stored row and all its outcomes folded in time order, so late and out-of-order files lose nothing.
 """
@@ -14,48 +14,31 @@ from pyspark.sql import functions as F
 
 from rostrum.operators.dedup import url_store_add
 from rostrum.operators.state import fold_outcomes
-from rostrum.plans.storage import cut_lineage
 from rostrum.sources.schemas import OUTCOMES, URL_STORE
-from rostrum.sources.sinks import bucket_of, in_buckets
+from rostrum.sources.snapshots import change_snapshot, read_snapshot, write_snapshot
 
 LINKS = "url STRING, source STRING, name STRING, cfp_url STRING, seq BIGINT, added_at DOUBLE"
-STORE_BUCKETS = 64
 
 
 def outcome_log(path: str) -> str:
     return f"{path.rstrip('/')}-outcomes"
 
 
-def create_store(spark: SparkSession, path: str, rows: DataFrame | None = None, buckets: int = STORE_BUCKETS) -> None:
+def create_store(spark: SparkSession, path: str, rows: DataFrame | None = None) -> None:
     """Create the stored table, empty or from rows, and its empty outcome log."""
     rows = spark.createDataFrame([], URL_STORE) if rows is None else rows
-    in_buckets(rows.withColumn("bucket", bucket_of("url", buckets)), "url").write.partitionBy("bucket").parquet(path)
+    write_snapshot(rows, path, "url")
     spark.createDataFrame([], OUTCOMES).write.parquet(f"{outcome_log(path)}/run=none")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """The links with the outcomes logged so far."""
-    base = spark.read.schema(f"{URL_STORE}, bucket INT").parquet(path).drop("bucket")
-    return fold_outcomes(base, spark.read.schema(f"{OUTCOMES}, run STRING").parquet(outcome_log(path)).drop("run"))
+    return fold_outcomes(read_snapshot(spark, path), spark.read.schema(f"{OUTCOMES}, run STRING").parquet(outcome_log(path)).drop("run"))
 
 
-def _stored(spark: SparkSession, path: str, touched: list[int]) -> DataFrame:
-    return spark.read.schema(f"{URL_STORE}, bucket INT").parquet(path).filter(F.col("bucket").isin(touched)).drop("bucket")
-
-
-def _merge(spark: SparkSession, path: str, batch: DataFrame, merge, buckets: int) -> None:
-    key = F.regexp_replace("url", "/+$", "")
-    batch = cut_lineage(batch.withColumn("url", key).withColumn("bucket", bucket_of("url", buckets)))
-    touched = [row.bucket for row in batch.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-    if not touched:
-        return
-    merged = merge(_stored(spark, path, touched), batch.drop("bucket")).withColumn("bucket", bucket_of("url", buckets))
-    rows = in_buckets(cut_lineage(merged), "url")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def merge_links(spark: SparkSession, path: str, batch: DataFrame, buckets: int = STORE_BUCKETS) -> None:
-    _merge(spark, path, batch, lambda store, new: url_store_add(store, new).drop("is_new"), buckets)
+def merge_links(spark: SparkSession, path: str, batch: DataFrame) -> None:
+    batch = batch.withColumn("url", F.regexp_replace("url", "/+$", ""))
+    change_snapshot(spark, path, batch, lambda store, new: url_store_add(store, new).drop("is_new").select(*store.columns))
 
 
 def log_outcomes(path: str, batch: DataFrame, run: str) -> None:
@@ -63,11 +46,11 @@ def log_outcomes(path: str, batch: DataFrame, run: str) -> None:
     batch.write.mode("overwrite").parquet(f"{outcome_log(path)}/run={run}")
 
 
-def run_links(spark: SparkSession, source: str, path: str, checkpoint: str, buckets: int = STORE_BUCKETS):
+def run_links(spark: SparkSession, source: str, path: str, checkpoint: str):
     """Stream link files into the store; processes what is there and stops."""
     links = spark.readStream.schema(LINKS).parquet(source)
     return (
-        links.writeStream.foreachBatch(lambda batch, _: merge_links(batch.sparkSession, path, batch, buckets))
+        links.writeStream.foreachBatch(lambda batch, _: merge_links(batch.sparkSession, path, batch))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 

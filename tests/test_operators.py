@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from rostrum.operators import dedup, graph, intel, joins, ranking, state, windows
 from rostrum.operators import aggregates as A
 from rostrum.plans.storage import new_path
-from rostrum.sources import sinks
 from rostrum.streaming import crawl, trending
 
 
@@ -180,23 +179,12 @@ def test_discovery_stops_at_limit(spark):
     assert [r.talk_count for r in found["channels"].collect()] == [3]
 
 
-def test_upsert_table_is_idempotent(spark):
-    path = new_path(spark, "t")
-    old = spark.createDataFrame([(i, "old") for i in range(20)], "id INT, v STRING")
-    new = spark.createDataFrame([(5, "a"), (5, "b"), (99, "new")], "id INT, v STRING")
-    sinks.write_table(old, path, "id", 4)
-    for _ in range(2):
-        sinks.upsert_table(spark, path, new, "id", order=["v"], buckets=4)
-    rows = {r.id: r.v for r in sinks.read_table(spark, path).collect()}
-    assert len(rows) == 21 and rows[5] == "b" and rows[99] == "new" and rows[6] == "old"
-
-
 def test_outcome_replay_and_late_outcomes(spark):
     path, source = new_path(spark, "store"), new_path(spark, "out")
     from rostrum.sources.schemas import OUTCOMES, URL_STORE
 
     row = ("u", "s", None, None, False, False, None, 0, False, None, False, None, None, 1.0)
-    crawl.create_store(spark, path, spark.createDataFrame([row, ("v", *row[1:])], URL_STORE), buckets=2)
+    crawl.create_store(spark, path, spark.createDataFrame([row, ("v", *row[1:])], URL_STORE))
     tries = [("u/", False, float(t), None, False, 503, "503", True) for t in (10, 20)]
     spark.createDataFrame(tries, OUTCOMES).write.parquet(source)
     for _ in range(2):  # a second run from the start changes nothing
@@ -233,12 +221,3 @@ def test_blank_and_missing_pages_get_outcomes(spark):
     _, after = jobs.extract_and_record(store, pages, 100.0)
     got = {r.url[8]: (r.extracted, r.extraction_failed, r.error_reason, r.max_retries_reached) for r in after.collect()}
     assert got == {"a": (True, False, "", False), "b": (False, True, "timeout", False), "c": (False, True, "", False)}
-
-
-def test_cleared_table_keeps_its_layout(spark):
-    path = new_path(spark, "t")
-    sinks.write_table(spark.createDataFrame([(1, "x")], "id BIGINT, v STRING"), path, "id", 4)
-    sinks.clear_table(spark, path)
-    assert sinks.read_table(spark, path).count() == 0
-    sinks.upsert_table(spark, path, spark.createDataFrame([(2, "y")], "id BIGINT, v STRING"), "id", buckets=4)
-    assert [tuple(r) for r in sinks.read_table(spark, path).collect()] == [(2, "y")]
