@@ -15,7 +15,7 @@ import bisect
 import json
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,6 +38,8 @@ class Version:
     manifest: str
     key: str
     schema: StructType
+    #: what a caller has committed together with the rows; later versions keep it
+    notes: dict = field(default_factory=dict)
 
 
 class Files:
@@ -92,7 +94,7 @@ def latest(spark: SparkSession, path: str) -> Version | None:
 
 def version(spark: SparkSession, path: str, number: int) -> Version:
     told = json.loads(Files(spark, path).read(f"versions/{number:012d}"))
-    return Version(number, told["manifest"], told["key"], StructType.fromJson(told["schema"]))
+    return Version(number, told["manifest"], told["key"], StructType.fromJson(told["schema"]), told["notes"])
 
 
 def _current(spark: SparkSession, path: str) -> Version:
@@ -150,12 +152,12 @@ def _store_rows(spark: SparkSession, path: str, rows: DataFrame, key: str) -> Da
         F.min(key).alias("least"), F.max(key).alias("greatest"), F.count(F.lit(1)).alias("records"))
 
 
-def _commit(spark: SparkSession, path: str, number: int, files: DataFrame, key: str, schema: StructType) -> None:
+def _commit(spark: SparkSession, path: str, number: int, files: DataFrame, key: str, schema: StructType, notes: dict) -> None:
     """Store the manifest and publish it as version ``number``; owners are numbered anew in key order."""
     name = uuid.uuid4().hex
     place = F.row_number().over(Window.orderBy(F.col("low").asc_nulls_first())) - 1  # one short row per file
     files.withColumn("owner", place.cast("int")).coalesce(1).write.parquet(f"{path.rstrip('/')}/manifests/{name}")
-    told = {"manifest": name, "key": key, "schema": schema.jsonValue()}
+    told = {"manifest": name, "key": key, "schema": schema.jsonValue(), "notes": notes}
     Files(spark, path).put(f"versions/{number:012d}", json.dumps(told))
 
 
@@ -180,7 +182,7 @@ def write_snapshot(df: DataFrame, path: str, key: str) -> None:
         raise TypeError(f"a key is a whole number or a string, not {kind.simpleString()}")
     at = latest(spark, path)
     files = _with_low(_store_rows(spark, path, df.withColumn("__owner", F.lit(0)), key), None)
-    _commit(spark, path, at.number + 1 if at else 0, files.select(*COLUMNS), key, df.schema)
+    _commit(spark, path, at.number + 1 if at else 0, files.select(*COLUMNS), key, df.schema, {})
 
 
 def _owned(rows: DataFrame, key: str, lows: list) -> DataFrame:
@@ -197,10 +199,13 @@ def _owned(rows: DataFrame, key: str, lows: list) -> DataFrame:
     return rows.mapInArrow(place, StructType([*rows.schema.fields]).add("__owner", IntegerType()))
 
 
-def change_snapshot(spark: SparkSession, path: str, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+def change_snapshot(
+    spark: SparkSession, path: str, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], notes: dict | None = None,
+) -> None:
     """Commit ``merge(old rows, changes)`` over the intervals that hold a changed key; other files stay as they are.
 
-    Changes are cast to the table's types; those without a key are left out. If another job commits first, the merge is
+    Changes are cast to the table's types; those without a key are left out, and without changes nothing is committed.
+    ``notes`` are committed together with the rows. If another job commits first, the merge is
     made again over its result.
     """
     for _ in range(ATTEMPTS):
@@ -221,7 +226,7 @@ def change_snapshot(spark: SparkSession, path: str, changes: DataFrame, merge: C
         fresh = _with_low(_store_rows(spark, path, placed, at.key), files)
         kept = files.filter(~F.col("owner").isin(touched))
         try:
-            _commit(spark, path, at.number + 1, kept.select(*COLUMNS).unionByName(fresh.select(*COLUMNS)), at.key, schema)
+            _commit(spark, path, at.number + 1, kept.select(*COLUMNS).unionByName(fresh.select(*COLUMNS)), at.key, schema, at.notes | (notes or {}))
             return
         except Conflict:
             continue
@@ -257,7 +262,7 @@ def update_snapshot(spark: SparkSession, path: str, changes: DataFrame, key: str
 def clear_snapshot(spark: SparkSession, path: str) -> None:
     """Empty the table in one commit; key, schema and earlier versions stay."""
     at = _current(spark, path)
-    _commit(spark, path, at.number + 1, manifest(spark, path, at).limit(0), at.key, at.schema)
+    _commit(spark, path, at.number + 1, manifest(spark, path, at).limit(0), at.key, at.schema, at.notes)
 
 
 def vacuum(spark: SparkSession, path: str, keep: int = 1, older_than: float = 86_400.0) -> int:

@@ -1,4 +1,8 @@
-"""Trending objects over an event stream."""
+"""Trending objects over an event stream.
+
+Events are counted once, in panes as long as a window's slide; windows are sums of panes. So an event is one update of one
+state row however many windows it belongs to, and an object seen rarely has one row per event in state, not one per window.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.sources.schemas import EVENTS
+from rostrum.sources.snapshots import latest, read_snapshot, upsert_snapshot, vacuum, write_snapshot
 
-WINDOWS = "window_start TIMESTAMP, window_end TIMESTAMP, object_id STRING, events BIGINT, conversions BIGINT"
+DAY = 86_400
+PANES = "pane STRING, pane_start TIMESTAMP, object_id STRING, events BIGINT, conversions BIGINT"
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -18,33 +24,53 @@ def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.parquet(path)
 
 
-def trending_windows(events: DataFrame, window: str = "7 days", slide: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Events per object and sliding window; works on a stream and on a table alike.
+def event_panes(events: DataFrame, slide: int = DAY, late: str = "1 hour") -> DataFrame:
+    """Events and conversions per object and pane of ``slide`` seconds; works on a stream and on a table alike.
 
-    On a stream, state is kept per (window, object) only until the watermark passes the window, and
-    events more than ``late`` behind are dropped.
+    On a stream, a pane is kept until the watermark passes it, and events more than ``late`` behind that belong to a
+    closed pane are dropped; ``dropped_late`` counts them.
     """
     if events.isStreaming:
         events = events.withWatermark("ts", late)
-    counted = events.groupBy(F.window("ts", window, slide), "object_id").agg(
-        F.count("*").alias("events"), F.count_if(F.col("event_type") == "conversion").alias("conversions")
-    )
-    return counted.select(
-        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "object_id", "events", "conversions"
-    )
+    counted = events.groupBy(F.window("ts", f"{slide} seconds"), "object_id").agg(
+        F.count("*").alias("events"), F.count_if(F.col("event_type") == "conversion").alias("conversions"))
+    # panes of one time lie together in the stored table, so a batch rewrites its newest files only
+    name = F.concat_ws("/", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss"), F.coalesce("object_id", F.lit("")))
+    return counted.select(name.alias("pane"), F.col("window.start").alias("pane_start"), "object_id", "events", "conversions")
+
+
+def windows_of(panes: DataFrame, window: int = 7 * DAY, slide: int = DAY) -> DataFrame:
+    """Events per object and sliding window of ``window`` seconds, from panes of ``slide`` seconds, which must divide it."""
+    if window % slide:
+        raise ValueError("a window must be a whole number of slides")
+    back = F.explode(F.sequence(F.lit(0), F.lit(window // slide - 1)))
+    spread = panes.withColumn("back", back).withColumn("window_start", F.timestamp_seconds(F.unix_timestamp("pane_start") - F.col("back") * slide))
+    counted = spread.groupBy("window_start", "object_id").agg(F.sum("events").alias("events"), F.sum("conversions").alias("conversions"))
+    end = F.timestamp_seconds(F.unix_timestamp("window_start") + window)
+    return counted.select("window_start", end.alias("window_end"), "object_id", "events", "conversions")
 
 
-def write_trending(events: DataFrame, path: str, checkpoint: str):
-    """Write what each batch changed, one folder per batch, which a replayed batch overwrites.
+def trending_windows(events: DataFrame, window: int = 7 * DAY, slide: int = DAY) -> DataFrame:
+    """Events per object and sliding window of a table of events."""
+    return windows_of(event_panes(events, slide), window, slide)
 
-    All windows are there after every run, open ones with their counts so far; ``read_trending`` gives the
-    present counts. Processes what is there and stops.
+
+def write_trending(events: DataFrame, path: str, checkpoint: str, slide: int = DAY, late: str = "1 hour"):
+    """Stream panes into a snapshot table: what a batch changed replaces the panes' former counts, in one commit.
+
+    A replayed batch gives the same table. All panes are there after every run, open ones with their counts so far;
+    files of former versions are removed after a day. Processes what is there and stops.
     """
+    spark = events.sparkSession
+    if latest(spark, path) is None:
+        write_snapshot(spark.createDataFrame([], PANES), path, "pane")
+
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        upsert_snapshot(batch.sparkSession, path, batch, "pane")
+        vacuum(batch.sparkSession, path, keep=2)
 
     return (
-        trending_windows(events)
+        event_panes(events, slide, late)
         .writeStream.outputMode("update")
         .foreachBatch(put)
         .option("checkpointLocation", checkpoint)
@@ -53,7 +79,11 @@ def write_trending(events: DataFrame, path: str, checkpoint: str):
     )
 
 
-def read_trending(spark: SparkSession, path: str) -> DataFrame:
-    """The latest counts per window and object; counts only grow, so the latest are the largest."""
-    rows = spark.read.schema(f"{WINDOWS}, batch BIGINT").parquet(path)
-    return rows.groupBy("window_start", "window_end", "object_id").agg(F.max("events").alias("events"), F.max("conversions").alias("conversions"))
+def dropped_late(query) -> int:
+    """Events of a run that came too late for their pane."""
+    return sum(int(o["numRowsDroppedByWatermark"]) for p in query.recentProgress for o in p["stateOperators"])
+
+
+def read_trending(spark: SparkSession, path: str, window: int = 7 * DAY, slide: int = DAY) -> DataFrame:
+    """The present counts per window and object."""
+    return windows_of(read_snapshot(spark, path), window, slide)

@@ -210,6 +210,53 @@ def test_stream_equals_batch(spark):
     assert {tuple(r) for r in trending.read_trending(spark, sink).collect()} == {tuple(r) for r in trending.trending_windows(rows).collect()}
 
 
+def test_state_holds_panes_and_late_events_are_counted(spark):
+    source, sink, checkpoint = new_path(spark, "ev"), new_path(spark, "tr"), new_path(spark, "cp")
+    rows = spark.range(300).selectExpr("id AS event_id", "timestamp_seconds(1700000000 + id * 7200) AS ts", "id % 5 AS user_token", "CAST(id % 100 AS STRING) AS object_id", "IF(id % 2 = 0, 'view', 'conversion') AS event_type")
+    late = rows.filter("event_id = 0").withColumn("event_id", F.lit(999).cast("bigint"))
+    dropped, state = 0, 0
+    for part in (rows, late):
+        part.coalesce(1).write.mode("append").parquet(source)
+        query = trending.write_trending(trending.event_stream(spark, source), sink, checkpoint)
+        query.awaitTermination()
+        dropped += trending.dropped_late(query)
+        state = max([state, *(int(o["numRowsTotal"]) for p in query.recentProgress for o in p["stateOperators"])])
+    got = {tuple(r) for r in trending.read_trending(spark, sink).collect()}
+    sliding = rows.groupBy(F.window("ts", "7 days", "1 day"), "object_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "conversion").alias("c"))
+    want = {(r.window.start, r.window.end, r.object_id, r.n, r.c) for r in sliding.collect()}
+    assert got == want and dropped == 1
+    assert 0 < 6 * state < len(want)  # one row a pane, not one a window
+
+
+def test_compacted_outcomes_equal_the_fold(spark):
+    """20 batches of shuffled, doubled outcomes: the same state as one fold, a short log, and what is too late kept apart."""
+    from rostrum.sources.schemas import OUTCOMES, URL_STORE
+
+    rng = random.Random(3)
+    row = ("s", None, None, False, False, None, 0, False, None, False, None, None, 1.0)
+    store = spark.createDataFrame([(f"u{i}", *row) for i in range(6)], URL_STORE)
+    outcomes = [
+        (f"u{rng.randrange(7)}" + rng.choice(["", "/"]), rng.random() < 0.3, 100.0 * t + rng.randrange(90), rng.choice([None, "", "http"]), rng.random() < 0.5, rng.choice([None, 0, 503]), rng.choice([None, "timeout", "503", "404"]), rng.random() < 0.6)
+        for t in range(20) for _ in range(3)]
+    doubled = outcomes + rng.sample(outcomes, 20)
+    doubled.sort(key=lambda o: o[2] + rng.uniform(-150, 150))  # out of order by less than the log waits
+    source, path, checkpoint = new_path(spark, "out"), new_path(spark, "store"), new_path(spark, "cp")
+    crawl.create_store(spark, path, store)
+    longest = 0
+    for k in range(0, len(doubled), 4):
+        spark.createDataFrame(doubled[k : k + 4], OUTCOMES).coalesce(1).write.mode("append").parquet(source)
+        crawl.run_outcomes(spark, source, path, checkpoint, wait=400.0).awaitTermination()
+        longest = max(longest, crawl.logged_outcomes(spark, path).count())
+    want = {tuple(r) for r in state.fold_outcomes(store, spark.createDataFrame(outcomes, OUTCOMES)).collect()}
+    assert {tuple(r) for r in crawl.read_store(spark, path).collect()} == want
+    assert longest <= 30 < len(doubled) and crawl.read_late(spark, path).count() == 0
+    assert len(crawl.Files(spark, crawl.outcome_log(path)).names("")) < 15
+    # a second stream over the same files: what the table holds is not counted again
+    crawl.run_outcomes(spark, source, path, new_path(spark, "cp"), wait=400.0).awaitTermination()
+    assert {tuple(r) for r in crawl.read_store(spark, path).collect()} == want
+    assert 0 < crawl.read_late(spark, path).count() < len(doubled)
+
+
 def test_blank_and_missing_pages_get_outcomes(spark):
     from rostrum.plans import jobs
     from rostrum.sources.schemas import URL_STORE
