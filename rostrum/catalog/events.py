@@ -225,6 +225,16 @@ def _(t):
     return R.related_items(talks(t), "yt_1").withColumn("score", F.round("score", 6))
 
 
+@register("related_calls", "RC-4", oracle="""
+    WITH c AS (SELECT object_id, topic_a, topic_b FROM {v_cfp}),
+    p AS (SELECT a.object_id, b.object_id AS related, CASE WHEN a.topic_a = b.topic_a AND a.topic_b = b.topic_b THEN 1e0 ELSE 1e0 / 3 END AS score
+          FROM c a JOIN c b ON a.object_id <> b.object_id AND (a.topic_a = b.topic_a OR a.topic_b = b.topic_b))
+    SELECT object_id, related, ROUND(score, 6) AS score, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY object_id ORDER BY score DESC, related) AS rank FROM p) WHERE rank <= 8""")
+def _(t):
+    out = R.related_for_all(cfps(t), 8)
+    return out.select("object_id", "related", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @register("event_log", "RC-5", oracle="""
     SELECT event_id, CASE k WHEN 0 THEN 'Carousel Viewed: ' || CASE WHEN event_id % 2 = 0 THEN 'viral' ELSE 'hot' END WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'Talk Clicked' ELSE 'CFP Clicked' END
              ELSE CASE WHEN event_id % 2 = 0 THEN 'Talk Video Opened' ELSE 'CFP Submission Started' END END AS event_name,

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -211,31 +212,51 @@ def fuzzy_match_people(left: DataFrame, right: DataFrame, threshold: float = 0.6
 
 # ---- mentions -----------------------------------------------------------------------------------
 GRAM = 6
-
-
-def mention_join(conferences: DataFrame, posts: DataFrame) -> DataFrame:
-    """Posts about each conference: the title holds one of its name variants and is not noise.
-
-    A substring match is turned into an equi-join: every variant is represented by one of its grams
-    (``GRAM`` letters, the whole variant when shorter) and every title by all its grams of the
-    lengths in use. The gram of a variant is the one that is rarest among the conferences. Sharing it
-    is necessary for containment, so nothing is lost, and the residual check removes the rest.
+# letters of name variants that one automaton may hold (about 100 bytes each in a task), and passes over the titles at most
+AUTOMATON_LETTERS, AUTOMATON_PASSES = 500_000, 8
+
+
+def _scanned(variants: DataFrame, posts: DataFrame, passes: int) -> DataFrame:
+    """(variant, post_id) of every variant in a title, by one Aho-Corasick automaton a pass; only hits leave the scan."""
+    spark, found = posts.sparkSession, None
+    for number in range(passes):
+        part = variants if passes == 1 else variants.filter(F.pmod(F.xxhash64("variant"), F.lit(passes)) == number)
+        shared = spark.sparkContext.broadcast([r["variant"] for r in part.collect()])  # a checked number of letters
+
+        def scan(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for word in shared.value:
+                automaton.add_word(word, word)
+            automaton.make_automaton()
+            for batch in batches:
+                rows, hits = [], []
+                for row, title in enumerate(batch.column(1).to_pylist()) if len(automaton) else ():
+                    own = {word for _, word in automaton.iter(title)}
+                    rows += [row] * len(own)
+                    hits += own
+                yield pa.RecordBatch.from_arrays([pa.array(hits, pa.string()), batch.column(0).take(pa.array(rows, pa.int64()))], ["variant", "post_id"])
+
+        kind = posts.schema["post_id"].dataType.simpleString()
+        some = posts.select("post_id", F.lower("title").alias("title")).mapInArrow(scan, f"variant string, post_id {kind}")
+        found = some if found is None else found.union(some)
+    return found
+
+
+def _by_grams(variants: DataFrame, posts: DataFrame) -> DataFrame:
+    """The same through an equi-join, for name sets too large for automata.
+
+    Every variant is represented by one of its grams (``GRAM`` letters, the whole variant when shorter) and every title
+    by all its grams of the lengths in use. The gram of a variant is the one that is rarest among the variants. Sharing
+    it is necessary for containment, so nothing is lost, and the residual check removes the rest.
     """
-    confs = conferences.select("conf_id", "conf_name").filter(clean_name(F.col("conf_name")) != "")
-    variants = confs.select(
-        "conf_id", "conf_name", F.explode(F.array_distinct(name_variants(F.col("conf_name")))).alias("variant")
-    )
     length = F.least(F.length("variant"), F.lit(GRAM))
     grams = variants.withColumn("place", F.explode(F.sequence(F.lit(1), F.length("variant") - length + 1)))
     grams = grams.withColumn("gram", F.substring(F.col("variant"), F.col("place"), length)).drop("place")
     weight = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
-    anchors = (
-        grams.join(weight, "gram")
-        .groupBy("conf_id", "conf_name", "variant")
-        .agg(F.min(F.struct("uses", "gram"))["gram"].alias("gram"))
-    )
+    anchors = grams.join(weight, "gram").groupBy("variant").agg(F.min(F.struct("uses", "gram"))["gram"].alias("gram"))
     lowered = F.lower("title")
-    noise_free = posts.filter(F.col("title").isNotNull())
     # at most GRAM different numbers, whatever the data size
     lengths = [row.n for row in variants.select(length.alias("n")).distinct().collect()]
     cut = F.transform(
@@ -245,10 +266,27 @@ def mention_join(conferences: DataFrame, posts: DataFrame) -> DataFrame:
             lambda at: F.substring(lowered, at, n),
         ),
     )
-    spread = noise_free.select("post_id", "title", F.explode(F.array_distinct(F.flatten(cut))).alias("gram"))
-    hits = anchors.join(spread, "gram").filter(F.contains(F.lower("title"), F.col("variant")))
-    hits = hits.select("conf_id", "conf_name", "post_id").distinct()
-    found = hits.join(posts, "post_id")
+    spread = posts.select("post_id", "title", F.explode(F.array_distinct(F.flatten(cut))).alias("gram"))
+    return anchors.join(spread, "gram").filter(F.contains(lowered, F.col("variant"))).select("variant", "post_id")
+
+
+def mention_join(conferences: DataFrame, posts: DataFrame) -> DataFrame:
+    """Posts about each conference: the title holds one of its name variants and is not noise.
+
+    Every title is read once for all distinct variants by an Aho-Corasick automaton, in a few passes if the variants
+    have more letters than one may hold; beyond that they meet in an equi-join on groups of letters.
+    """
+    confs = conferences.select("conf_id", "conf_name").filter(clean_name(F.col("conf_name")) != "")
+    variants = cut_lineage(confs.select(
+        "conf_id", "conf_name", F.explode(F.array_distinct(name_variants(F.col("conf_name")))).alias("variant")))
+    distinct = variants.select("variant").filter("variant <> ''").distinct()
+    letters = distinct.agg(F.sum(F.length("variant"))).first()[0] or 0
+    passes = max(1, -(-letters // AUTOMATON_LETTERS))
+    titled = posts.filter(F.col("title").isNotNull())
+    hits = _scanned(distinct, titled, passes) if passes <= AUTOMATON_PASSES else _by_grams(distinct, titled)
+    # posts are dealt by the hits they have: a variant that very many titles hold is left to the AQE skew join
+    named = hits.join(variants, "variant").select("conf_id", "conf_name", "post_id").distinct()
+    found = named.join(posts, "post_id")
     return found.filter(~is_noise_title(F.col("title"), F.col("conf_name")))
 
 

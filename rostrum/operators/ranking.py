@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.operators.windows import RANKINGS, order_of
-from rostrum.plans.storage import staged
-from rostrum.plans.skew import top_k
+from rostrum.plans.skew import top_k, top_k_per_key
+from rostrum.plans.storage import cut_lineage, staged
 
 
 def _has(text: Column, part: Column | str) -> Column:
@@ -257,6 +257,59 @@ def related_items(items: DataFrame, object_id, k: int = 10) -> DataFrame:
     return top_k(scored.select("object_id", score.alias("score")), [F.col("score").desc(), F.col("object_id")], k)
 
 
+# least similarities of the rounds; in the last one any common topic will do
+RELATED_ROUNDS = (0.8, 0.5, 0.3, 0.0)
+
+
+def _topic_prefixes(sets: DataFrame, least: float, side: str) -> DataFrame:
+    """The topics by which a set can meet sets of similarity ``least`` or more: its rarest ones, as many as these leave room for."""
+    kept = F.size("topics") - F.ceil(F.round(F.size("topics") * least, 9)).cast("int") + 1 if least else F.size("topics")
+    first = F.explode(F.slice("topics", F.lit(1), F.least(kept, F.size("topics"))))
+    return sets.select(F.col("face").alias(side), F.col("topics").alias(f"topics_{side}"), first.alias("topic"))
+
+
+def related_for_all(items: DataFrame, k: int = 10, key: str = "object_id", topics: str = "topics") -> DataFrame:
+    """For every item the ``k`` others most alike by Jaccard similarity of their topics, ties to the smaller key: key, related, score, rank.
+
+    Items with the same topics are one face, which carries its ``k + 1`` smallest keys; similarities are those of
+    faces. Faces meet on their rarest topics in rounds of falling similarity (prefix and length filter), and a face
+    leaves once ``k`` other items are at least as similar as the round asks, so common topics bring only those
+    together that have too few better partners. Without a common topic there is no row; null and repeated topics
+    don't count, null keys are left out.
+    """
+    clean = items.select(F.col(key).alias("key"), F.array_distinct(F.array_compact(topics)).alias("own")).filter(F.col("key").isNotNull() & (F.size("own") > 0))
+    clean = cut_lineage(clean.withColumn("own", F.sort_array("own")))
+    counts = clean.groupBy("own").agg(F.count(F.lit(1)).alias("n"))
+    faces = counts.withColumn("face", F.monotonically_increasing_id())
+    faces = cut_lineage(faces)
+    often = faces.select(F.explode("own").alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("often"))
+    spelt = faces.select("face", F.explode("own").alias("topic")).join(often, "topic")
+    sets = spelt.groupBy("face").agg(F.transform(F.sort_array(F.collect_list(F.struct("often", "topic"))), lambda e: e["topic"]).alias("topics"))  # bounded by an item's topics
+    sets = cut_lineage(sets)
+    members = faces.select("face", "n")
+    waiting, found = sets, None
+    for least in RELATED_ROUNDS:
+        met = _topic_prefixes(waiting, least, "a").join(_topic_prefixes(sets, least, "b"), "topic")
+        if least:
+            met = met.filter((F.size("topics_b") >= F.size("topics_a") * least - 1e-9) & (F.size("topics_a") >= F.size("topics_b") * least - 1e-9))
+        common = F.size(F.array_intersect("topics_a", "topics_b"))
+        pairs = met.select("a", "b", (common / (F.size("topics_a") + F.size("topics_b") - common)).alias("score")).filter(F.col("score") >= least - 1e-9).distinct()
+        pairs = cut_lineage(pairs)
+        enough = pairs.join(members.withColumnRenamed("face", "b"), "b").groupBy(F.col("a").alias("face")).agg(F.sum("n").alias("reached")).filter(F.col("reached") > k)
+        done = cut_lineage(waiting.select("face").join(enough, "face", "left_semi" if least else "left").select("face"))
+        some = pairs.join(done.withColumnRenamed("face", "a"), "a", "left_semi")
+        found = some if found is None else found.union(some)
+        waiting = cut_lineage(waiting.join(done, "face", "left_anti"))
+        if waiting.isEmpty():
+            break
+    first = top_k_per_key(clean.join(faces.select("own", "face"), "own").select("face", "key"), ["face"], [F.col("key")], k + 1)
+    lists = found.join(first.select(F.col("face").alias("b"), F.col("key").alias("related")), "b")
+    lists = top_k_per_key(lists, ["a"], [F.col("score").desc(), F.col("related")], k + 1).select(F.col("a").alias("face"), "related", "score")
+    own = clean.join(faces.select("own", "face"), "own").select("key", "face")
+    others = own.join(lists, "face").filter(F.col("related") != F.col("key"))
+    return top_k_per_key(others, ["key"], [F.col("score").desc(), F.col("related")], k).select(F.col("key").alias(key), "related", "score", "rank")
+
+
 EVENT_NAMES = {
     ("click", "cfp"): "CFP Clicked", ("click", "talk"): "Talk Clicked",
     ("conversion", "cfp"): "CFP Submission Started", ("conversion", "talk"): "Talk Video Opened",

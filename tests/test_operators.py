@@ -48,7 +48,10 @@ def test_dedup_chain(spark):
     assert sorted(r.object_id for r in dedup.dedup_cfps(df, ["seq"]).collect()) == [1, 3]
 
 
-def test_mentions_equal_brute_force(spark):
+@pytest.mark.parametrize(("letters", "passes"), [(500_000, 8), (9, 99), (9, 1)])  # one automaton, several, groups of letters
+def test_mentions_equal_brute_force(spark, monkeypatch, letters, passes):
+    monkeypatch.setattr(joins, "AUTOMATON_LETTERS", letters)
+    monkeypatch.setattr(joins, "AUTOMATON_PASSES", passes)
     from rostrum.operators.filters import is_noise_title
 
     confs = spark.createDataFrame([(1, "Go"), (2, "Rust Days 2024"), (3, "x"), (4, "PyCon (EU)"), (5, "")], "conf_id INT, conf_name STRING")
@@ -59,6 +62,25 @@ def test_mentions_equal_brute_force(spark):
     assert got == {(r.conf_id, r.post_id) for r in every.collect()} and len(got) >= 6
 
 
+def test_related_items_of_all_equal_one_by_one(spark):
+    rng = random.Random(12)
+    names = [f"t{i}" for i in range(12)]
+    rows = [(i, [rng.choice(names[: rng.choice([2, 12])]) for _ in range(rng.randint(0, 5))]) for i in range(150)] + [(200, None), (201, [None, "t1"]), (None, ["t1"]), (202, ["alone"])]
+    items = spark.createDataFrame(rows, "object_id INT, topics ARRAY<STRING>")
+    sets = {i: {x for x in t or [] if x} for i, t in rows if i is not None}
+    for k in (1, 6, 500):
+        out = ranking.related_for_all(items, k)
+        got = {(r.object_id, r["rank"], r.related, round(r.score, 9)) for r in out.collect()}
+        want = set()
+        for i, a in sets.items():
+            alike = sorted((-round(len(a & b) / len(a | b), 9), j) for j, b in sets.items() if j != i and a & b)
+            want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(alike[:k])}
+        assert got == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    assert ranking.related_for_all(items.limit(0)).count() == 0
+
+
 def similarity(left, right):
     """Score of two names by the rules, one pair at a time."""
     plain = lambda n: "".join(c for c in unicodedata.normalize("NFKD", n.lower().strip()) if unicodedata.category(c) != "Mn")
