@@ -227,10 +227,11 @@ class Pseudonyms:
             kinds += [("iban", IBAN, self.iban), ("ipv4", IPV4, self.ipv4), ("ipv6", IPV6, self.ipv6), *[("card", form, self.card) for form in CARDS], ("date", DATE, self.date),
                       ("ssn", SSN, self.ssn), ("phone", PHONE, self.phone), ("phone", ABROAD, self.abroad)]
         found: list[tuple[int, int, str, str]] = []
+        taken = bytearray()  # one mark per character, from the first find on
         for kind, pattern, make in kinds:
             for m in pattern.finditer(text):
                 start, end = m.span()
-                if any(a < end and start < b for a, b, _, _ in found):
+                if taken.find(1, start, end) >= 0:
                     continue
                 name = (kind, m[0])
                 if name not in self.known:
@@ -239,6 +240,8 @@ class Pseudonyms:
                     self.known[name] = make(m)
                 if (new := self.known[name]) is not None:
                     found.append((start, end, kind, new))
+                    taken = taken or bytearray(len(text))
+                    taken[start:end] = b"\x01" * (end - start)
         found.sort()
         out, at = [], 0
         for start, end, _, new in found:

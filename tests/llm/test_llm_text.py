@@ -1,6 +1,7 @@
 """Language, toxicity, personal data, tokens and packing against brute force and round trips."""
 
 import random
+import time
 import zlib
 from functools import cache
 
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from rostrum.llm import bpe, language_id, packing, pii, toxicity
+from rostrum.llm import bpe, language_id, near_duplicates, packing, pii, toxicity
 from rostrum.llm.tools import words
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -278,3 +279,51 @@ def test_letters_of_other_scripts_are_replaced():
 
 def test_words():
     assert words(None) == [] and words("A bÉ\x0bC\xa0d") == ["a", "bÉ", "c\xa0d"]
+
+
+def test_many_finds_in_one_text():
+    own = pii.Pseudonyms(b"k")
+    text = " ".join(f"user{i}@mail{i % 7}.example on 10.{i // 250 % 250}.{i % 250}.7" for i in range(50_000))
+    start = time.process_time()
+    new, finds = own.replaced(text)
+    assert time.process_time() - start < 30 and len(finds) == 100_000
+    # the places are those of the old text, in order and apart
+    assert all(a[1] + a[2] <= b[1] for a, b in zip(finds, finds[1:], strict=False))
+    parts, at = [], 0
+    for _, begin, length, pseudonym in finds:
+        parts += [text[at:begin], pseudonym]
+        at = begin + length
+    assert "".join([*parts, text[at:]]) == new
+
+
+def test_long_texts_without_blanks_are_not_remembered():
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abc中é1") for _ in range(3000)) for _ in range(30)] + ["short words", ""]
+    tokenizer = packing.TaskTokenizer(WORDS)
+    assert [ids_of(o) for o in tokenizer.ids(texts)] == [e.ids for e in library(WORDS).encode_batch(texts, add_special_tokens=False)]
+    assert all(len(c) <= packing.REMEMBERED for c in tokenizer.known) and tokenizer.used < 2_000_000
+    shingler = near_duplicates.Shingler()
+    once = [shingler.shingles(t + " " + t[:70] + " a b c d") for t in texts]
+    again = [near_duplicates.Shingler().shingles(t + " " + t[:70] + " a b c d") for t in texts]
+    assert all((a == b).all() for a, b in zip(once, again, strict=True)) and all(len(w) <= near_duplicates.REMEMBERED for w in shingler.known)
+
+
+def test_doubled_letters_are_read_as_by_the_lattice():
+    rng = random.Random(13)
+    counts = {"".join(rng.choice("abcdeimnorst") for _ in range(rng.randint(2, 9))): rng.randint(1, 50) for _ in range(400)}
+    restorer, plain = toxicity.Restorer(counts), toxicity.Restorer(counts)
+    for word in list(counts):
+        spelt = "".join(c * rng.choice([1, 1, 2, 3, 5]) for c in word)
+        if spelt not in counts and toxicity.DOUBLED.search(spelt):
+            assert restorer.undoubled(spelt) == plain.restored(spelt)
+    assert restorer.undoubled("a" * 40 + "bb" * 9) == plain.restored("a" * 40 + "bb" * 9)
+
+
+def test_letters_set_apart_are_found_wherever_they_stand():
+    counts = {w: 5 for w in "you are a moron today idiot and we go".split()}
+    restorer = toxicity.Restorer(counts)
+    for text in ("you m o r o n", "a m o r o n today", "m.o.r.o.n", "x.m o r o n", "and - i - d - i - o - t -", "i_d_i_o_t", "we go i  d  i  o  t"):
+        found = restorer.all_words(text)
+        for m in toxicity.APART.finditer(text):
+            assert restorer.restored(m.group(), "apart") <= found, text
+        assert {"moron", "idiot"} & found, text
