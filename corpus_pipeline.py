@@ -15,25 +15,33 @@ ORACLE_SQL = None
 BROADCAST_IDS = 300_000
 
 
+def _set_aside(docs: DataFrame, names: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with other names for columns called like an operator's results, and the way back."""
+    moved = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c.lower() in names}
+    return docs.withColumnsRenamed(moved), {new: old for old, new in moved.items()}
+
+
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; empty, letterless and garbled texts go."""
     prepared(spark)
-    models, calibration = language_id.language_models(docs)
-    out = language_id.identify_languages(docs, models, calibration)
-    return out.filter(~F.col("rejected")).select(*docs.columns)
+    models, calibration = language_id.language_models(docs.select("doc_id", "text", "lang"))
+    own, back = _set_aside(docs, {"lang_pred", "score", "rejected"})
+    out = language_id.identify_languages(own, models, calibration)
+    return out.filter(~F.col("rejected")).select(*own.columns).withColumnsRenamed(back)
 
 
 def civil_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
     prepared(spark)
-    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model).filter("predicted = 0").select(*docs.columns)
+    model = toxicity.fit_toxicity(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    own, back = _set_aside(docs, {"score", "predicted"})
+    return toxicity.score_toxicity(own, model).filter("predicted = 0").select(*own.columns).withColumnsRenamed(back)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of smallest id; of rows with one id the smallest row."""
     prepared(spark)
-    groups = stored(near_duplicates.near_duplicates(docs).select("doc_id", "kept"), "groups")
+    groups = stored(near_duplicates.near_duplicates(docs.select("doc_id", "text")).select("doc_id", "kept"), "groups")
     gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
     again = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -49,11 +57,12 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def pseudonymous_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced; n_chars follows where the text changed."""
     prepared(spark)
-    out = pii.pseudonymise(docs, pii.QUERY_KEY)
+    own, back = _set_aside(docs, {"pii"})
+    out = pii.pseudonymise(own, pii.QUERY_KEY)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.size("pii") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*own.columns).withColumnsRenamed(back)
 
 
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

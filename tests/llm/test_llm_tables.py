@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rostrum.llm import language_model, near_duplicates, urls, vectors
@@ -215,3 +216,27 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.run(spark, SMALL)
     assert packed.groupBy("sequence_id").agg({"length": "sum"}).filter("`sum(length)` > 2048").count() == 0
     assert corpus_pipeline.packed_documents(spark, docs.limit(0), SMALL).count() == 0
+
+
+CLASHING = ["score", "predicted", "rejected", "lang_pred", "pii", "id", "place", "named", "held", "kept", "rep", "cls", "count", "row", "toxic", "part", "piece", "length"]
+
+
+def test_stages_keep_columns_of_clashing_names(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for n, name in enumerate(CLASHING):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{n}:"), "doc_id"))
+    docs = docs.union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).union(docs.limit(1).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(10**9).cast("long")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns, name
+        rows = out.filter("doc_id is not null and doc_id < 1000000").collect()
+        assert rows and all(r[c] == f"{n}:{r.doc_id}" for r in rows for n, c in enumerate(CLASHING)), name
+    packed = corpus_pipeline.packed_documents(spark, docs, SMALL)
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns), name
