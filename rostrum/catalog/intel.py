@@ -255,7 +255,7 @@ def split_bundles(t: Tables, repositories: DataFrame) -> DataFrame:
     )
     out = None
     for source, rows in I.split_intel_records(bundles).items():
-        part = rows.select(F.lit(source).alias("source"), "conf_id", "total", F.size(I.SOURCE_CAPS[source][0]).cast("bigint").alias("children"))
+        part = rows.select(F.lit(source).alias("source"), "conf_id", "total", F.size(I.SOURCE_CHILDREN[source]).cast("bigint").alias("children"))
         out = part if out is None else out.unionByName(part)
     return out
 

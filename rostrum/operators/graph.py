@@ -122,8 +122,8 @@ def bfs_discover(seeds: DataFrame, talks: DataFrame, max_speakers: int = 50, max
 
 
 def _parts(parts: list[DataFrame], most: int = 6) -> list[DataFrame]:
-    """Merge the parts into one checkpointed table once there are more than ``most``."""
-    return [cut_lineage(reduce(DataFrame.unionByName, parts).coalesce(64))] if len(parts) > most else parts
+    """Merge the parts into one checkpointed table once there are more than ``most``, in as many tasks as its size asks for."""
+    return [cut_lineage(reduce(DataFrame.unionByName, parts).hint("rebalance"))] if len(parts) > most else parts
 
 
 def _discovered(speakers: DataFrame, talks: DataFrame) -> dict[str, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum import lookups as L
+from rostrum.functions.cuts import RECORD, Cuts, cut_list, cut_text
 from rostrum.functions.text import contains_any
 from rostrum.operators.aggregates import counter
 from rostrum.operators.filters import drop_noise_subreddits, is_noise_title
@@ -36,7 +37,7 @@ def _all(base: DataFrame, *parts: DataFrame) -> DataFrame:
     return base.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in arrays})
 
 
-def hn_intel(posts: DataFrame, comments: DataFrame | None = None) -> DataFrame:
+def hn_intel(posts: DataFrame, comments: DataFrame | None = None, cuts: Cuts = RECORD) -> DataFrame:
     """Per conference: stories, points, comments, title words and the comments of its first five stories.
 
     ``posts``: ``conf_id, conf_name, post_id, title, points, num_comments``; ``comments``: ``post_id,
@@ -56,20 +57,20 @@ def hn_intel(posts: DataFrame, comments: DataFrame | None = None) -> DataFrame:
     ]
     if comments is not None:
         first = top_k_per_key(about.select(KEY, "post_id"), [KEY], [F.col("post_id")], 5).drop("rank")
-        text = F.substring(F.regexp_replace("text", "<[^>]+>", ""), 1, 500)
+        text = cut_text(F.regexp_replace("text", "<[^>]+>", ""), cuts.comment)
         said = first.join(comments.filter(F.length("text") > 50), "post_id").select(KEY, "post_id", "comment_id", text.alias("t"))
         parts.append(top_k_array(said, [KEY], [F.col("post_id"), F.col("comment_id")], 20, F.col("t"), "hn_comments"))
     out = _all(totals, *parts)
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("hn_kept", "hn_points", "hn_num_comments")})
 
 
-def github_intel(repos: DataFrame) -> DataFrame:
+def github_intel(repos: DataFrame, cuts: Cuts = RECORD) -> DataFrame:
     """Per conference: repositories, stars, languages, topics and short descriptions."""
     repos = cut_lineage(repos.select(KEY, "post_id", "stars", "language", "topics", "description"))
     totals = repos.groupBy(KEY).agg(
         F.count("*").alias("github_repos"), F.sum(F.coalesce("stars", F.lit(0))).alias("github_stars")
     )
-    described = F.when(F.col("description") != "", F.substring("description", 1, 300))
+    described = F.when(F.col("description") != "", cut_text("description", cuts.repository))
     return _all(
         totals,
         _top_values(repos.filter("language <> ''"), "language", 10, "github_languages"),
@@ -78,10 +79,10 @@ def github_intel(repos: DataFrame) -> DataFrame:
     )
 
 
-def reddit_intel(posts: DataFrame) -> DataFrame:
+def reddit_intel(posts: DataFrame, cuts: Cuts = RECORD) -> DataFrame:
     """Per conference: posts outside noise groups, subreddits, flairs, titles and long self texts."""
     kept = cut_lineage(drop_noise_subreddits(posts).select(KEY, "post_id", "subreddit", "flair", "title", "selftext"))
-    long_text = F.when(F.length("selftext") > 50, F.substring("selftext", 1, 500))
+    long_text = F.when(F.length("selftext") > 50, cut_text("selftext", cuts.comment))
     return _all(
         kept.groupBy(KEY).agg(F.count("*").alias("reddit_posts")),
         _top_values(kept, "subreddit", 10, "reddit_subreddits"),
@@ -116,7 +117,7 @@ def popularity_score() -> Column:
     return F.least(F.lit(100.0), F.log1p(raw.cast("double")) * 10)
 
 
-def compact_intel(intel: DataFrame) -> DataFrame:
+def compact_intel(intel: DataFrame, cuts: Cuts = RECORD) -> DataFrame:
     """Four source scores, the combined popularity and lists of five."""
     hn = _number("hn_points") + _number("hn_stories") * 10
     github = _number("github_stars") + _number("github_repos") * 5
@@ -127,7 +128,7 @@ def compact_intel(intel: DataFrame) -> DataFrame:
         KEY, "hn_stories", "hn_points", "github_repos", "github_stars", "reddit_posts", "devto_articles",
         hn.alias("hn_score"), github.alias("github_score"), reddit.alias("reddit_score"), devto.alias("devto_score"),
         F.round(F.least(F.lit(100.0), F.log1p(raw.cast("double")) * 8), 1).alias("popularity_score"),
-        *[F.slice(c, 1, 5).alias(c) for c in lists],
+        *[cut_list(c, cuts.compact).alias(c) for c in lists],
     )
 
 
@@ -145,25 +146,25 @@ def intel_urls(urls: DataFrame, k: int = 50) -> DataFrame:
 
 
 # ---- per-source records -------------------------------------------------------------------------
-SOURCE_CAPS = {"hn": ("stories", 50), "github": ("repos", 30), "reddit": ("posts", 30), "devto": ("articles", 30)}
+SOURCE_CHILDREN = {"hn": "stories", "github": "repos", "reddit": "posts", "devto": "articles"}
 
 
-def split_intel_records(bundles: DataFrame) -> dict[str, DataFrame]:
+def split_intel_records(bundles: DataFrame, cuts: Cuts = RECORD) -> dict[str, DataFrame]:
     """One table per source from nested bundles; a source with no children and no total is skipped.
 
     ``bundles``: ``conf_id, conf_name`` and per source a struct with its child array, ``total`` and lists.
     """
     tables = {}
-    for source, (children, cap) in SOURCE_CAPS.items():
+    for source, children in SOURCE_CHILDREN.items():
         s = lambda field, source=source: F.col(f"{source}.{field}")
-        columns = [F.slice(s(children), 1, cap).alias(children), F.coalesce(s("total"), F.lit(0)).alias("total")]
+        columns = [cut_list(s(children), getattr(cuts, children)).alias(children), F.coalesce(s("total"), F.lit(0)).alias("total")]
         if source == "hn":
             columns += [
-                F.slice(s("titles"), 1, 30).alias("titles"), F.slice(s("comments"), 1, 50).alias("comments"),
-                F.slice(s("authors"), 1, 20).alias("authors"),
+                cut_list(s("titles"), cuts.titles).alias("titles"), cut_list(s("comments"), cuts.comments).alias("comments"),
+                cut_list(s("authors"), cuts.authors).alias("authors"),
             ]
         elif source == "reddit":
-            columns.append(F.slice(s("comments"), 1, 30).alias("comments"))
+            columns.append(cut_list(s("comments"), cuts.reddit_comments).alias("comments"))
         present = (F.coalesce(F.size(s(children)), F.lit(0)) > 0) | (F.coalesce(s("total"), F.lit(0)) != 0)
         tables[source] = bundles.filter(present).select(KEY, "conf_name", *columns)
     return tables

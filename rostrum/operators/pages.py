@@ -15,11 +15,12 @@ from rostrum import lookups as L
 from rostrum.functions import dates as D
 from rostrum.functions import html as H
 from rostrum.functions.arrays import topics_from_text
+from rostrum.functions.cuts import RECORD, Cuts, cut_list, cut_text
 from rostrum.functions.places import near_location
 from rostrum.functions.text import blank_to_null, clean_search_text, contains_any, extract, matches, or_else, strip
 from rostrum.operators.dedup import extract_record, merge_extracts
 from rostrum.operators.projections import extracted_to_cfp
-from rostrum.plans.storage import spread, staged
+from rostrum.plans.storage import cut_lineage, spread, staged
 
 
 def _strings() -> Column:
@@ -45,7 +46,7 @@ def _is_list(text: Column) -> Column:
     return F.ltrim(text).startswith("[")
 
 
-def jsonld_events(pages: DataFrame, out: str = "jsonld") -> DataFrame:
+def jsonld_events(pages: DataFrame, out: str = "jsonld", cuts: Cuts = RECORD) -> DataFrame:
     """Add the extract of the first event in the page's JSON-LD blocks, NULL when there is none."""
     none = F.array().cast(T.ArrayType(_BLOCK))
     scripts = F.regexp_extract_all("html", F.lit(_SCRIPT), F.lit(1))
@@ -74,7 +75,7 @@ def jsonld_events(pages: DataFrame, out: str = "jsonld") -> DataFrame:
         "schema.org", 0.8, name=block["name"], description=block["description"], url=block["url"],
         event_start_date=D.parse_any_date(block["startDate"]), event_end_date=D.parse_any_date(block["endDate"]),
         city=F.when(~virtual, address["addressLocality"]), country=F.when(~virtual, address["addressCountry"]),
-        location_raw=raw, is_online=online, topics=F.slice(F.coalesce(topics, _strings()), 1, 10),
+        location_raw=raw, is_online=online, topics=cut_list(F.coalesce(topics, _strings()), cuts.topics),
     )
     rows = staged(pages, __block=found)
     rows = staged(rows, __place=F.when(_is_object(where), F.from_json(where, _PLACE)))
@@ -106,10 +107,10 @@ def opengraph(pages: DataFrame, out: str = "og") -> DataFrame:
     return staged(rows, **{out: F.when(F.size("__og") > 0, record)}).drop("__og", *own)
 
 
-def meta_tags(pages: DataFrame, out: str = "meta") -> DataFrame:
+def meta_tags(pages: DataFrame, out: str = "meta", cuts: Cuts = RECORD) -> DataFrame:
     """Add the extract from title, description and keywords, NULL without title and description."""
     rows, own = _with_metas(pages)
-    topics = F.slice(F.transform(F.split(H.meta_content(F.col("__metas"), "keywords"), ","), strip), 1, 10)
+    topics = cut_list(F.transform(F.split(H.meta_content(F.col("__metas"), "keywords"), ","), strip), cuts.topics)
     record = extract_record(
         "meta", 0.3, name=H.inner_text(F.col("html"), "title"), description=H.meta_content(F.col("__metas"), "description"),
         topics=F.coalesce(topics, _strings()),
@@ -118,10 +119,10 @@ def meta_tags(pages: DataFrame, out: str = "meta") -> DataFrame:
     return staged(rows, __meta=record).withColumn(out, F.when(known, F.col("__meta"))).drop("__meta", *own)
 
 
-def structured(pages: DataFrame, out: str = "structured") -> DataFrame:
+def structured(pages: DataFrame, out: str = "structured", cuts: Cuts = RECORD) -> DataFrame:
     """Add the three structured extracts merged; repeated method names stay."""
-    rows, _ = _with_metas(jsonld_events(pages))
-    rows = meta_tags(opengraph(rows)).drop("__metas")
+    rows, _ = _with_metas(jsonld_events(pages, cuts=cuts))
+    rows = meta_tags(opengraph(rows), cuts=cuts).drop("__metas")
     return merge_extracts(rows, ["jsonld", "og", "meta"], out, distinct_methods=False).drop("jsonld", "og", "meta")
 
 
@@ -134,16 +135,16 @@ def _first_text(text: Column, patterns: list[str]) -> Column:
     return rule
 
 
-def _cut(text: Column, n: int) -> Column:
-    return strip(F.substring(text, 1, n))
+def _cut(text: Column, most: int | None) -> Column:
+    return strip(cut_text(text, most))
 
 
-def _short_tags(html: Column, words: str) -> Column:
+def _short_tags(html: Column, words: str, most: int | None) -> Column:
     tags = F.filter(H.classed_text(html, words), lambda t: (t != "") & (F.length(t) < 50))
-    return F.slice(tags, 1, 10)
+    return cut_list(tags, most)
 
 
-def platform(pages: DataFrame, out: str = "platform") -> DataFrame:
+def platform(pages: DataFrame, out: str = "platform", cuts: Cuts = RECORD) -> DataFrame:
     """Add the extract by the rules of the platform the link belongs to.
 
     NULL on other sites or without a name. Each field is a choice by site, so pages of other sites
@@ -169,9 +170,9 @@ def platform(pages: DataFrame, out: str = "platform") -> DataFrame:
     raw = {
         "__name": by_site(sessionize=h1, papercall=h1, pretalx=h1, eventbrite=first("event-title", "h1")),
         "__about": by_site(
-            sessionize=_cut(first("description|about", "div"), 500), papercall=_cut(section, 500),
-            pretalx=blank_to_null(F.substring(F.array_join(F.slice(H.paragraphs(main), 1, 2), " "), 1, 500)),
-            eventbrite=_cut(first("structured-content|description", "div"), 500),
+            sessionize=_cut(first("description|about", "div"), cuts.description), papercall=_cut(section, cuts.description),
+            pretalx=blank_to_null(cut_text(F.array_join(F.slice(H.paragraphs(main), 1, 2), " "), cuts.description)),
+            eventbrite=_cut(first("structured-content|description", "div"), cuts.description),
         ),
         "__end": by_site(**{name: _first_text(text, patterns) for name, patterns in L.PLATFORM_DEADLINES.items() if patterns}),
         "__start_day": by_site(
@@ -180,12 +181,12 @@ def platform(pages: DataFrame, out: str = "platform") -> DataFrame:
         ),
         "__end_day": by_site(sessionize=extract(text, L.SESSIONIZE_EVENT_DATES, 2)),
         "__where": by_site(
-            sessionize=_cut(_text_node_parent(html), 100), papercall=strip(extract(text, L.PAPERCALL_LOCATION)),
-            eventbrite=_cut(first("location-info|venue", any_tag), 100),
+            sessionize=_cut(_text_node_parent(html), cuts.place), papercall=strip(extract(text, L.PAPERCALL_LOCATION)),
+            eventbrite=_cut(first("location-info|venue", any_tag), cuts.place),
         ),
         "__online": site.isin("sessionize", "papercall", "pretalx") & matches(text, L.ONLINE_PATTERN),
-        "__tags": F.when(site == "sessionize", _short_tags(html, "tag|category|topic")).when(
-            site == "papercall", _short_tags(html, "tag|topic|track")
+        "__tags": F.when(site == "sessionize", _short_tags(html, "tag|category|topic", cuts.topics)).when(
+            site == "papercall", _short_tags(html, "tag|topic|track", cuts.topics)
         ).otherwise(_strings()),
     }
     lowered = F.lower("page_url")
@@ -218,7 +219,7 @@ def _text_node_parent(html: Column) -> Column:
 CHROME = ("script", "style", "nav", "footer", "header", "aside")
 
 
-def heuristics(pages: DataFrame, out: str = "heuristic") -> DataFrame:
+def heuristics(pages: DataFrame, out: str = "heuristic", cuts: Cuts = RECORD) -> DataFrame:
     """Add the extract by wording alone: call phrases, dates and their context, headings, paragraphs."""
     body, text = F.col("__body"), F.col("__text")
     rows = staged(pages, __body=H.drop_elements(F.col("html"), CHROME))
@@ -249,8 +250,8 @@ def heuristics(pages: DataFrame, out: str = "heuristic") -> DataFrame:
     base = F.when(contains_any(F.lower(text), L.CFP_PHRASES), F.lit(0.4)).otherwise(F.lit(0.1))
     sure = F.least(base + bonus(near.isNotNull()) + bonus(deadline.isNotNull()), F.lit(1.0))
     record = extract_record(
-        "heuristics", F.round(sure, 6), name=F.substring(name, 1, 200),
-        description=F.substring(F.get(paragraphs, F.lit(0)), 1, 500), cfp_end_date=deadline,
+        "heuristics", F.round(sure, 6), name=cut_text(name, cuts.name),
+        description=cut_text(F.get(paragraphs, F.lit(0)), cuts.description), cfp_end_date=deadline,
         event_start_date=event_date("event_start"), event_end_date=event_date("event_end"),
         location_raw=F.col("__where.location"), is_online=F.col("__where.is_online"), topics=topics_from_text(text),
         full_text=clean_search_text(text),
@@ -259,24 +260,25 @@ def heuristics(pages: DataFrame, out: str = "heuristic") -> DataFrame:
 
 
 # ---- the whole extraction -----------------------------------------------------------------------
-def extract_pages(pages: DataFrame) -> DataFrame:
+def extract_pages(pages: DataFrame, cuts: Cuts = RECORD) -> DataFrame:
     """Add the merged extract ``e`` of every page."""
     parts = ["platform", "structured", "heuristic"]
-    return merge_extracts(heuristics(structured(platform(spread(pages, "page_url")))), parts, "e").drop(*parts)
+    return merge_extracts(heuristics(structured(platform(spread(pages, "page_url"), cuts=cuts), cuts=cuts), cuts=cuts), parts, "e").drop(*parts)
 
 
-def extract_cfps(pages: DataFrame, minimum: float = 0.2, source: str = "extracted") -> tuple[DataFrame, DataFrame]:
+def extract_cfps(pages: DataFrame, minimum: float = 0.2, source: str = "extracted", cuts: Cuts = RECORD) -> tuple[DataFrame, DataFrame]:
     """Calls found on pages, and one outcome per page.
 
     ``pages``: ``page_url, html`` and optionally ``cfp_url, name_hint`` and the fetch's ``error_reason``.
     Outcomes carry ``ok``, ``error_reason`` and ``is_spa`` for the crawl store; a page without html has
-    failed for the fetch's reason, NULL if that is unknown.
+    failed for the fetch's reason, NULL if that is unknown. The mined rows are stored once, without the pages, for both.
     """
     for name in ("cfp_url", "name_hint", "error_reason"):
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(None).cast("string"))
     has_html = F.coalesce(blank_to_null(F.col("html")).isNotNull(), F.lit(False))
-    rows = extract_pages(pages.filter(has_html).drop("error_reason"))
+    mined = extract_pages(pages.filter(has_html).drop("error_reason"), cuts)
+    rows = cut_lineage(mined.select("page_url", "cfp_url", "name_hint", "e", H.is_spa_shell(F.col("html")).alias("is_spa")))
     named = or_else(F.col("e.name"), F.col("name_hint")).isNotNull()
     sure = F.col("e.confidence") >= minimum
     fields = [F.col(f"e.{f}").alias(f) for f in (
@@ -286,7 +288,7 @@ def extract_cfps(pages: DataFrame, minimum: float = 0.2, source: str = "extracte
     calls = extracted_to_cfp(rows.filter(sure).select("page_url", "cfp_url", "name_hint", *fields), source)
     outcomes = rows.select(
         F.col("page_url").alias("url"), (sure & named).alias("ok"),
-        F.when(~sure, F.lit("low_confidence")).alias("error_reason"), H.is_spa_shell(F.col("html")).alias("is_spa"),
+        F.when(~sure, F.lit("low_confidence")).alias("error_reason"), "is_spa",
         F.round("e.confidence", 6).alias("confidence"), F.col("e.extraction_method").alias("method"),
     )
     blank = pages.filter(~has_html).select(

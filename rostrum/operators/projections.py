@@ -11,6 +11,7 @@ from rostrum import lookups as L
 from rostrum.functions import dates as D
 from rostrum.functions import places as P
 from rostrum.functions.arrays import clean_tags
+from rostrum.functions.cuts import RECORD, Cuts, cut_text
 from rostrum.functions.text import (
     blank_to_null, channel_title_speaker, hash_id, literal_map, or_else, repair_text, slugify,
     speaker_from_title, strip, url_key,
@@ -193,7 +194,7 @@ def playlist_talks(videos: DataFrame, channel: str, conference: str, skip: Seque
     )
 
 
-def channel_entry_to_talk(entries: DataFrame, conference_id: str, conference_name: str, brands: Sequence[str] = ()) -> DataFrame:
+def channel_entry_to_talk(entries: DataFrame, conference_id: str, conference_name: str, brands: Sequence[str] = (), cuts: Cuts = RECORD) -> DataFrame:
     """Channel listing rows to talks; minutes are rounded half to even here."""
     c = F.col
     parts = speaker_from_title(c("title"), brands)
@@ -203,21 +204,21 @@ def channel_entry_to_talk(entries: DataFrame, conference_id: str, conference_nam
         F.concat(F.lit("yt_"), c("video_id")).alias("object_id"),
         F.lit(conference_id).alias("conference_id"), F.lit(conference_name).alias("conference_name"),
         c("__p.title").alias("title"), c("title").alias("original_title"), c("__p.speaker").alias("speaker"),
-        F.substring(F.coalesce("description", F.lit("")), 1, 500).alias("description"),
+        cut_text(F.coalesce("description", F.lit("")), cuts.description).alias("description"),
         or_else(c("url"), watch).alias("url"),
         F.year(F.timestamp_seconds(F.nullif("uploaded_at", F.lit(0)))).alias("year"),
         "duration_seconds", minutes.alias("duration_minutes"), "view_count",
     )
 
 
-def apply_transcripts(talks: DataFrame, outcomes: DataFrame) -> DataFrame:
+def apply_transcripts(talks: DataFrame, outcomes: DataFrame, cuts: Cuts = RECORD) -> DataFrame:
     """Add transcript fields to the talks that have a successful outcome; others stay as they are."""
     fields = ("text", "summary", "keywords", "topics", "takeaways")
     found = outcomes.filter(blank_to_null(F.col("text")).isNotNull() & blank_to_null(F.col("summary")).isNotNull())
     joined = talks.join(found.select("object_id", F.struct(*fields).alias("o")), "object_id", "left")
     hit = F.col("o").isNotNull()
     new = {
-        "transcript_text": F.substring("o.text", 1, 10000), "transcript_summary": F.col("o.summary"),
+        "transcript_text": cut_text("o.text", cuts.transcript), "transcript_summary": F.col("o.summary"),
         "transcript_keywords": F.col("o.keywords"), "transcript_topics": F.col("o.topics"),
         "transcript_takeaways": F.col("o.takeaways"), "transcript_enriched": F.lit(True),
     }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rostrum import lookups as L
 from rostrum.functions import html as H
 from rostrum.functions.arrays import title_case
+from rostrum.functions.cuts import RECORD, Cuts, cut_list, cut_text
 from rostrum.functions.text import blank_to_null, collapse, contains_any, literal_map, or_else, strip
 from rostrum.plans.storage import spread, staged
 
@@ -102,8 +103,8 @@ def attendance(text: Column) -> Column:
     return _first_match(text, L.ATTENDANCE_PATTERNS)
 
 
-def target_audience(text: Column) -> Column:
-    return F.substring(strip(_first_match(text, L.AUDIENCE_PATTERNS)), 1, 200)
+def target_audience(text: Column, cuts: Cuts = RECORD) -> Column:
+    return cut_text(strip(_first_match(text, L.AUDIENCE_PATTERNS)), cuts.audience)
 
 
 def is_call_open(text: Column) -> Column:
@@ -219,7 +220,7 @@ def max_submissions(html: Column) -> Column:
 
 
 # ---- whole page ---------------------------------------------------------------------------------
-def mine_calls(pages: DataFrame) -> DataFrame:
+def mine_calls(pages: DataFrame, cuts: Cuts = RECORD) -> DataFrame:
     """All mined columns of call pages (``page_url, html``); texts and structs are staged once."""
     html, text = F.col("html"), F.col("text")
     rows = staged(spread(pages, "page_url"), text=page_text(html))
@@ -228,14 +229,14 @@ def mine_calls(pages: DataFrame) -> DataFrame:
     )
     return rows.select(
         *pages.columns, "text", one_per_name(F.col("placed")).alias("session_formats"), "benefits", attendance(text).alias("attendance"),
-        target_audience(text).alias("target_audience"), tracks(html).alias("tracks"), max_submissions(html).alias("max_submissions"),
+        target_audience(text, cuts).alias("target_audience"), tracks(html).alias("tracks"), max_submissions(html).alias("max_submissions"),
         is_call_open(text).alias("is_open"), "meta.*", "clean_text",
-        F.substring(H.meta_content(H.meta_records(html), "description"), 1, 500).alias("description"),
+        cut_text(H.meta_content(H.meta_records(html), "description"), cuts.description).alias("description"),
         event_format(F.col("meta.location_raw"), F.col("clean_text"), F.col("benefits")).alias("event_format"),
     )
 
 
-def apply_sessionize(cfps: DataFrame, mined: DataFrame) -> DataFrame:
+def apply_sessionize(cfps: DataFrame, mined: DataFrame, cuts: Cuts = RECORD) -> DataFrame:
     """Put mined values into the calls of the same platform link (``sessionize_url``).
 
     Mined columns overwrite when known; description and full text are filled only when empty, as are
@@ -264,7 +265,7 @@ def apply_sessionize(cfps: DataFrame, mined: DataFrame) -> DataFrame:
         "session_formats": over("session_formats", F.col("m.session_formats"), F.size("m.session_formats") > 0),
         "speaker_benefits": over("speaker_benefits", b, some),
         "target_audience": over("target_audience", F.col("m.target_audience"), blank_to_null(F.col("m.target_audience")).isNotNull()),
-        "tracks": over("tracks", F.slice("m.tracks", 1, 20), F.size("m.tracks") > 0),
+        "tracks": over("tracks", cut_list("m.tracks", cuts.tracks), F.size("m.tracks") > 0),
         "event_format": over("event_format", F.col("m.event_format"), F.col("m.event_format").isNotNull()),
         "description": fill("description", F.col("m.description"), hit),
         "full_text": fill("full_text", F.col("m.clean_text"), hit),

@@ -23,10 +23,10 @@ def test_flagship(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the data folder")
-@pytest.mark.parametrize("name", ["speaker_leaderboard", "top_talks_per_speaker", "mentions", "facet_counts", "trending_items"])
+@pytest.mark.parametrize("name", ["speaker_leaderboard", "top_talks_per_speaker", "mentions", "facet_counts", "trending_items", "related_calls", "top_matches_by_user"])
 def test_no_cross_joins(spark, name):
     plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the data folder")

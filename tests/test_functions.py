@@ -94,3 +94,24 @@ def test_html(spark):
     assert values(spark, [page], lambda c: H.paragraphs(H.drop_elements(c, ("script", "nav")))) == [["One", "Two & three"]]
     assert values(spark, ['<div id="root"></div>', "<div ng-app>" + "word " * 200], H.is_spa_shell) == [True, False]
     assert values(spark, ["peer-to-peer talk"], A.title_case) == ["Peer-To-Peer Talk"]
+
+
+def test_cuts_are_parameters(spark):
+    """Whole values on demand; the default is what records hold."""
+    from rostrum.functions.cuts import WHOLE, Cuts
+    from rostrum.operators import intel, pages, projections
+
+    long_ = "word " * 400
+    html = f'<html><head><title>{"T" * 300}</title><meta name="keywords" content="{",".join(f"k{i}" for i in range(30))}"></head><body><p>{long_}</p></body></html>'
+    rows = spark.createDataFrame([("https://x.example", html)], "page_url STRING, html STRING")
+    sizes = lambda cuts: pages.extract_pages(rows, cuts).select("e.name", "e.description", "e.topics").first()
+    whole, cut, short = sizes(WHOLE), sizes(Cuts()), sizes(Cuts(topics=3))
+    assert len(whole.topics) == 30 and len(cut.topics) == 10 and len(short.topics) == 3
+    assert len(whole.description) >= 1999 and len(cut.description) == 500 and len(whole.name) == 300
+    talks = spark.createDataFrame([("a",)], "object_id STRING")
+    said = spark.createDataFrame([("a", "x" * 20_000, "s", ["k"], ["t"], ["w"])], "object_id STRING, text STRING, summary STRING, keywords ARRAY<STRING>, topics ARRAY<STRING>, takeaways ARRAY<STRING>")
+    for cuts, size in ((WHOLE, 20_000), (Cuts(), 10_000)):
+        assert len(projections.apply_transcripts(talks, said, cuts).first().transcript_text) == size
+    bundle = spark.sql("SELECT 1 AS conf_id, 'c' AS conf_name, named_struct('stories', sequence(1, 90), 'total', 90L, 'titles', array('a'), 'comments', array('b'), 'authors', array('c')) AS hn, named_struct('repos', sequence(1, 40), 'total', 40L) AS github, named_struct('posts', array(1), 'total', 1L, 'comments', array('x')) AS reddit, named_struct('articles', array(1), 'total', 1L) AS devto")
+    for cuts, n in ((WHOLE, 90), (Cuts(), 50)):
+        assert len(intel.split_intel_records(bundle, cuts)["hn"].first().stories) == n
