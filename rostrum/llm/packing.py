@@ -15,7 +15,7 @@ from rostrum.llm.tools import partitions, single_threaded, stored, table, texts_
 
 CAPACITY = 2048
 # bytes, about, that a task's memory of finished words may hold, of words up to a length; it then starts anew, with equal results
-MEMORY_BYTES, REMEMBERED = 64_000_000, 64
+MEMORY_BYTES, REMEMBERED = 80_000_000, 64
 # no tokenizer piece crosses these blanks
 CHUNK = re.compile(r"[^ \t\n\r]+")
 #: fixed values: the pre-tokenizer's pieces over lower-cased Latin-1 text (runs of digits are cut by the tokenizer itself)
@@ -23,9 +23,19 @@ PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½
 WORD = re.compile(r"[a-zªµºß-öø-ÿ]+")
 
 
+def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _cut(text: str) -> list[str]:
     """Parts of a text that the tokenizer encodes independently: lower-case words where that is safe, else parts between blanks."""
-    if "<|" not in text and max(text, default="") < "\u0100" and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+    if "<|" not in text and _latin(text) and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
         return PIECE.findall(text.lower())
     return CHUNK.findall(text)
 
@@ -53,26 +63,24 @@ class TaskTokenizer:
         cut = [_cut(t) for t in texts]
         if self.used > MEMORY_BYTES:
             self.known, self.used = {}, 0
-        known, letters, long_ = self.known, self.letters, {}
-        new, model = [], self.own.model
-
-        def learn(chunk: str, ids: bytes) -> None:
-            if len(chunk) > REMEMBERED:
-                long_[chunk] = ids
-                return
-            known[chunk] = ids
-            self.used += 240 + len(chunk) + len(ids)
-
-        for chunk in {c for chunks in cut for c in chunks if c not in known}:
+        known, letters, model = self.known, self.letters, self.own.model
+        found: dict[str, bytes] = {}
+        new = []
+        for chunk in [c for c in set().union(*cut) if c not in known]:
             if WORD.fullmatch(chunk):  # nothing left to normalise or cut: straight to the tokenizer's model
                 spelt = chunk if chunk.isascii() else "".join([letters[b] for b in chunk.encode()])
-                learn(chunk, np.array([t.id for t in model.tokenize(spelt)], "<u4").tobytes())
+                found[chunk] = np.array([t.id for t in model.tokenize(spelt)], "<u4").tobytes()
             else:
                 new.append(chunk)
         for at in range(0, len(new), 2_000):
             part = new[at : at + 2_000]
             for chunk, encoded in zip(part, self.own.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                learn(chunk, np.array(encoded.ids, "<u4").tobytes())
+                found[chunk] = np.array(encoded.ids, "<u4").tobytes()
+        long_ = {c: i for c, i in found.items() if len(c) > REMEMBERED} if max(map(len, found), default=0) > REMEMBERED else {}
+        for chunk in long_:
+            del found[chunk]
+        known.update(found)
+        self.used += 240 * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
         ids_of = known.__getitem__
         if long_:
             return [b"".join([long_[c] if c in long_ else ids_of(c) for c in chunks]) for chunks in cut]
