@@ -44,7 +44,7 @@ def test_odd_texts_equal_the_library():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(signs, max_size=8))
+@given(st.lists(signs, min_size=1, max_size=8))
 def test_pieces_equal_the_library(texts):
     want = library().encode(texts, add_bos=True, add_eos=True, num_threads=1)
     found = own_model().encode(texts)
